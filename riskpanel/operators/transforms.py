@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from riskpanel.functions.scalar import clip, finite, half_up
 
-SERIES = Window.partitionBy("entity").orderBy("idx")
-WHOLE = Window.partitionBy("entity")
+
+def series():
+    """Window over one series in calendar order."""
+    return Window.partitionBy("entity").orderBy("idx")
+
+
+def whole():
+    return Window.partitionBy("entity")
 
 
 def log_returns(panel: DataFrame, price: str = "price") -> DataFrame:
     """Log return `r`; non-finite becomes 0, the first row goes, idx restarts at 1."""
-    step = F.ln(F.col(price)) - F.ln(F.lag(price).over(SERIES))
+    step = F.ln(F.col(price)) - F.ln(F.lag(price).over(series()))
     return (panel.withColumn("r", step).filter(F.col("idx") > 1)
             .withColumn("r", F.when(finite(F.col("r")), F.col("r")).otherwise(0.0))
             .withColumn("idx", F.col("idx") - 1))
@@ -124,11 +130,14 @@ MAD_SCALE = 1.482602218505602
 def mad_outliers(df: DataFrame, value: str, w: int) -> DataFrame:
     """Replace values further than 3 scaled MADs from the moving median, then refill as gaps.
 
-    The frame is collected as a sorted array of at most w values, so both medians are exact.
+    With k = w // 2 the window of row i is rows i-k .. i-k+w, cut at the ends, and 1 .. i+k for the first
+    k rows. At most w + 1 values are gathered per row, so both medians are exact.
     """
-    lo, hi = (w // 2, w // 2) if w % 2 else (w // 2, w // 2 - 1)
-    frame = SERIES.rowsBetween(-lo, hi)
-    out = df.withColumn("_win", F.collect_list(value).over(frame))
+    k = w // 2
+    gathered = F.collect_list(value).over(series().rowsBetween(-k, w - k))
+    out = df.withColumn("_win", gathered)
+    if w % 2:
+        out = out.withColumn("_win", F.when(F.col("idx") <= k, F.slice("_win", 1, F.size("_win") - 1)).otherwise(F.col("_win")))
     out = out.withColumn("_med", _array_median(F.col("_win")))
     dev = F.transform("_win", lambda x: F.abs(x - F.col("_med")))
     out = out.withColumn("_mad", _array_median(dev) * MAD_SCALE)
@@ -145,26 +154,18 @@ def _array_median(a: Column) -> Column:
     return F.when(n > 0, (low + high) / 2.0)
 
 
-def smooth(df: DataFrame, value: str, s: int = 21, keys: tuple = ("entity",)) -> DataFrame:
-    """Centred moving average of odd width; the window shrinks symmetrically at the ends."""
-    s = s if s % 2 else s - 1
-    h = (s - 1) // 2
+def smooth(df: DataFrame, value: str, s: int = 21, keys: tuple = ("entity",), name: str = "smoothed") -> DataFrame:
+    """Centred moving average of odd width; the window shrinks symmetrically at the ends, missing stays missing."""
+    h = ((s if s % 2 else s - 1) - 1) // 2
     w = Window.partitionBy(*keys).orderBy("idx")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumns({
-        "_n": F.count(F.lit(1)).over(Window.partitionBy(*keys)), "_row": F.row_number().over(w),
-        "_cs": F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(run),
-        "_cc": F.count(value).over(run)})
-    half = F.least(F.col("_row") - 1, F.col("_n") - F.col("_row"), F.lit(h))
-    total = count = None
-    for k in range(h + 1):
-        ds = F.coalesce(F.lead("_cs", k).over(w), F.lit(0.0)) - F.coalesce(F.lag("_cs", k + 1).over(w), F.lit(0.0))
-        dc = F.coalesce(F.lead("_cc", k).over(w), F.lit(0)) - F.coalesce(F.lag("_cc", k + 1).over(w), F.lit(0))
-        total = F.when(half == k, ds) if total is None else total.when(half == k, ds)
-        count = F.when(half == k, dc) if count is None else count.when(half == k, dc)
-    out = out.withColumns({"_t": total, "_k": count})
-    return out.withColumn("smoothed", F.when(F.col("_k") > 0, F.col("_t") / F.col("_k"))).drop(
-        "_n", "_row", "_cs", "_cc", "_t", "_k")
+        "_win": F.collect_list(F.struct(F.col(value).alias("x"))).over(w.rowsBetween(-h, h)),
+        "_left": F.least(F.row_number().over(w) - 1, F.lit(h)),
+        "_half": F.least(F.row_number().over(w) - 1, F.count(F.lit(1)).over(Window.partitionBy(*keys)) - F.row_number().over(w), F.lit(h))})
+    inner = F.slice("_win", (F.col("_left") - F.col("_half") + 1).cast("int"), (2 * F.col("_half") + 1).cast("int"))
+    out = out.withColumn("_win", F.filter(inner, lambda e: e["x"].isNotNull()))
+    total = F.aggregate("_win", F.lit(0.0), lambda acc, e: acc + e["x"])
+    return out.withColumn(name, F.when(F.col(value).isNotNull(), total / F.size("_win"))).drop("_win", "_left", "_half")
 
 
 def fold_series(df: DataFrame, cols: list[str], zero, merge, name: str, keys: tuple = ("entity",),
@@ -227,11 +228,11 @@ def group_aggregate(df: DataFrame, entity_group: DataFrame) -> DataFrame:
 
 
 def mean_impute(df: DataFrame, value: str) -> DataFrame:
-    return df.withColumn(value, F.coalesce(F.col(value), F.avg(value).over(WHOLE)))
+    return df.withColumn(value, F.coalesce(F.col(value), F.avg(value).over(whole())))
 
 
 def pct_change(df: DataFrame, value: str) -> DataFrame:
-    prev = F.lag(value).over(SERIES)
+    prev = F.lag(value).over(series())
     return df.withColumn("pct", F.coalesce(100.0 * (F.col(value) / prev - 1.0), F.lit(0.0)))
 
 
@@ -250,13 +251,13 @@ def step_dates(df: DataFrame, bws: int) -> DataFrame:
 def age_weighted_sum(df: DataFrame, value: str, bw: int, lam: float = 0.98) -> DataFrame:
     """Window sum with weights (1 - l) / (1 - l^t) * l^age, age 0 = newest of the t <= bw rows present."""
     k = head_rows(bw)
-    frame = SERIES.rowsBetween(1 - bw, 0)
+    frame = series().rowsBetween(1 - bw, 0)
     out = df.withColumn("_pairs", F.collect_list(value).over(frame))
     size = F.size("_pairs")
     weight_norm = (1.0 - lam) / (1.0 - F.pow(F.lit(lam), size))
     total = F.aggregate("_pairs", F.lit(0.0), lambda acc, x: acc * lam + x)
     out = out.withColumn("weighted", total * weight_norm).drop("_pairs")
-    head = F.max(F.when(F.col("idx") == k, F.col("weighted"))).over(WHOLE)
+    head = F.max(F.when(F.col("idx") == k, F.col("weighted"))).over(whole())
     return out.withColumn("weighted", F.when(F.col("idx") < k, head).otherwise(F.col("weighted")))
 
 

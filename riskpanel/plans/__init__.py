@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("sources",)
+FAMILIES = ("sources", "transforms")
 
 
 def load() -> dict:

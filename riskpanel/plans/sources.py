@@ -87,7 +87,7 @@ def _(m):
     return panels.crisis_dummies(_dates(m), m.crises())
 
 
-@query("trailing_blank_trim", keys="entity, date", nums="traded", sql=X.panel("supplier") + """
+@query("trailing_blank_trim", keys="entity, date", nums="traded", digits=9, sql=X.panel("supplier") + """
 blanked as (select entity, date, idx, case when volume > 0 then price end as traded from panel)
 select_final select entity, date, traded from (select *, count(traded) over (partition by entity order by idx
   rows between current row and unbounded following) as ahead from blanked) where ahead > 0""")
