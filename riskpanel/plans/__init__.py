@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("sources", "transforms")
+FAMILIES = ("sources", "transforms", "describe", "connectedness")
 
 
 def load() -> dict:

@@ -37,7 +37,7 @@ class Query:
         cols = [*self.keys, *[f"cast({c} as bigint) as {c}" for c in self.ints],
                 *[f"round(cast({c} as double), {self.digits}) + 0.0 as {c}" for c in self.nums]]
         ctes, last = self.sql.rsplit("select_final", 1) if "select_final" in self.sql else ("", self.sql)
-        head = f"with {ctes.strip().rstrip(',')} " if ctes.strip() else ""
+        head = f"with recursive {ctes.strip().rstrip(',')} " if ctes.strip() else ""
         return f"{head}select {', '.join(cols)} from ({last.strip()}) final_rows"
 
 
