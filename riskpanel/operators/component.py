@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.functions.scalar import half_up
 from riskpanel.operators.blocks import Block, pair_blocks, section_blocks
-from riskpanel.operators.transforms import head_rows
+from riskpanel.operators.transforms import explode_windows, head_rows
 
 
 def rolling_cov(returns: DataFrame, bw: int) -> DataFrame:
@@ -168,7 +168,7 @@ def pca_biplot(loadings: np.ndarray, cols: list[str], scores: DataFrame, keys: l
 
 def var_nonparametric(rp: DataFrame, bw: int, a: float, lam: float = 0.98) -> DataFrame:
     """Age-weighted historical quantile: smallest return whose cumulated weight reaches `a`; at most 0."""
-    win = _windows(rp, bw)
+    win = explode_windows(rp, "rp", bw, ())
     w = Window.partitionBy("idx")
     weight = (1.0 - lam) / (1.0 - F.pow(F.lit(lam), F.col("t"))) * F.pow(F.lit(lam), F.col("t") - F.col("pos"))
     cum = win.withColumn("w", weight).withColumn("cum", F.sum("w").over(w.orderBy("rp", "pos").rowsBetween(Window.unboundedPreceding, 0)))
@@ -176,23 +176,6 @@ def var_nonparametric(rp: DataFrame, bw: int, a: float, lam: float = 0.98) -> Da
     return hit.groupBy("idx").agg(F.least(F.min("rp"), F.lit(0.0)).alias("var_np"))
 
 
-def _windows(rp: DataFrame, bw: int) -> DataFrame:
-    """Explode the windows of one date-indexed series: (idx, pos 1..t oldest first, t, rp).
-
-    `rp` has one row per calendar period, so this is (periods x bw) rows.
-    """
-    k = head_rows(bw)
-    inside = rp.select("rp", F.col("idx").alias("at")).withColumn(
-        "idx", F.explode(F.sequence(F.col("at"), F.col("at") + bw - 1)))
-    early = rp.filter(F.col("idx") <= k).select("rp", F.col("idx").alias("at")).withColumn(
-        "idx", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(k - 1).cast("bigint")))).filter("at > idx")
-    rows = inside.unionByName(early.select("rp", "at", "idx"))
-    last = rp.agg(F.max("idx").alias("m")).scalar()
-    rows = rows.withColumn("last", last).filter("idx <= last").drop("last")
-    w = Window.partitionBy("idx")
-    return rows.withColumn("pos", F.row_number().over(w.orderBy("at"))).withColumn("t", F.count(F.lit(1)).over(w))
-
-
 def var_gpd(rp: DataFrame, bw: int, a: float, u: float = 0.05) -> DataFrame:
     """Peaks over threshold with k = round(1 / u) exceedances; the tail is fitted by probability-weighted moments.
 
@@ -200,7 +183,7 @@ def var_gpd(rp: DataFrame, bw: int, a: float, u: float = 0.05) -> DataFrame:
     """
     k = half_up(1.0 / u)
     w = Window.partitionBy("idx")
-    loss = _windows(rp, bw).withColumn("loss", -F.col("rp"))
+    loss = explode_windows(rp, "rp", bw, ()).withColumn("loss", -F.col("rp"))
     loss = loss.withColumn("rank", F.row_number().over(w.orderBy("loss", "pos")))
     loss = loss.withColumn("threshold", F.max(F.when(F.col("rank") == F.col("t") - k, F.col("loss"))).over(w))
     y = F.col("loss") - F.col("threshold")
@@ -220,7 +203,7 @@ def extremal_index(rp: DataFrame, bw: int) -> DataFrame:
     """Inverse mean of -k log(share of the window at or below the maximum of k consecutive rows)."""
     rows = _blocked(rp, bw)
     order = Window.partitionBy("idx").orderBy("pos")
-    frame = F.collect_list("rp").over(order.rowsBetween(0, _MAX_BLOCK - 1))
+    frame = F.collect_list("rp").over(order.rowsBetween(0, head_rows(bw) - 1))
     rows = rows.withColumn("top", F.array_max(F.slice(frame, F.lit(1), F.col("k"))))
     whole = Window.partitionBy("idx")
     # A maximum is a value of the window, so its share is its rank with ties counted in.
@@ -232,13 +215,10 @@ def extremal_index(rp: DataFrame, bw: int) -> DataFrame:
         (1.0 / F.avg(-F.col("k") * F.ln("share"))).alias("theta"))
 
 
-_MAX_BLOCK = 64
-
-
 def _blocked(rp: DataFrame, bw: int) -> DataFrame:
     """Windows with the block count k = max(round(t^(1/1.81)), 5) of their own length."""
     k = F.greatest(F.floor(F.pow(F.col("t").cast("double"), F.lit(1 / 1.81)) + 0.5), F.lit(5)).cast("int")
-    return _windows(rp, bw).withColumn("k", k)
+    return explode_windows(rp, "rp", bw, ()).withColumn("k", k)
 
 
 def var_gev(rp: DataFrame, bw: int, a: float) -> DataFrame:

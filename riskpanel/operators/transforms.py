@@ -291,3 +291,20 @@ def magnitude(df: DataFrame, r: str = "r", v: str = "volume") -> DataFrame:
     e = F.floor(F.abs(F.avg(lr)) + 0.5) + F.round(F.avg(lv), 0)
     return df.agg(F.pow(F.lit(10.0), e).alias("magnitude"))
 
+
+
+def explode_windows(df: DataFrame, value: str, bw: int, keys: tuple = ("entity",)) -> DataFrame:
+    """Rows of every window, for order statistics a frame cannot express: (keys, idx, pos, t, value).
+
+    `pos` runs from 1 (oldest) to t. Each series row is copied bw times, map-side; head rule as in `rolling`.
+    """
+    k = head_rows(bw)
+    one = F.lit(1).cast("bigint")
+    rows = df.select(*keys, F.col("idx").alias("at"), value)
+    inside = rows.withColumn("idx", F.explode(F.sequence(F.col("at"), F.col("at") + bw - 1)))
+    early = rows.filter(F.col("at") <= k).withColumn("idx", F.explode(F.sequence(one, one * (k - 1)))).filter("at > idx")
+    last = df.agg(F.max("idx").alias("m")).scalar()
+    both = inside.unionByName(early).withColumn("last", last).filter("idx <= last").drop("last")
+    w = Window.partitionBy(*keys, "idx")
+    return both.withColumn("pos", F.row_number().over(w.orderBy("at"))).withColumn(
+        "t", F.count(F.lit(1)).over(w)).drop("at")
