@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskpanel.functions.scalar import half_up
 from riskpanel.operators.blocks import Block, pair_blocks, section_blocks
 from riskpanel.operators.transforms import explode_windows, head_rows
+from riskpanel.session import cut_lineage
 
 
 def rolling_cov(returns: DataFrame, bw: int) -> DataFrame:
@@ -266,6 +267,6 @@ def _gamma(x: Column) -> Column:
 def catfin(rp: DataFrame, bw: int, a: float, lam: float = 0.98, u: float = 0.05) -> DataFrame:
     """First principal component score of the three VaR series (as positive losses), unstandardised."""
     vars_ = var_nonparametric(rp, bw, a, lam).join(var_gpd(rp, bw, a, u), "idx").join(var_gev(rp, bw, a), "idx")
-    wide = vars_.select("idx", *[(-F.col(c)).alias(c) for c in ("var_np", "var_gpd", "var_gev")])
+    wide = cut_lineage(vars_.select("idx", *[(-F.col(c)).alias(c) for c in ("var_np", "var_gpd", "var_gev")]))
     _, _, scores = pca_wide(wide, ["var_np", "var_gpd", "var_gev"], ["idx", "var_np", "var_gpd", "var_gev"], normalize=False)
     return scores.withColumnRenamed("pc1", "catfin").drop("pc2", "pc3")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from riskpanel.functions.scalar import norm_inv
 from riskpanel.operators.transforms import age_weighted_sum, explode_windows, rolling
+from riskpanel.session import cut_lineage
 
 KEYS = ["portfolio", "idx"]
 
@@ -80,9 +81,8 @@ def min_xent_posterior(prior: DataFrame, member: DataFrame, pod: DataFrame, n: i
                 p = p / p.sum(1, keepdims=True)
             yield b[KEYS].assign(p=list(p))
 
-    schema = T.StructType([f for f in prior.schema if f.name in KEYS] + [T.StructField("p", T.ArrayType(T.DoubleType()))])
-    fitted = both.select(*[prior.schema[k].name for k in KEYS], "p", "pods").mapInPandas(
-        fit, T.StructType([schema[k] for k in KEYS] + [schema["p"]]))
+    schema = T.StructType([prior.schema[k] for k in KEYS] + [T.StructField("p", T.ArrayType(T.DoubleType()))])
+    fitted = both.mapInPandas(fit, schema)
     return fitted.select(*KEYS, F.posexplode("p").alias("state", "p"))
 
 
@@ -145,10 +145,10 @@ def average_dide(dide: DataFrame) -> DataFrame:
 
 def scaled_impact(impact: DataFrame) -> DataFrame:
     """SI and SV on a common 0..1 scale over the whole sample."""
-    names = ["si", "sv"]
-    out = impact
-    for n in names:
-        lo, hi = (impact.agg(f(n).alias("v")).scalar() for f in (F.min, F.max))
-        out = out.withColumns({"lo": lo, "hi": hi}).withColumn(
-            n, (F.col(n) - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))).drop("lo", "hi")
-    return out
+    base = cut_lineage(impact)
+    ends = base.agg(F.struct(*[f(c).alias(f"{n}_{c}") for c in ("si", "sv") for n, f in (("lo", F.min), ("hi", F.max))]).alias("e"))
+    out = base.withColumn("e", ends.scalar())
+    for c in ("si", "sv"):
+        lo, hi = F.col(f"e.lo_{c}"), F.col(f"e.hi_{c}")
+        out = out.withColumn(c, (F.col(c) - lo) / F.when(hi > lo, hi - lo))
+    return out.drop("e")
