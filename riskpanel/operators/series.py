@@ -52,6 +52,23 @@ def halton(count: int, lo: list[float], hi: list[float]) -> np.ndarray:
     return np.asarray(lo) + np.stack(cols, 1) * (np.asarray(hi) - np.asarray(lo))
 
 
+def _scan_task(names, propose, loss, slices, first):
+    def task(key, pdf):
+        pdf = pdf.sort_values("idx")
+        centre = None if first else pdf[[f"c_{n}" for n in names]].iloc[0].to_numpy()
+        cand = propose(pdf, centre)[int(key[1])::slices]
+        if not first:
+            cand = np.vstack([centre, cand])
+        with np.errstate(all="ignore"):
+            value = loss(pdf, cand)
+        value = np.where(np.isfinite(value), value, np.inf)
+        k = int(np.argmin(value))
+        found = [[key[0], *cand[k], value[k]]] if np.isfinite(value[k]) else []
+        return pd.DataFrame(found, columns=["entity", *names, "loss"])
+
+    return task
+
+
 def candidate_scan(df: DataFrame, cols: list[str], names: list[str], propose: Callable, loss: Callable,
                    slices: int = 4, rounds: int = 2) -> DataFrame:
     """Best parameters per series over a deterministic candidate set: (entity, names..., loss).
@@ -68,22 +85,7 @@ def candidate_scan(df: DataFrame, cols: list[str], names: list[str], propose: Ca
         if best is not None:
             rows = rows.join(best.drop("loss").withColumnsRenamed({n: f"c_{n}" for n in names}), "entity")
         rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-        first = best is None
-
-        def task(key, pdf, first=first):
-            pdf = pdf.sort_values("idx")
-            centre = None if first else pdf[[f"c_{n}" for n in names]].iloc[0].to_numpy()
-            cand = propose(pdf, centre)[int(key[1])::slices]
-            if not first:
-                cand = np.vstack([centre, cand])
-            with np.errstate(all="ignore"):
-                value = loss(pdf, cand)
-            value = np.where(np.isfinite(value), value, np.inf)
-            k = int(np.argmin(value)) if len(value) else -1
-            if k < 0 or not np.isfinite(value[k]):
-                return pd.DataFrame(columns=["entity", *names, "loss"])
-            return pd.DataFrame([[key[0], *cand[k], value[k]]], columns=["entity", *names, "loss"])
-
+        task = _scan_task(names, propose, loss, slices, first=best is None)
         tried = rows.groupBy("entity", "slice").applyInPandas(task, schema)
         best = tried.groupBy("entity").agg(F.min_by(F.struct(*names), "loss").alias("p"), F.min("loss").alias("loss")).select(
             "entity", *[F.col(f"p.{n}") for n in names], "loss")

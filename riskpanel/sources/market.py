@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskpanel.operators.transforms import log_returns
+from riskpanel.session import cut_lineage
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -43,53 +46,64 @@ def densify(obs: DataFrame, calendar: DataFrame, step_days: int, held: list[str]
 
 
 class Market:
-    """The frames one analysis works on, read from one folder of tables."""
+    """The frames one analysis works on, read from one folder of tables.
+
+    The raw rows are scanned once per panel: the (entity, period) aggregate is written to the checkpoint folder and
+    everything else (panel, returns, index, calendar) derives from it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._observations: dict[tuple[str, str], DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
 
     def calendar(self, unit: str = "week") -> DataFrame:
         day = period_start(F.col("l_shipdate"), unit)
-        return self.table("lineitem").agg(F.min(day).alias("lo"), F.max(day).alias("hi"))
+        source = self.table("lineitem").select(day.alias("date"))
+        for (_, made), df in self._observations.items():
+            source = df if made == unit else source
+        return source.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+
+    def _aggregate(self, by: str, unit: str) -> DataFrame:
+        if (by, unit) not in self._observations:
+            items = self.table("lineitem").withColumn("date", period_start(F.col("l_shipdate"), unit))
+            if by == "supplier":
+                items = items.withColumn("entity", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+                unit_value = F.lit(1000.0)
+            else:
+                key = {"brand": "p_brand", "type": "p_type"}[by]
+                parts = self.table("part").select("p_partkey", F.col(key).alias("entity"), "p_retailprice")
+                items = items.join(parts, items.l_partkey == parts.p_partkey)
+                unit_value = F.col("p_retailprice")
+            self._observations[by, unit] = cut_lineage(items.groupBy("entity", "date").agg(
+                F.sum("l_extendedprice").alias("volume"), F.sum("l_quantity").alias("quantity"),
+                F.sum(F.col("l_quantity") * unit_value).alias("cap"), F.avg("l_discount").alias("cds"),
+                F.sum("l_tax").alias("tax"), F.count("l_tax").alias("lines")))
+        return self._observations[by, unit]
 
     def observations(self, by: str = "brand", unit: str = "week") -> DataFrame:
         """(entity, date) price, volume, cap, cds. `by` is brand, type or supplier."""
-        items = self.table("lineitem").withColumn("date", period_start(F.col("l_shipdate"), unit))
-        if by == "supplier":
-            items = items.withColumn("entity", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
-            unit_value = F.lit(1000.0)
-        else:
-            key = {"brand": "p_brand", "type": "p_type"}[by]
-            parts = self.table("part").select("p_partkey", F.col(key).alias("entity"), "p_retailprice")
-            items = items.join(parts, items.l_partkey == parts.p_partkey)
-            unit_value = F.col("p_retailprice")
-        return items.groupBy("entity", "date").agg(
-            (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"),
-            F.sum("l_extendedprice").alias("volume"),
-            F.sum(F.col("l_quantity") * unit_value).alias("cap"),
-            F.avg("l_discount").alias("cds"))
+        return self._aggregate(by, unit).select(
+            "entity", "date", (F.col("volume") / F.col("quantity")).alias("price"), "volume", "cap", "cds")
 
     def panel(self, by: str = "brand", unit: str = "week") -> DataFrame:
         """Dense panel: entity, date, idx, price, cap, cds, volume."""
         days = {"week": 7, "day": 1}[unit]
-        return densify(self.observations(by, unit), self.calendar(unit), days, ["price", "cap", "cds"], ["volume"])
+        obs = self.observations(by, unit)
+        return densify(obs, self.calendar(unit), days, ["price", "cap", "cds"], ["volume"])
 
     def returns(self, by: str = "brand", unit: str = "week") -> DataFrame:
-        from riskpanel.operators.transforms import log_returns
         return log_returns(self.panel(by, unit))
 
     def index(self, unit: str = "week") -> DataFrame:
         """Market index log return r_m and risk-free rate rf, idx aligned with `returns`."""
-        day = period_start(F.col("l_shipdate"), unit)
         days = {"week": 7, "day": 1}[unit]
-        daily = self.table("lineitem").groupBy(day.alias("date")).agg(
-            (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("price"), F.avg("l_tax").alias("rf"),
+        market = self._aggregate("brand", unit).groupBy("date").agg(
+            (F.sum("volume") / F.sum("quantity")).alias("price"), (F.sum("tax") / F.sum("lines")).alias("rf"),
             F.lit(0.0).alias("none")).withColumn("entity", F.lit("INDEX"))
-        dense = densify(daily, self.calendar(unit), days, ["price", "rf"], ["none"]).drop("none")
-        from riskpanel.operators.transforms import log_returns
+        dense = densify(market, self.calendar(unit), days, ["price", "rf"], ["none"]).drop("none")
         return log_returns(dense).select("date", "idx", F.col("r").alias("r_m"), "rf")
 
     def balance(self) -> DataFrame:
