@@ -30,6 +30,7 @@ class Block:
         bucket = np.zeros(len(names), dtype=int)
         bucket[col_at] = pdf["bucket"].to_numpy()
         a, b = np.flatnonzero(bucket == left), np.flatnonzero(bucket == right)
+        self.left, self.right = a, b
         i, j = np.meshgrid(a, b, indexing="ij")
         i, j = i.ravel(), j.ravel()
         self.same = left == right
@@ -68,6 +69,23 @@ def pair_blocks(df: DataFrame, value: str, bw: int, kernel: Callable[[Block], li
     return rows.groupBy("p", "q", "run").applyInPandas(task, schema)
 
 
+def entity_blocks(df: DataFrame, value: str, bw: int, kernel: Callable[[Block], list[pd.DataFrame]], schema: str,
+                  block: int = 64, chunk: int = 64) -> DataFrame:
+    """Run `kernel` on every (bucket, run of windows), for statistics of single entities that need whole windows."""
+    chunk = max(chunk, head_rows(bw))
+    n = df.select("entity").distinct().agg(F.ceil(F.count(F.lit(1)) / block).alias("b")).scalar()
+    rows = df.select("entity", "idx", value).withColumn("buckets", n)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("entity"), F.col("buckets")).cast("int"))
+    first, last = F.floor((F.col("idx") - 1) / chunk), F.floor((F.col("idx") + bw - 2) / chunk)
+    rows = rows.withColumn("run", F.explode(F.sequence(first, last)))
+
+    def task(key, pdf):
+        parts = [part for part in kernel(Block(pdf, value, bw, chunk, int(key[1]), int(key[0]), int(key[0]))) if len(part)]
+        return pd.concat(parts) if parts else pd.DataFrame(columns=[c.split()[0] for c in schema.split(",")])
+
+    return rows.groupBy("bucket", "run").applyInPandas(task, schema)
+
+
 def section_blocks(df: DataFrame, value: str, bw: int, kernel: Callable[[Block], list[pd.DataFrame]], schema: str,
                    chunk: int = 64) -> DataFrame:
     """Run `kernel` on whole cross-sections, one run of windows per task, for statistics that need every

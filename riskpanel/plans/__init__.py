@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("sources", "transforms", "describe", "connectedness", "component", "dynamics", "crosssection")
+FAMILIES = ("sources", "transforms", "describe", "connectedness", "component", "dynamics", "crosssection", "risk")
 
 
 def load() -> dict:
