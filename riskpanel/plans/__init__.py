@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-FAMILIES = ("sources", "transforms", "describe", "connectedness", "component", "dynamics", "crosssection", "risk")
+FAMILIES = ("sources", "transforms", "describe", "connectedness", "component", "dynamics", "crosssection", "risk",
+            "comparison")
 
 
 def load() -> dict:
