@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskpanel.operators.transforms import log_returns
-from riskpanel.session import cut_lineage
+from riskpanel.session import cut_lineage, ship_package
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,7 @@ class Market:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        ship_package(spark)
         self._observations: dict[tuple[str, str], DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
