@@ -183,12 +183,12 @@ def eigenvector_centrality(edges: DataFrame, n: int, rounds: int = 200) -> DataF
         return _dense(edges, solve, "eigenvector")
     nodes = edges.select("idx", F.col("src").alias("entity")).union(edges.select("idx", "dst")).distinct()
     x = nodes.withColumn("x", F.lit(1.0))
-    for k in range(rounds):
+    for _ in range(rounds):
         y = nodes.join(x, ["idx", "entity"]).join(_matvec(edges, x), ["idx", "entity"], "left").withColumn(
             "x", F.col("x") + F.coalesce("y", F.lit(0.0))).drop("y")
+        y = cut_lineage(y)
         total = y.groupBy("idx").agg(F.sum("x").alias("s"))
         x = y.join(total, "idx").select("idx", "entity", (F.col("x") / F.col("s")).alias("x"))
-        x = cut_lineage(x) if k % 5 == 4 else x
     return x.withColumnRenamed("x", "eigenvector")
 
 
