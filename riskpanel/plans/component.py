@@ -12,6 +12,7 @@ from riskpanel.operators import entropy as E
 from riskpanel.operators import transforms as T
 from riskpanel.plans import sqltext as X
 from riskpanel.plans.registry import query
+from riskpanel.session import cut_lineage
 from riskpanel.sources import panels
 
 BW = 52
@@ -143,7 +144,7 @@ def _(m):
 def group_panel(m):
     """Group returns and spreads as a panel whose entities are the group names."""
     g = T.group_aggregate(m.returns(), panels.entity_groups(m.observations(), m.groups()))
-    return g.withColumnRenamed("short_name", "entity")
+    return cut_lineage(g.withColumnRenamed("short_name", "entity"))
 
 
 GROUP_SQL = R + X.ENTITY_GROUP + """
@@ -181,8 +182,8 @@ def _portfolio(m, panel):
 
 def _prior(m):
     panel = group_panel(m)
-    member, pod = _portfolio(m, panel), E.pods(panel, BW)
-    return E.orthant_prior(panel, member, pod, BW, 4), member, pod
+    member, pod = _portfolio(m, panel), cut_lineage(E.pods(panel, BW))
+    return cut_lineage(E.orthant_prior(panel, member, pod, BW, 4)), member, pod
 
 
 PRIOR_SQL = GROUP_SQL + POD_SQL + f"""

@@ -437,7 +437,8 @@ PENALTY_SQL = R + X.STATES + f"""
 xs as (select entity as var, idx, r as x from rets union all select 'state ' || var, idx, value from states join (select distinct date, idx from rets) d on d.date = states.date),
 win as materialized (select a.entity, a.idx, b.idx as row_at, b.r as y, row_number() over (partition by a.entity, a.idx order by b.r) as rk, count(*) over (partition by a.entity, a.idx) as t
   from rets a join rets b on a.entity = b.entity and b.idx between a.idx - {BW - 1} and greatest(a.idx, {K})),
-el as (select entity, idx, y as q, row_at as e from win where rk = floor(t*0.05) + 1),
+qs as (select entity, idx, y as q from win where rk = floor(t*0.05) + 1),
+el as (select w.entity, w.idx, q, max(row_at) as e from win w join qs on w.entity = qs.entity and w.idx = qs.idx and w.y = qs.q group by 1, 2, 3),
 wt as (select w.entity, w.idx, row_at, e, case when y < q then 0.95 when y > q then -0.05 else 0 end as g from win w join el on w.entity = el.entity and w.idx = el.idx),
 gn as (select wt.entity, wt.idx, v.var, sum(g*(coalesce(x.x, 0) - coalesce(xe.x, 0))) as gain from wt cross join (select distinct var from xs) v left join xs x on x.var = v.var and x.idx = wt.row_at
   left join xs xe on xe.var = v.var and xe.idx = wt.e where v.var <> wt.entity group by 1, 2, 3),

@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from check import TABLES, compare  # noqa: E402
-from tests.conftest import SMALL  # noqa: E402
+
+SMALL = "/root/testdata/sf0.01"
 
 SAMPLE = ("wide_panel_source", "period_aligned_balance", "result_catalogue", "rule_unsorted_dates", "log_returns", "rolling_windows",
           "forward_roll", "fill_linear", "mad_outliers", "smooth", "age_weights", "rank_topbottom", "describe_returns", "shapiro_test",
