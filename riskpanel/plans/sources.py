@@ -21,7 +21,7 @@ def _order_wide(m):
     return orders.groupBy("Date").pivot("o_orderpriority", PRIORITIES).agg((F.avg("o_totalprice") / 1e5).alias("v"))
 
 
-@query("wide_panel_source", keys="date, entity", nums="value", digits=9, sql="""
+@query("wide_panel_source", keys="date, entity", nums="value", digits=12, sql="""
 select_final select d.date, p.entity, v.value
 from (select distinct cast(date_trunc('week', o_orderdate) as date) as date from orders) d
 cross join (select * from (values ('1-URGENT'),('2-HIGH'),('3-MEDIUM'),('4-NOT SPECIFIED'),('5-LOW')) t(entity)) p
