@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name: module that holds it and, where SQL can say it, its SQL as SQL
 QUERIES = {
     "op2_byte_bpe": "bpe",
+    "op4_substring_dedup": "substring",
 }
 
 
