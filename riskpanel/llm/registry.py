@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "op2_byte_bpe": "bpe",
     "op4_substring_dedup": "substring",
+    "op5_minhash_near_dedup": "neardup",
+    "op9_decontamination": "contamination",
+    "op10_quality_rules": "lines",
 }
 
 
