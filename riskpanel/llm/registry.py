@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: module that holds it and, where SQL can say it, its SQL as SQL
 QUERIES = {
+    "op1_language_id": "langid",
     "op2_byte_bpe": "bpe",
     "op4_substring_dedup": "substring",
     "op5_minhash_near_dedup": "neardup",
+    "op6_personal_data": "pii",
     "op9_decontamination": "contamination",
     "op10_quality_rules": "lines",
 }
