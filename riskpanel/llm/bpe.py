@@ -12,11 +12,10 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.llm.common import map_rows, table, text_rows, texts
+from riskpanel.llm.common import Memo, map_rows, table, text_rows, texts
 
 LEAF_BYTES = 64
 LEAF_CHARS = 1 << 15
-CACHED = 300_000
 DECODE_LEAF = 1 << 16
 
 
@@ -26,22 +25,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class _Memo(dict):
-    """Results of a function seen so far; emptied when full, so that memory stays bounded."""
-
-    def __init__(self, work, longest: int = 64):
-        super().__init__()
-        self.work, self.longest = work, longest
-
-    def __missing__(self, key):
-        value = self.work(key)
-        if len(self) >= CACHED:
-            self.clear()
-        if len(key) <= self.longest:
-            self[key] = value
-        return value
-
-
 class Codec:
     """Encoder and decoder for one table of ranks and one pattern."""
 
@@ -51,7 +34,7 @@ class Codec:
         # \s of the regex library also differs between versions in the control separators; the Unicode property does not
         spaced = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.find = regex.compile(spaced, regex.V0).findall
-        self.known = _Memo(self.pack)
+        self.known = Memo(self.pack)
         self.merge = tiktoken.Encoding("leaves", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     # one piece

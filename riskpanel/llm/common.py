@@ -14,7 +14,7 @@ from riskpanel.session import ship_package
 
 #: Characters that separate words, as a Java class: space and tab to carriage return. `bytes.split()` uses the same set.
 SPACE = r"[\x20\x09-\x0D]"
-GOLDEN = 0x9E3779B97F4A7C15
+CACHED = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,13 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id and text_key (hash of the text) are not in `found`; null ids are compared too."""
+    gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_key"))
+    return docs.join(gone, same, "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,3 +89,19 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
     """The UTF-8 bytes of the texts of a batch one at a time; null is empty."""
     for value in batch.column(column).cast(pa.binary()):
         yield value.as_py() or b""
+
+
+class Memo(dict):
+    """Results of a function seen so far; emptied when full, so that memory stays bounded."""
+
+    def __init__(self, work, longest: int = 64):
+        super().__init__()
+        self.work, self.longest = work, longest
+
+    def __missing__(self, key):
+        value = self.work(key)
+        if len(self) >= CACHED:
+            self.clear()
+        if len(key) <= self.longest:
+            self[key] = value
+        return value

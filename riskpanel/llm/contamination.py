@@ -60,7 +60,7 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, ratio: int = RATIO) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings, comma-joined), contaminated for every row of `docs`.
+    """doc_id, text_key, n_words, n_hit, n_items, items (sorted as strings, comma-joined), contaminated for every row.
 
     A null text has no words; an item without words has no window and one of fewer than WINDOW words is one window. An
     item with a null id marks words but is not listed. Rows with the same doc_id and text are the same document and each
@@ -81,7 +81,7 @@ def contamination(docs: DataFrame, items: DataFrame, ratio: int = RATIO) -> Data
     out = counts.join(marked, counts["doc_id"].eqNullSafe(marked["doc_id"]) & (counts["text_key"] == marked["text_key"]), "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        counts["doc_id"], "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        counts["doc_id"], counts["text_key"], "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items", F.lit("")).alias("items"), ((hit > 0) & (ratio * hit >= F.col("n_words"))).alias("contaminated"))
 
 

@@ -100,4 +100,4 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     raw = dictionaries(docs.filter(~held_out).select("text", "lang"))
     out = identify(docs, raw)
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"), "lang_pred", "score", "sure")
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "sure")

@@ -68,8 +68,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sketches.append(None)
                 bands.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary()),
-             pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "node", "n_shingles", "sketch", "bands"])
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary()),
+             pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "n_shingles", "sketch", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def rest_pairs(entries: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, text_key (a hash of the text), n_shingles, component_id, kept for every row.
 
     Null and blank texts have an empty set, are linked with nothing and stay. Repeated rows have equal sets and so are one
     node: each is reported, and rows that share the least doc_id are all kept. A null doc_id counts as larger than
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark, rows = docs.sparkSession, text_rows(docs)
     folder = shared_folder(spark)
-    signed = written(map_rows(rows, _signatures, "doc_id long, node binary, n_shingles long, sketch binary, bands array<long>"), folder, "signed")
+    signed = written(map_rows(rows.withColumn("text_key", F.xxhash64("text")), _signatures, "doc_id long, text_key long, node binary, n_shingles long, sketch binary, bands array<long>"), folder, "signed")
     nodes = signed.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = written(nodes, folder, "nodes")
@@ -189,13 +189,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = ids.join(least, "root").select("node", "component_id")
-    out = signed.select("doc_id", "node", "n_shingles").join(named, "node", "left")
+    out = signed.select("doc_id", "text_key", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 SQL = r"""

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "op1_language_id": "langid",
     "op2_byte_bpe": "bpe",
+    "op3_quality_classifier": "quality",
     "op4_substring_dedup": "substring",
     "op5_minhash_near_dedup": "neardup",
     "op6_personal_data": "pii",
+    "op7_training_order": "ordering",
+    "op8_sharding": "sharding",
     "op9_decontamination": "contamination",
     "op10_quality_rules": "lines",
 }

@@ -5,37 +5,34 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-ROUNDS = 200
+ROUNDS = 500
 TOLERANCE = 1e-7
-#: Pseudo-counts of the prior: voters are right more often than not.
-RIGHT, WRONG = 4.0, 1.0
+#: Pseudo-counts of a voter's outcomes (against, abstains, for) in the positive class; the other class has them reversed.
+PRIOR = np.array([0.2, 1.0, 1.8])
+#: Posterior to begin with, without and with a vote against.
+FIRST = (0.9, 0.1)
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, start: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def estimate(votes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation over distinct vote rows (1 for, -1 against, 0 abstains) and how often each occurs.
 
-    Every voter has one reliability for either class. Returns the posterior of the positive class for each row and the
-    reliabilities, shape (2, voters). Stops when no posterior moves by TOLERANCE.
+    A voter has its own chances of the three outcomes in either class, so that one which sees a single kind of fault is
+    not taken to vouch for the rest. Returns the posterior of the positive class for each row and the chances, shape
+    (2, voters, 3). Stops when no posterior moves by TOLERANCE.
     """
-    if not len(votes):
-        return np.empty(0), np.full((2, votes.shape[1]), RIGHT / (RIGHT + WRONG))
-    yes, no = votes == 1, votes == -1
-    total = counts.sum()
-    posterior = 1 / (1 + np.exp(-votes.sum(axis=1)))
-    for _ in range(ROUNDS):
-        weight = counts * posterior
-        other = counts - weight
-        prior = np.clip((weight.sum() + start) / (total + 1), 1e-6, 1 - 1e-6)
-        right_yes = ((weight[:, None] * yes).sum(0) + RIGHT) / ((weight[:, None] * (yes | no)).sum(0) + RIGHT + WRONG)
-        right_no = ((other[:, None] * no).sum(0) + RIGHT) / ((other[:, None] * (yes | no)).sum(0) + RIGHT + WRONG)
-        # a voter is never taken to be worse than chance, which keeps the classes from changing places
-        right_yes, right_no = np.clip(right_yes, 0.5, 1 - 1e-6), np.clip(right_no, 0.5, 1 - 1e-6)
-        odds = np.log(prior / (1 - prior)) + (yes * np.log(right_yes / (1 - right_no)) + no * np.log((1 - right_yes) / right_no)).sum(1)
+    outcomes = np.stack([votes == -1, votes == 0, votes == 1], axis=2).astype(float)
+    posterior = np.where((votes == -1).any(axis=1), FIRST[1], FIRST[0])
+    chances = np.stack([np.tile(PRIOR / PRIOR.sum(), (votes.shape[1], 1)), np.tile(PRIOR[::-1] / PRIOR.sum(), (votes.shape[1], 1))])
+    for _ in range(ROUNDS if len(votes) else 0):
+        weights = counts * posterior, counts * (1 - posterior)
+        chances = np.stack([np.tensordot(w, outcomes, 1) + p for w, p in zip(weights, (PRIOR, PRIOR[::-1]))])
+        chances /= chances.sum(axis=2, keepdims=True)
+        odds = np.log(weights[0].sum() + 1) - np.log(weights[1].sum() + 1) + np.tensordot(outcomes, np.log(chances[0]) - np.log(chances[1]), 2)
         now = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         moved, posterior = np.abs(now - posterior).max(), now
         if moved < TOLERANCE:
             break
-    return posterior, np.stack([right_yes, right_no])
+    return posterior, chances
 
 
 def slot(feature: str, size: int) -> int:
