@@ -78,10 +78,11 @@ def contamination(docs: DataFrame, items: DataFrame, ratio: int = RATIO) -> Data
         marked = none.select("*", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
     else:
         marked = _marked(rows, cut, windows, lengths, folder)
-    out = counts.join(marked, counts["doc_id"].eqNullSafe(marked["doc_id"]) & (counts["text_key"] == marked["text_key"]), "left")
+    marked = marked.withColumnsRenamed({"doc_id": "hit_id", "text_key": "hit_key"})
+    out = counts.join(marked, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        counts["doc_id"], counts["text_key"], "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        "doc_id", "text_key", "n_words", hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items", F.lit("")).alias("items"), ((hit > 0) & (ratio * hit >= F.col("n_words"))).alias("contaminated"))
 
 
