@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -114,28 +113,6 @@ def bsadf(df: DataFrame, value: str = "price", lag_max: int = 0, kind: str = "FI
     return per_series(df, [value], fn, "idx long, bsadf double").filter("bsadf is not null and not isnan(bsadf)")
 
 
-def wild_bootstrap_cv(df: DataFrame, value: str = "price", cvq: float = 0.95, paths: int = 500) -> DataFrame:
-    """Critical value per series: quantile of the two sup statistics of resampled residual paths of w + 1 rows.
-
-    Draws are seeded by the series name, so a recomputed task gives the same numbers. No lags.
-    """
-
-    def fn(entity, rows):
-        y = rows[value].to_numpy(float)
-        w = minimum_window(len(y))
-        dy = np.diff(y)
-        e = dy - dy.mean()
-        rng = np.random.default_rng(zlib.crc32(entity.encode()))
-        steps = rng.standard_normal((paths, w)) * e[rng.integers(0, len(e), (paths, w))]
-        walks = np.concatenate([np.zeros((paths, 1)), np.cumsum(steps, axis=1)], axis=1)
-        top = np.sort([np.nanmax(_sup_stats(x, w)) for x in walks])
-        pos = min(max(paths * cvq + 0.5, 1.0), paths)
-        lo = int(math.floor(pos))
-        return {"cv": [top[lo - 1] + (pos - lo) * (top[min(lo, paths - 1)] - top[lo - 1])]}
-
-    return per_series(df, [value], fn, "cv double")
-
-
 def bubble_islands(stats: DataFrame, lengths: DataFrame, mbd: int | None = None) -> DataFrame:
     """Episodes above the critical value: runs shorter than mbd rows are dropped, then runs at most 2 mbd apart
     are joined. `stats` has bsadf and cv, `lengths` the rows t per entity (mbd defaults to floor(ln t))."""

@@ -10,10 +10,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskpanel.functions.scalar import f_inv
+from riskpanel.operators.gram import explained, from_sums, gram_sums
 
 
 def standardise(wide: DataFrame, cols: list[str], cutoff: int = 1) -> DataFrame:
@@ -67,39 +68,46 @@ def rms_similarity(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("left", "right").agg(F.sqrt(F.avg(s * s)).alias("rmss"))
 
 
-def _fit(y: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
+#: Penalty of one more parameter, by criterion, as a function of the rows used.
+PENALTY = {"AIC": lambda n: 2.0, "BIC": np.log, "HQIC": lambda n: 2.0 * np.log(np.log(n))}
 
 
-def _criterion(kind: str, sse: float, k: int, d: int) -> float:
-    fit = k * np.log(sse / k)
-    return {"AIC": fit + 2 * d, "BIC": fit + np.log(k) * d, "FPE": fit + np.log((k + d + 1) / (k - d - 1)),
-            "HQIC": fit + 2 * np.log(np.log(k)) * d}[kind]
+def _history(pairs: DataFrame, behind: int, ahead: int = 0) -> DataFrame:
+    """Each row with the values of both series from `behind` rows back to `ahead` rows on, newest first; whole frames only."""
+    frame = Window.partitionBy("left", "right").orderBy("idx").rowsBetween(-behind, ahead)
+    rows = pairs.withColumns({c: F.reverse(F.collect_list(c).over(frame)) for c in ("x", "y")})
+    return rows.filter(F.size("x") == behind + ahead + 1)
 
 
 def granger_ftest(pairs: DataFrame, a: float = 0.01, lag_max: int = 10, kind: str = "AIC") -> DataFrame:
     """Does y help to explain x beyond its own lags? Lags by criterion, all fits on the rows after lag_max.
 
-    The denominator degrees of freedom are k - lag_r + lag_u + 1, as the measure defines them.
+    One pass gathers the products of the constant, x and its lags, and the lags of y; all fits are nested in that matrix.
+    The denominator degrees of freedom are rows - lag_r + lag_u + 1, as the measure defines them.
     """
+    rows = _history(pairs, lag_max).withColumn("v", F.concat(F.array(F.lit(1.0)), "x", F.slice("y", 2, lag_max)))
+    own, other = list(range(2, 2 + lag_max)), list(range(2 + lag_max, 2 + 2 * lag_max))
 
-    def fn(x, y):
-        t = len(x)
-        k = t - lag_max
-        lagged = lambda v, m: [v[lag_max - j:t - j] for j in range(1, m + 1)]
-        one, target = np.ones(k), x[lag_max:]
-
-        def scan(base, series):
-            sse = [float((_fit(target, np.column_stack(base + lagged(series, m))) ** 2).sum()) for m in range(1, lag_max + 1)]
-            best = int(np.argmin([_criterion(kind, s, k, len(base) + m) for m, s in enumerate(sse, 1)]))
-            return best + 1, sse[best]
-
-        lag_r, rss_r = scan([one], x)
-        lag_u, rss_u = scan([one, *lagged(x, lag_r)], y)
-        df = k - lag_r + lag_u + 1
-        return [max((rss_r - rss_u) / lag_u, 0.0) / (rss_u / df), lag_r, lag_u, df]
-
-    out = _per_pair(pairs, fn, "stat double, lag_r int, lag_u int, df int")
+    def fit(g):
+        n = g[0, 0]
+
+        def cost(sse, size):
+            if kind == "FPE":
+                return n * np.log(sse / n) + np.log((n + size + 1) / (n - size - 1))
+            return n * np.log(sse / n) + PENALTY[kind](n) * size
+
+        def shortest(fixed, more):
+            left = [explained(g, fixed + more[:m], [1])[1][0, 0] for m in range(1, lag_max + 1)]
+            at = int(np.argmin([cost(sse, len(fixed) + m) for m, sse in enumerate(left, 1)]))
+            return at + 1, left[at]
+
+        lag_r, alone = shortest([0], own)
+        lag_u, both = shortest([0, *own[:lag_r]], other)
+        df = int(n) - lag_r + lag_u + 1
+        return [max(alone - both, 0.0) / lag_u / (both / df), lag_r, lag_u, df]
+
+    out = from_sums(gram_sums(rows.select("left", "right", "idx", "v"), ["left", "right"]), ["left", "right"], fit,
+                    "stat double, lag_r int, lag_u int, df int")
     cv = f_inv(F.lit(1.0 - a), F.col("lag_u").cast("double"), F.col("df").cast("double"))
     return out.withColumn("cv", cv).withColumn("rejected", F.col("stat") > F.col("cv"))
 
@@ -209,47 +217,58 @@ def predictive_power(wide: DataFrame, cols: list[str], dummy: str, folds: int =
     return long.groupBy("label").applyInPandas(task, "label string, pps double")
 
 
+def autoregression_lag(pairs: DataFrame, lag_max: int, kind: str) -> DataFrame:
+    """(left, right, lag): order of the joint autoregression with intercept and trend that minimises the criterion."""
+    rows = _history(pairs, lag_max).withColumn("v", F.concat(F.array(F.lit(1.0), F.col("idx").cast("double")), "x", "y"))
+    x, y = 2, 3 + lag_max
+
+    def fit(g):
+        n = g[0, 0]
+        costs = []
+        for m in range(1, lag_max + 1):
+            on = [0, 1, *range(x + 1, x + 1 + m), *range(y + 1, y + 1 + m)]
+            spread = np.linalg.det(explained(g, on, [x, y])[1] / n)
+            if kind == "FPE":
+                costs.append(((n + len(on)) / (n - len(on))) ** 2 * spread)
+            else:
+                costs.append(np.log(spread) + PENALTY[kind](n) / n * 4 * (m + 1))
+        return [int(np.argmin(costs)) + 1]
+
+    return from_sums(gram_sums(rows.select("left", "right", "idx", "v"), ["left", "right"]), ["left", "right"], fit, "lag int")
+
+
 def price_discovery(pairs: DataFrame, kind: str = "GG", lag_max: int = 10, criterion_kind: str = "AIC") -> DataFrame:
     """(m1, m2): shares of the common trend from a two-variable error-correction model.
 
-    The lag minimises the criterion of a two-variable autoregression with intercept and trend. As the measure defines
-    it, a difference is explained by the equilibrium error `lag` rows on and by the lag - 1 differences after it.
+    The order is that of `autoregression_lag`. As the measure defines it, a difference is explained by the equilibrium
+    error `lag` rows on and by the lag - 1 differences after it. Differences and errors are linear in the values of
+    neighbouring rows, so the products of those values are all that is gathered.
     """
-
-    def select_lag(d):
-        t = len(d)
-        s = t - lag_max
-        y = d[lag_max:]
-        crit = []
-        for i in range(1, lag_max + 1):
-            z = np.column_stack([*[d[lag_max - j:t - j] for j in range(1, i + 1)], np.ones(s), np.arange(s)])
-            e = _fit(y, z)
-            det, k = np.linalg.det(e.T @ e / s), i * 4 + 4
-            crit.append({"AIC": np.log(det) + 2 / s * k, "BIC": np.log(det) + np.log(s) / s * k,
-                         "FPE": ((s + z.shape[1]) / (s - z.shape[1])) ** 2 * det,
-                         "HQIC": np.log(det) + 2 * np.log(np.log(s)) / s * k}[criterion_kind])
-        return int(np.argmin(crit)) + 1
-
-    def fn(x, y):
-        d = np.column_stack([x, y])
-        lag, t = select_lag(d), len(x)
-        gap = _fit(y, np.column_stack([np.ones(t), x]))
-        dx, dy = np.diff(x), np.diff(y)
-        n = t - 1 - lag
-        near = [v[i:i + n] for v in (dx, dy) for i in range(1, lag)]
-        z = np.column_stack([np.ones(n), gap[lag + 1:], *near])
-        b, e = zip(*[(np.linalg.lstsq(z, v[:n], rcond=None)[0], _fit(v[:n], z)) for v in (dx, dy)])
-        d1, d2 = b[0][1], b[1][1]
+    keys = ["left", "right"]
+    lags = autoregression_lag(pairs, lag_max, criterion_kind)
+    line = pairs.groupBy(*keys).agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("level"))
+    frame = Window.partitionBy(*keys).orderBy("idx").rowsBetween(0, lag_max + 1)
+    rows = pairs.withColumns({c: F.collect_list(c).over(frame) for c in ("x", "y")}).join(lags, keys).filter(F.size("x") >= F.col("lag") + 2).join(line, keys)
+    step = lambda c: F.transform(F.sequence(F.lit(1), F.col("lag")), lambda i: F.get(F.col(c), i) - F.get(F.col(c), i - 1))
+    gap = F.get("y", F.col("lag") + 1) - F.col("level") - F.col("slope") * F.get("x", F.col("lag") + 1)
+    v = F.concat(F.array(F.lit(1.0), gap), step("x"), step("y"))
+
+    def fit(g):
+        lag = (len(g) - 2) // 2
+        now, rest = [2, 2 + lag], [i for i in range(2, 2 + 2 * lag) if i not in (2, 2 + lag)]
+        root, left = explained(g, [0, 1, *rest], now)
+        pull = root[1]
         if kind == "GG":
-            v = abs(d1) / (abs(d1) + abs(d2))
+            share = abs(pull[0]) / np.abs(pull).sum()
         else:
-            s1, s2, rho = e[0].std(ddof=1), e[1].std(ddof=1), np.corrcoef(e[0], e[1])[0, 1]
-            vp = (-d2 * s1 + d1 * rho * s2) ** 2
-            v = vp / (vp + (d1 * s2 * np.sqrt(1 - rho ** 2)) ** 2)
-        m1 = min(max(v, 0.0), 1.0)
-        return [m1, 1.0 - m1, lag]
-
-    return _per_pair(pairs, fn, "m1 double, m2 double, lag int")
+            sd, cross = np.sqrt(np.diag(left)), left[0, 1]
+            rho = cross / sd.prod()
+            first = (pull[0] * rho * sd[1] - pull[1] * sd[0]) ** 2
+            share = first / (first + pull[0] ** 2 * sd[1] ** 2 * (1.0 - rho * rho))
+        share = float(np.clip(share, 0.0, 1.0))
+        return [share, 1.0 - share, lag]
+
+    return from_sums(gram_sums(rows.select(*keys, "idx", v.alias("v")), keys), keys, fit, "m1 double, m2 double, lag int")
 
 
 def overall_score(parts: list[tuple[DataFrame, float]]) -> DataFrame:

@@ -59,11 +59,6 @@ def _(m):
     return B.bsadf(bubble_panel(m), lag_max=2, kind="AIC")
 
 
-@query("bubble_critical_values", keys="entity", nums="cv")
-def _(m):
-    return B.wild_bootstrap_cv(bubble_panel(m))
-
-
 ISLAND_SQL = BUBBLE_SQL + """
 hot as (select entity, idx, idx - row_number() over (partition by entity order by idx) as run from bs where bsadf > 0.5),
 runs as (select entity, run, min(idx) as s, max(idx) as e from hot group by 1, 2 having max(idx) - min(idx) + 1 >= floor(ln((select max(t) from pf)))),
@@ -109,16 +104,6 @@ def _(m):
     return B.bubble_capitalization(B.bubble_flags(panel, B.bubble_breakdown(islands, panel))).withColumn("bc_m", F.col("bc") / 1e6)
 
 
-@query("bubble_detection", keys="date", nums="bcp")
-def _(m):
-    """Whole family: statistics against bootstrap values, episodes, share of capital in bubbles."""
-    panel = bubble_panel(m)
-    lengths = panel.groupBy("entity").agg(F.count(F.lit(1)).alias("t"))
-    stats = cut_lineage(B.bsadf(panel).join(B.wild_bootstrap_cv(panel), "entity"))
-    islands = B.bubble_islands(stats, lengths)
-    return B.bubble_capitalization(B.bubble_flags(panel, B.bubble_breakdown(islands, panel)))
-
-
 A = 0.05
 HITS_SQL = R + X.index() + f"""
 bh as (select entity, r.idx, r, r_m from rets r join idx_rets i on r.idx = i.idx),
@@ -178,11 +163,21 @@ def _(m):
     return Q.ci_self_normalised(_both(m), A, lags=3)
 
 
-@query("quantilogram_bootstrap", keys="entity, direction", ints="lag", nums="cq, lo, hi")
-def _(m):
-    return Q.ci_stationary_bootstrap(_both(m), A, lags=2)
+LENGTH_SQL = X.panel("supplier") + """
+bl as (select entity, idx, r as x from rets),
+sz as (select entity, count(*) as t, cast(floor(greatest(sqrt(log10(count(*))), 5)) as integer) as run,
+  cast(ceil(sqrt(count(*))) as integer) + cast(floor(greatest(sqrt(log10(count(*))), 5)) as integer) as lim from bl group by 1),
+lp as materialized (select a.entity, t, run, lim, a.idx, a.idx - b.idx as lag, a.x, b.x as past from bl a join sz on a.entity = sz.entity join bl b on a.entity = b.entity and a.idx - b.idx between 0 and lim),
+rh as (select entity, t, run, lim, lag, abs(corr(x, past)) < 2*sqrt(log10(t)/t) as small from lp where lag > 0 and idx > lim group by 1, 2, 3, 4, 5),
+qt as (select a.entity, a.lag from rh a join rh b on a.entity = b.entity and b.lag between a.lag and a.lag + a.run - 1 group by 1, 2, a.run having count(*) = a.run and bool_and(b.small)),
+mw as (select entity, least(2*coalesce((select min(lag) from qt where qt.entity = rh.entity), max(case when not small then lag end), 1), any_value(lim)) as m from rh group by 1),
+cv as (select lp.entity, t, m, lag, covar_samp(x, past) as c from lp join mw using (entity) where lag <= m and idx > m group by 1, 2, 3, 4),
+kw as (select *, case when lag/m < 0.5 then 1.0 when lag <= m then 2*(1 - lag/m) else 0 end*(case when lag = 0 then 1 else 2 end) as w from cv),
+ks as (select entity, t, sum(w*c) as lv, sum(w*c*lag) as sl from kw group by 1, 2),
+"""
 
 
-@query("optimal_block_length", keys="entity", nums="block_length")
+@query("optimal_block_length", keys="entity", nums="block_length", sql=LENGTH_SQL + """
+select_final select entity, least(power(sl*sl*t/(lv*lv), 1.0/3), ceil(least(3*sqrt(t), t/3.0))) as block_length from ks""")
 def _(m):
     return Q.optimal_block_length(m.returns("supplier"), "r")

@@ -346,12 +346,6 @@ def test_bsadf_with_lags_matches_direct(returns):
         assert abs(got[(i,)] - max(stats)) < 1e-5
 
 
-def test_seeded_draws_repeat(returns, pair):
-    cv = [sorted(tuple(r) for r in bubbles.wild_bootstrap_cv(returns, "price", paths=50).collect()) for _ in range(2)]
-    ci = [sorted(tuple(r) for r in quantilogram.ci_stationary_bootstrap(pair, 0.1, 1, cib=20).collect()) for _ in range(2)]
-    assert cv[0] == cv[1] and ci[0] == ci[1] and all(r[4] <= 0 <= r[5] for r in ci[0])
-
-
 def test_partial_quantilogram_without_controls_is_the_plain_one(pair):
     plain = quantilogram.cross_quantilogram(quantilogram.paired_hits(pair.drop("r_m"), pair.filter("entity = 'Brand#1'").select("idx", "r_m"), 0.1), 3)
     part = quantilogram.partial_cross_quantilogram(pair, [], 0.1, 3)
