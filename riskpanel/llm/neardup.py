@@ -63,13 +63,20 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for r in range(ROWS):
                     key = (key ^ rows[:, r]) * np.uint64(0x9E3779B97F4A7C15)
                     key ^= key >> np.uint64(32)
-                bands.append(key.view(np.int64))
+                bands.append(key.astype("<u8").tobytes())
             else:
                 sketches.append(None)
                 bands.append(None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary()),
-             pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "node", "n_shingles", "sketch", "bands"])
+             pa.array(bands, pa.binary())], ["doc_id", "text_key", "node", "n_shingles", "sketch", "bands"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.frombuffer(b"".join(batch.column("bands").to_pylist()), "<i8")
+        each = np.repeat(np.arange(batch.num_rows), BANDS)
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(each)), pa.array(keys.astype(np.int64))], ["node", "bucket"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,17 +84,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [shingles(v.as_py() or b"") for v in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays(
             [pa.array([hashlib.md5(x.astype("<u8").tobytes()).digest() for x in found], pa.binary()),
-             pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["node", "items"])
+             pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], ["node", "items"])
+
+
+def _confirm(percent: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column("x"), batch.column("y")):
+                x, y = np.frombuffer(left.as_py(), "<u8"), np.frombuffer(right.as_py(), "<u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return work
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets reach the threshold."""
     left, right = sets.select(F.col("node").alias("a"), F.col("items").alias("x")), sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    least, most = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.filter(100 * least >= percent * most).select("a", "b", (F.size("x") + F.size("y")).alias("total"), shared.alias("shared"))
-    return both.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+    both = both.filter(100 * F.least(F.length("x"), F.length("y")) >= percent * F.greatest(F.length("x"), F.length("y")))
+    return map_rows(both.select("a", "b", "x", "y"), _confirm(percent), "a binary, b binary")
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -108,45 +126,91 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
         before = now
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's block that are in different components and whose sketches agree enough.
+def _passing(bucket: int, nodes: list, roots: list, sides: list, sketches: list, bands: list) -> list[tuple[int, int, int]]:
+    """(agreement, row, column) of a block's pairs that are in different components, whose sketches agree enough, and that
+    share no earlier band: each pair is looked at in one bucket only."""
+    if len(nodes) < 2 or len(set(roots)) < 2:
+        return []
+    values = np.frombuffer(b"".join(sketches), "<u2").reshape(len(nodes), -1)
+    keys = np.frombuffer(b"".join(bands), "<i8").reshape(len(nodes), -1)
+    earlier = keys[:, :np.flatnonzero(keys[0] == bucket)[0]]
+    _, root = np.unique(np.array(roots, dtype=object), return_inverse=True)
+    side = np.array(sides)
+    rows = np.flatnonzero(side == 0)
+    columns = np.flatnonzero(side == 1) if (side == 1).any() else rows
+    out, least = [], SKETCH_SHARE * values.shape[1]
+    for r in rows:
+        other = columns[(root[columns] != root[r]) & ((columns > r) | (side[columns] == 1))]
+        agree = (values[other] == values[r]).sum(axis=1)
+        other, agree = other[agree >= least], agree[agree >= least]
+        fresh = ~(earlier[other] == earlier[r]).any(axis=1)
+        out += [(int(n), int(r), int(c)) for n, c in zip(agree[fresh], other[fresh])]
+    return out
 
-    Rows come sorted by (bucket, i, j), so one block is held at a time. `side` is 0 for block i and 1 for block j.
-    """
-    def compare(nodes, roots, sides, sketches) -> Iterator[pa.RecordBatch]:
-        if len(set(roots)) < 2:
-            return
-        values = np.frombuffer(b"".join(sketches), "<u2").reshape(len(nodes), -1)
-        _, root = np.unique(np.array(roots, dtype=object), return_inverse=True)
-        side = np.array(sides)
-        rows = np.flatnonzero(side == 0)
-        columns = np.flatnonzero(side == 1) if (side == 1).any() else rows
-        least = SKETCH_SHARE * values.shape[1]
-        a, b = [], []
-        for r in rows:
-            other = columns[(root[columns] != root[r]) & ((columns > r) | (side[columns] == 1))]
-            if len(other):
-                for c in other[(values[other] == values[r]).sum(axis=1) >= least]:
-                    a.append(min(nodes[r], nodes[c]))
-                    b.append(max(nodes[r], nodes[c]))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    key, held = None, ([], [], [], [])
+
+def _each_block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[list]]]:
+    """The rows of one (bucket, i, j) after another; they come sorted, so one block is held at a time."""
+    key, held = None, [[] for _ in columns]
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "node", "root", "side", "sketch"))):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", *columns))):
             if row[:3] != key:
-                if len(held[0]) > 1:
-                    yield from compare(*held)
-                key, held = row[:3], ([], [], [], [])
+                if key is not None:
+                    yield key, held
+                key, held = row[:3], [[] for _ in columns]
             for values, value in zip(held, row[3:]):
                 values.append(value)
-    if len(held[0]) > 1:
-        yield from compare(*held)
+    if key is not None:
+        yield key, held
+
+
+_ENTRY = ("node", "root", "side", "sketch", "bands")
 
 
-def rest_pairs(entries: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Candidate pairs of buckets that still hold more than one component, each bucket in blocks of about BLOCK rows."""
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block that have a passing pair."""
+    for (bucket, i, j), held in _each_block(batches, _ENTRY):
+        keep = sorted({x for _, r, c in _passing(bucket, *held) for x in (r, c)})
+        if keep:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v] * len(keep), kind) for v, kind in ((bucket, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
+                + [pa.array([column[k] for k in keep], kind) for column, kind in zip(held, (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))],
+                ["bucket", "i", "j", *_ENTRY])
+
+
+def _linked(percent: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each block, confirmed on full sets. A pair that confirmed links of the block join already is passed over."""
+        for (bucket, _, _), (*held, items) in _each_block(batches, (*_ENTRY, "items")):
+            nodes, roots = held[0], held[1]
+            parent: dict = {}
+
+            def find(x):
+                while parent.get(x, x) != x:
+                    parent[x] = x = parent.get(parent[x], parent[x])
+                return x
+
+            a, b = [], []
+            for _, r, c in sorted(_passing(bucket, *held), reverse=True):
+                left, right = find(roots[r]), find(roots[c])
+                if left != right:
+                    x, y = np.frombuffer(items[r], "<u8"), np.frombuffer(items[c], "<u8")
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        parent[left] = right
+                        a.append(min(nodes[r], nodes[c]))
+                        b.append(max(nodes[r], nodes[c]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return work
+
+
+def rest_links(entries: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a bucket, each bucket in blocks of about BLOCK rows.
+
+    Sketches first say which rows of a block can have a link at all; only those fetch their sets. What a task returns
+    joins components, so its rows grow with the nodes and not with their pairs.
+    """
     spark = entries.sparkSession
     now = entries.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     split = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high")
@@ -155,9 +219,12 @@ def rest_pairs(entries: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFr
     sides = F.flatten(F.array(
         F.transform(F.sequence("part", F.col("parts") - 1), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
         F.filter(F.transform(F.sequence(F.lit(0), "part"), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("side"))), lambda x: x["i"] < x["j"])))
-    dealt = now.join(nodes.select("node", "sketch"), "node").select("bucket", "node", "root", "sketch", F.explode(sides).alias("s")).select("bucket", "s.i", "s.j", "node", "root", "s.side", "sketch")
-    dealt = dealt.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return map_rows(dealt, _blocks, "a binary, b binary").distinct()
+    dealt = now.join(nodes.select("node", "sketch", "bands"), "node").select("bucket", "node", "root", "sketch", "bands", F.explode(sides).alias("s"))
+    dealt = dealt.select("bucket", "s.i", "s.j", "node", "root", "s.side", "sketch", "bands")
+    blocked = dealt.repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    needed = map_rows(blocked, _needed, "bucket long, i int, j int, node binary, root binary, side int, sketch binary, bands binary")
+    filled = needed.join(sets.select("node", "items"), "node").repartition(partitions(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return map_rows(filled, _linked(percent), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -169,22 +236,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark, rows = docs.sparkSession, text_rows(docs)
     folder = shared_folder(spark)
-    signed = written(map_rows(rows.withColumn("text_key", F.xxhash64("text")), _signatures, "doc_id long, text_key long, node binary, n_shingles long, sketch binary, bands array<long>"), folder, "signed")
+    signed = written(map_rows(rows.withColumn("text_key", F.xxhash64("text")), _signatures, "doc_id long, text_key long, node binary, n_shingles long, sketch binary, bands binary"), folder, "signed")
     nodes = signed.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = written(nodes, folder, "nodes")
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
+    entries = map_rows(nodes.select("node", "bands"), _entries, "node binary, bucket long")
     pivots = entries.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     entries = written(entries.join(pivots, "bucket").select("bucket", "node", "pivot"), folder, "entries")
     pairs = entries.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("id"))
     texts = rows.join(wanted.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    sets = map_rows(texts.select("text"), _sets, "node binary, items array<long>").join(wanted.select("node"), "node", "left_semi")
+    sets = map_rows(texts.select("text"), _sets, "node binary, items binary").join(wanted.select("node"), "node", "left_semi")
     sets = written(sets.dropDuplicates(["node"]), folder, "sets")
     first = written(confirmed(pairs, sets, percent), folder, "first")
     roots = components(first, folder, "near")
-    rest = rest_pairs(entries, roots, nodes).join(pairs, ["a", "b"], "left_anti")
-    links = first.unionByName(written(confirmed(rest, sets, percent), folder, "rest"))
+    rest = written(rest_links(entries, roots, nodes, sets, percent), folder, "rest")
+    links = first.unionByName(rest)
     roots = components(links, folder, "all")
     ids = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
