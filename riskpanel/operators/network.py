@@ -17,7 +17,6 @@ from riskpanel.operators.blocks import pair_blocks
 from riskpanel.session import cut_lineage
 
 EDGE = "idx long, src string, dst string"
-DENSE_LIMIT = 2048
 
 
 def _regression(y, o, i):
@@ -70,15 +69,18 @@ def causal_edges(returns: DataFrame, bw: int, sst: float = 0.05, robust: bool =
 
 
 def connectedness(edges: DataFrame, entities: DataFrame, dates: DataFrame, entity_group: DataFrame | None = None) -> DataFrame:
-    """Per date: dci = edges / (n^2 - n), cio = edges / (n - 1), cioo = cross-group edges / n."""
+    """Per date: dci = edges / (n^2 - n), cio = edges / (n - 1), cioo = cross-group edges / n.
+
+    Entities outside all groups form a group of their own.
+    """
     n = entities.select("entity").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     e = edges
     cross = F.lit(None).cast("int")
     if entity_group is not None:
         g = entity_group.select("entity", "short_name")
-        e = e.join(g.withColumnsRenamed({"entity": "src", "short_name": "g1"}), "src").join(
-            g.withColumnsRenamed({"entity": "dst", "short_name": "g2"}), "dst")
-        cross = (F.col("g1") != F.col("g2")).cast("int")
+        e = e.join(g.withColumnsRenamed({"entity": "src", "short_name": "g1"}), "src", "left").join(
+            g.withColumnsRenamed({"entity": "dst", "short_name": "g2"}), "dst", "left")
+        cross = (~F.col("g1").eqNullSafe(F.col("g2"))).cast("int")
     counts = e.groupBy("idx").agg(F.count(F.lit(1)).alias("edges"), F.sum(cross).alias("cross"))
     out = dates.join(counts, "idx", "left").withColumn("n", n)
     out = out.withColumns({"edges": F.coalesce("edges", F.lit(0)),
@@ -107,6 +109,13 @@ def degrees(edges: DataFrame, n: int | None = None, entities: DataFrame | None =
         "degree_centrality", F.col("deg") / (F.col("n") - 1)).drop("_self", "n")
 
 
+def complete(values: DataFrame, nodes: DataFrame, cols: list[str]) -> DataFrame:
+    """One row for every (idx, entity) of `nodes`: a node without edges, and a date without any, has centrality 0."""
+    found = values.select("idx", "entity", *cols, F.lit(True).alias("_found"))
+    rows = nodes.select("idx", "entity").join(found, ["idx", "entity"], "left")
+    return rows.select("idx", "entity", *[F.when(F.col("_found"), F.col(c)).otherwise(0).alias(c) for c in cols])
+
+
 def shortest_paths(edges: DataFrame) -> DataFrame:
     """(idx, src, node, depth, paths): hop distance and number of shortest paths, by frontier joins.
 
@@ -154,85 +163,73 @@ def betweenness(edges: DataFrame, paths: DataFrame, n: int) -> DataFrame:
         (F.sum("gain") * 2.0 / ((n - 1) * (n - 2))).alias("betweenness"))
 
 
-def _dense(edges: DataFrame, solve, name: str) -> DataFrame:
+def _per_graph(edges: DataFrame, work, schema: str) -> DataFrame:
+    """Run `work(names, src, dst, rows)` on the edges of one graph at a time; memory follows the edges, not nodes squared."""
     def task(key, pdf):
-        names = np.unique(np.concatenate([pdf["src"], pdf["dst"]]).astype(str))
-        a = np.zeros((len(names), len(names)))
-        a[np.searchsorted(names, pdf["src"].astype(str)), np.searchsorted(names, pdf["dst"].astype(str))] = 1.0
-        return pd.DataFrame({"idx": key[0], "entity": names, name: solve(a)})
+        names, ends = np.unique(np.concatenate([pdf["src"], pdf["dst"]]).astype(str), return_inverse=True)
+        out = work(names, ends[:len(pdf)], ends[len(pdf):], pdf)
+        return pd.DataFrame({"idx": key[0], **out})
 
-    return edges.groupBy("idx").applyInPandas(task, f"idx long, entity string, {name} double")
+    return edges.groupBy("idx").applyInPandas(task, f"idx long, {schema}")
 
 
-def _matvec(edges: DataFrame, x: DataFrame, into: str = "src", over: str = "dst") -> DataFrame:
-    """(idx, entity, y): y_into = sum of x_over along the edges."""
-    return edges.join(x.withColumnRenamed("entity", over), ["idx", over]).groupBy(
-        "idx", F.col(into).alias("entity")).agg(F.sum("x").alias("y"))
+def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-8, rounds: int = 20_000) -> DataFrame:
+    """Dominant eigenvector of each graph, summing to 1, by power iteration on A + I.
 
+    The shift keeps two-sided graphs from swinging. A graph whose vector still moves by `tolerance` after `rounds` steps
+    gets null instead of the last step. Nodes without edges have no row.
+    """
+    def work(names, src, dst, _):
+        x = np.full(len(names), 1.0 / len(names))
+        for _round in range(rounds):
+            y = x + np.bincount(src, x[dst], len(names))
+            y /= y.sum()
+            moved, x = np.abs(y - x).max(), y
+            if moved < tolerance:
+                break
+        return {"entity": names, "eigenvector": x if moved < tolerance else np.full(len(names), np.nan)}
 
-def eigenvector_centrality(edges: DataFrame, n: int, rounds: int = 200) -> DataFrame:
-    """Dominant eigenvector by absolute value, summing to 1. Nodes without edges have no row (centrality 0).
+    out = _per_graph(edges.select("idx", "src", "dst").distinct(), work, "entity string, eigenvector double")
+    return out.withColumn("eigenvector", F.when(~F.isnan("eigenvector"), F.col("eigenvector")))
 
-    Graphs of up to 2048 nodes are solved whole in a task; larger ones by power iteration on A + I as joins.
-    """
-    if n <= DENSE_LIMIT:
-        def solve(a):
-            values, vectors = np.linalg.eig(a)
-            v = np.abs(vectors[:, np.argmax(values.real)])
-            return v / v.sum()
-        return _dense(edges, solve, "eigenvector")
-    nodes = edges.select("idx", F.col("src").alias("entity")).union(edges.select("idx", "dst")).distinct()
-    x = nodes.withColumn("x", F.lit(1.0))
-    for _ in range(rounds):
-        y = nodes.join(x, ["idx", "entity"]).join(_matvec(edges, x), ["idx", "entity"], "left").withColumn(
-            "x", F.col("x") + F.coalesce("y", F.lit(0.0))).drop("y")
-        y = cut_lineage(y)
-        total = y.groupBy("idx").agg(F.sum("x").alias("s"))
-        x = y.join(total, "idx").select("idx", "entity", (F.col("x") / F.col("s")).alias("x"))
-    return x.withColumnRenamed("x", "eigenvector")
-
-
-def katz_centrality(edges: DataFrame, n: int, alpha: float = 0.1, rounds: int = 200) -> DataFrame:
-    """(I - alpha A)^-1 1, scaled to unit length. Values cover nodes with edges; the scale counts all n nodes.
-
-    Above 2048 nodes the system is solved by conjugate gradients on the normal equations, as joins.
+
+def katz_centrality(edges: DataFrame, nodes: DataFrame, alpha: float = 0.1, tolerance: float = 1e-13) -> DataFrame:
+    """(I - alpha A)^-1 1 scaled to unit length, one row for every (idx, entity) of `nodes`.
+
+    Conjugate gradients on the normal equations of each graph; a graph that misses `tolerance` gets null. A node without
+    edges solves to one before scaling.
     """
-    if n <= DENSE_LIMIT:
-        def solve(a):
-            x = np.linalg.solve(np.eye(len(a)) - alpha * a, np.ones(len(a)))
-            return x / (np.sign(x.sum() + n - len(a)) * np.sqrt((x * x).sum() + n - len(a)))
-        return _dense(edges, solve, "katz")
-    nodes = edges.select("idx", F.col("src").alias("entity")).union(edges.select("idx", "dst")).distinct()
-
-    def apply(v, into, over):
-        return v.join(_matvec(edges, v, into, over), ["idx", "entity"], "left").select(
-            "idx", "entity", (F.col("x") - alpha * F.coalesce("y", F.lit(0.0))).alias("x"))
-
-    x = nodes.withColumn("x", F.lit(0.0))
-    r = nodes.withColumn("x", F.lit(1.0))
-    z = cut_lineage(apply(r, "dst", "src"))
-    p, gamma = z, z.groupBy("idx").agg(F.sum(F.col("x") ** 2).alias("g"))
-    for _ in range(rounds):
-        w = apply(p, "src", "dst")
-        step = gamma.join(w.groupBy("idx").agg(F.sum(F.col("x") ** 2).alias("d")), "idx").select(
-            "idx", "g", F.when(F.col("d") > 0, F.col("g") / F.col("d")).otherwise(0.0).alias("a"))
-        both = (x.withColumnRenamed("x", "x0").join(p.withColumnRenamed("x", "p"), ["idx", "entity"])
-                .join(r.withColumnRenamed("x", "r"), ["idx", "entity"]).join(w.withColumnRenamed("x", "w"), ["idx", "entity"])
-                .join(step, "idx"))
-        both = cut_lineage(both.select("idx", "entity", (F.col("x0") + F.col("a") * F.col("p")).alias("x0"), "p",
-                                       (F.col("r") - F.col("a") * F.col("w")).alias("r"), "g"))
-        x, r = (both.select("idx", "entity", F.col(c).alias("x")) for c in ("x0", "r"))
-        z = apply(r, "dst", "src")
-        fresh = z.groupBy("idx").agg(F.sum(F.col("x") ** 2).alias("g2"))
-        old = both.select("idx", "entity", "p", "g").join(z, ["idx", "entity"]).join(fresh, "idx")
-        beta = F.when(F.col("g") > 0, F.col("g2") / F.col("g")).otherwise(0.0)
-        nxt = cut_lineage(old.select("idx", "entity", (F.col("x") + beta * F.col("p")).alias("x"), "g2"))
-        p, gamma = nxt.select("idx", "entity", "x"), nxt.groupBy("idx").agg(F.first("g2").alias("g"))
-        if nxt.agg(F.max("g2")).first()[0] < 1e-20:
-            break
-    size = x.groupBy("idx").agg(F.sum(F.col("x") ** 2).alias("q"), F.sum("x").alias("s"), F.count(F.lit(1)).alias("k"))
-    scale = F.signum(F.col("s") + n - F.col("k")) * F.sqrt(F.col("q") + n - F.col("k"))
-    return x.join(size, "idx").select("idx", "entity", (F.col("x") / scale).alias("katz"))
+    sizes = nodes.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
+
+    def work(names, src, dst, rows):
+        k = len(names)
+        forward = lambda v: v - alpha * np.bincount(src, v[dst], k)
+        back = lambda v: v - alpha * np.bincount(dst, v[src], k)
+        x, r = np.zeros(k), np.ones(k)
+        z = p = back(r)
+        start = size = z @ z
+        for _round in range(20 * k + 100):
+            if size <= tolerance * tolerance * start:
+                break
+            w = forward(p)
+            step = size / (w @ w)
+            x, r = x + step * p, r - step * w
+            z = back(r)
+            size, old = z @ z, size
+            p = z + size / old * p
+        alone = rows["n"].iloc[0] - k
+        scale = np.sign(x.sum() + alone) * np.sqrt(x @ x + alone)
+        if size > tolerance * tolerance * start:
+            x = np.full(k, np.nan)
+        return {"entity": [*names, None], "katz": np.append(x, 1.0) / scale}
+
+    found = _per_graph(edges.select("idx", "src", "dst").distinct().join(sizes, "idx"), work, "entity string, katz double")
+    found = found.withColumn("katz", F.when(~F.isnan("katz"), F.col("katz")))
+    unit = found.filter("entity is null").select("idx", F.col("katz").alias("unit"))
+    linked = found.filter("entity is not null").select("idx", "entity", "katz", F.lit(True).alias("linked"))
+    rows = nodes.select("idx", "entity").join(sizes, "idx").join(unit, "idx", "left").join(linked, ["idx", "entity"], "left")
+    alone = F.coalesce(F.col("unit"), 1.0 / F.sqrt("n"))
+    return rows.select("idx", "entity", F.when(F.col("linked"), F.col("katz")).otherwise(alone).alias("katz"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:

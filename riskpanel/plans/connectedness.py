@@ -36,6 +36,11 @@ def edges(m, robust=False):
     return N.causal_edges(m.returns(), BW, 0.05, robust)
 
 
+def nodes(m):
+    """Every (idx, entity) of the panel."""
+    return m.returns().select("idx", "entity")
+
+
 def dates(m):
     return m.returns().select("idx", "date").distinct()
 
@@ -67,8 +72,8 @@ def _(m):
 
 
 @query("connectedness_in_out", keys="date", nums="cio, cioo", sql=EDGES_SQL + """
-c as (select e.idx, count(*) as e, sum(case when a.short_name <> b.short_name then 1 else 0 end) as x from edges e
-  join entity_group a on e.src = a.entity join entity_group b on e.dst = b.entity group by 1)
+c as (select e.idx, count(*) as e, sum(case when a.short_name is distinct from b.short_name then 1 else 0 end) as x from edges e
+  left join entity_group a on e.src = a.entity left join entity_group b on e.dst = b.entity group by 1)
 select_final select d.date, coalesce(e, 0)/(n - 1) as cio, coalesce(x, 0)/n as cioo from dates d left join c on d.idx = c.idx, nn""")
 def _(m):
     return _connectedness(m)
@@ -83,10 +88,15 @@ degs as (select d.*, is_symmetric, case when is_symmetric then deg_in else deg_i
 """
 
 
+def _degrees(m):
+    return N.complete(N.degrees(edges(m), entities=m.observations()), nodes(m), ["deg_in", "deg_out", "deg", "degree_centrality"])
+
+
 @query("connectedness_degrees", keys="entity", ints="idx, deg_in, deg_out, deg", nums="degree_centrality", sql=EDGES_SQL + _SYM + """
-select_final select idx, entity, deg_in, deg_out, deg, deg/(n - 1) as degree_centrality from degs, nn""")
+select_final select r.idx, r.entity, coalesce(deg_in, 0) as deg_in, coalesce(deg_out, 0) as deg_out, coalesce(deg, 0) as deg, coalesce(deg, 0)/(n - 1) as degree_centrality
+from rets r left join degs d on r.idx = d.idx and r.entity = d.entity, nn""")
 def _(m):
-    return N.degrees(edges(m), entities=m.observations())
+    return _degrees(m)
 
 
 _PATHS = """
@@ -98,26 +108,26 @@ dist as (select idx, src, node, min(depth) as depth from hops group by 1, 2, 3),
 
 
 @query("connectedness_closeness", keys="entity", ints="idx", nums="closeness", sql=EDGES_SQL + _PATHS + """
-select_final select idx, src as entity, (n - 1.0)/sum(depth) as closeness from dist, nn group by idx, src, n""")
+select_final select r.idx, r.entity, coalesce((n - 1.0)/sum(depth), 0) as closeness from rets r left join dist on r.idx = dist.idx and r.entity = src, nn group by r.idx, r.entity, n""")
 def _(m):
-    return N.closeness(N.shortest_paths(edges(m)), count_entities(m))
+    return N.complete(N.closeness(N.shortest_paths(edges(m)), count_entities(m)), nodes(m), ["closeness"])
 
 
 @query("connectedness_betweenness", keys="entity", ints="idx", nums="betweenness")
 def _(m):
     from riskpanel.session import cut_lineage
     e = cut_lineage(edges(m))
-    return N.betweenness(e, N.shortest_paths(e), count_entities(m))
+    return N.complete(N.betweenness(e, N.shortest_paths(e), count_entities(m)), nodes(m), ["betweenness"])
 
 
 @query("connectedness_eigenvector", keys="entity", ints="idx", nums="eigenvector")
 def _(m):
-    return N.eigenvector_centrality(edges(m), count_entities(m))
+    return N.complete(N.eigenvector_centrality(edges(m)), nodes(m), ["eigenvector"])
 
 
 @query("connectedness_katz", keys="entity", ints="idx", nums="katz")
 def _(m):
-    return N.katz_centrality(edges(m), count_entities(m))
+    return N.katz_centrality(edges(m), nodes(m))
 
 
 _CLUST = _SYM + """
@@ -130,9 +140,9 @@ clust as (select d.idx, d.entity, case when deg > 1 then (case when is_symmetric
 
 
 @query("connectedness_clustering", keys="entity", ints="idx", nums="clustering", sql=EDGES_SQL + _CLUST + """
-select_final select idx, entity, clustering from clust""")
+select_final select r.idx, r.entity, coalesce(clustering, 0) as clustering from rets r left join clust c on r.idx = c.idx and r.entity = c.entity""")
 def _(m):
-    return N.clustering(edges(m))
+    return N.complete(N.clustering(edges(m)), nodes(m), ["clustering"])
 
 
 _AVERAGE = """
@@ -158,16 +168,15 @@ def _(m):
 
 
 @query("network_weights", keys="entity", nums="mean_degree, weight", sql=EDGES_SQL + _SYM + """
-md as (select entity, sum(deg)/(select count(*) from dates) as mean_degree from degs group by 1)
+md as (select r.entity, coalesce(sum(deg), 0)/(select count(*) from dates) as mean_degree from rets r left join degs d on r.idx = d.idx and r.entity = d.entity group by 1)
 select_final select entity, mean_degree, 0.25 + 3.75*(mean_degree - min(mean_degree) over ())/(max(mean_degree) over () - min(mean_degree) over ()) as weight from md""")
 def _(m):
-    return N.network_weights(N.degrees(edges(m), entities=m.observations()), dates(m).count())
+    return N.network_weights(_degrees(m), dates(m).count())
 
 
 @query("ranked_centrality", keys="entity", ints="position", nums="total", sql=EDGES_SQL + _SYM + """
-md as (select entity, sum(deg/(n - 1)) as total from degs, nn group by 1)
+md as (select r.entity, coalesce(sum(deg/(n - 1)), 0) as total from rets r left join degs d on r.idx = d.idx and r.entity = d.entity, nn group by 1)
 select_final select entity, total, row_number() over (order by round(total, 9) desc, entity) as position from md""")
 def _(m):
-    d = N.degrees(edges(m), entities=m.observations())
-    total = d.groupBy("entity").agg(F.round(F.sum("degree_centrality"), 9).alias("total"))
+    total = _degrees(m).groupBy("entity").agg(F.round(F.sum("degree_centrality"), 9).alias("total"))
     return D.rank_table(total, "total")

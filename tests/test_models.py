@@ -192,19 +192,29 @@ def test_closeness_and_betweenness(graph):
         assert abs(got.get((v,), 0.0) - x * 2 / 12) < 1e-12
 
 
-def test_spectral_centralities_by_joins_and_dense(graph, monkeypatch):
-    a = np.zeros((5, 5))
+def test_spectral_centralities(spark, graph):
+    a = np.zeros((6, 6))
     for i, j in EDGES:
         a[int(i) - 1, int(j) - 1] = 1
-    values, vectors = np.linalg.eig(a)
+    values, vectors = np.linalg.eig(a[:5, :5])
     v = np.abs(vectors[:, values.real.argmax()])
-    k = np.linalg.solve(np.eye(5) - 0.1 * a, np.ones(5))
-    for limit, tol in ((2048, 1e-9), (0, 0.02)):
-        monkeypatch.setattr(network, "DENSE_LIMIT", limit)
-        e = keyed(network.eigenvector_centrality(graph, 5, rounds=15).collect(), "eigenvector", "entity")
-        z = keyed(network.katz_centrality(graph, 5).collect(), "katz", "entity")
-        assert np.allclose([e[(n,)] for n in "12345"], v / v.sum(), atol=tol)
-        assert np.allclose([z[(n,)] for n in "12345"], k / np.linalg.norm(k), atol=1e-6)
+    k = np.linalg.solve(np.eye(6) - 0.1 * a, np.ones(6))
+    idx = graph.first()["idx"]
+    nodes = spark.createDataFrame([(i, n) for i in (idx, idx + 1) for n in "123456"], "idx long, entity string")
+    e = network.complete(network.eigenvector_centrality(graph), nodes, ["eigenvector"])
+    z = network.katz_centrality(graph, nodes)
+    here = keyed(e.filter(e.idx == idx).collect(), "eigenvector", "entity"), keyed(z.filter(z.idx == idx).collect(), "katz", "entity")
+    assert np.allclose([here[0][(n,)] for n in "123456"], [*(v / v.sum()), 0.0], atol=1e-6)
+    assert np.allclose([here[1][(n,)] for n in "123456"], k / np.linalg.norm(k), atol=1e-9)
+    assert {r["eigenvector"] for r in e.filter(e.idx == idx + 1).collect()} == {0.0}
+    assert all(abs(r["katz"] - 6 ** -0.5) < 1e-12 for r in z.filter(z.idx == idx + 1).collect())
+
+
+def test_every_node_has_a_row(market):
+    from riskpanel.plans import load
+    want = market.returns().count()
+    for name in ("degrees", "closeness", "betweenness", "eigenvector", "katz", "clustering"):
+        assert load()[f"connectedness_{name}"].build(market).count() == want, name
 
 
 # ---------------------------------------------------------------- entropy
