@@ -285,7 +285,7 @@ def caviar_path(df: DataFrame, params: DataFrame | tuple, a: float = 0.05) -> Da
         return F.struct(x["r_m"].alias("m"), x["r"].alias("f"), q[0].alias("qm"), q[1].alias("qf"),
                         F.concat(acc["out"], F.array(F.struct(q[0].alias("q_m"), q[1].alias("q_f")))).alias("out"))
 
-    return fold_series(base, ["r", "r_m", "_qm", "_qf", *names], zero, step, "q").select("entity", "idx", "q.q_m", "q.q_f")
+    return fold_series(base, ["r", "r_m", "_qm", "_qf", *names], zero, step, "q", kind="struct<q_m:double,q_f:double>").select("entity", "idx", "q.q_m", "q.q_f")
 
 
 def caviar_fit(df: DataFrame, value: str, a: float = 0.05, count: int = 10000) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,27 +134,27 @@ def mad_outliers(df: DataFrame, value: str, w: int) -> DataFrame:
     """Replace values further than 3 scaled MADs from the moving median, then refill as gaps.
 
     With k = w // 2 the window of row i is rows i-k .. i-k+w, cut at the ends, and 1 .. i+k for the first
-    k rows. At most w + 1 values are gathered per row, so both medians are exact.
+    k rows. A task holds one series, bounded by the calendar, and takes the medians of all its windows at once.
     """
     k = w // 2
-    gathered = F.collect_list(value).over(series().rowsBetween(-k, w - k))
-    out = df.withColumn("_win", gathered)
-    if w % 2:
-        out = out.withColumn("_win", F.when(F.col("idx") <= k, F.slice("_win", 1, F.size("_win") - 1)).otherwise(F.col("_win")))
-    out = out.withColumn("_med", _array_median(F.col("_win")))
-    dev = F.transform("_win", lambda x: F.abs(x - F.col("_med")))
-    out = out.withColumn("_mad", _array_median(dev) * MAD_SCALE)
-    far = F.abs(F.col(value) - F.col("_med")) > 3.0 * F.col("_mad")
-    out = out.withColumn("is_outlier", F.coalesce(far, F.lit(False)))
-    out = out.withColumn(value, F.when(~F.col("is_outlier"), F.col(value))).drop("_win", "_med", "_mad")
-    return fill_gaps(out, value)
-
 
-def _array_median(a: Column) -> Column:
-    s = F.array_sort(a)
-    n = F.size(s)
-    low, high = F.element_at(s, F.floor((n + 1) / 2).cast("int")), F.element_at(s, F.floor(n / 2 + 1).cast("int"))
-    return F.when(n > 0, (low + high) / 2.0)
+    def flags(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("idx")
+        x = pdf[value].to_numpy(float)
+        padded = np.concatenate([np.full(k, np.nan), x, np.full(w - k, np.nan)])
+        frames = np.lib.stride_tricks.sliding_window_view(padded, w + 1).copy()
+        if w % 2:
+            frames[pdf["idx"].to_numpy() <= k, -1] = np.nan
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", RuntimeWarning)
+            middle = np.nanmedian(frames, axis=1)
+            spread = np.nanmedian(np.abs(frames - middle[:, None]), axis=1) * MAD_SCALE
+        return pd.DataFrame({"entity": pdf["entity"], "idx": pdf["idx"], "is_outlier": np.abs(x - middle) > 3.0 * spread})
+
+    found = df.select("entity", "idx", value).groupBy("entity").applyInPandas(flags, "entity string, idx long, is_outlier boolean")
+    out = df.join(found, ["entity", "idx"])
+    out = out.withColumn(value, F.when(~F.col("is_outlier"), F.col(value)))
+    return fill_gaps(out, value)
 
 
 def smooth(df: DataFrame, value: str, s: int = 21, keys: tuple = ("entity",), name: str = "smoothed") -> DataFrame:
@@ -168,8 +171,12 @@ def smooth(df: DataFrame, value: str, s: int = 21, keys: tuple = ("entity",), na
     return out.withColumn(name, F.when(F.col(value).isNotNull(), total / F.size("_win"))).drop("_win", "_left", "_half")
 
 
+#: Rows whose results a fold gathers before it starts a new array.
+FOLD = 48
+
+
 def fold_series(df: DataFrame, cols: list[str], zero, merge, name: str, keys: tuple = ("entity",),
-                finish=None) -> DataFrame:
+                kind: str = "double") -> DataFrame:
     """Run a recursion along each series on the JVM.
 
     The series is gathered as one ordered array per key (at most one element per calendar period), folded
@@ -179,8 +186,14 @@ def fold_series(df: DataFrame, cols: list[str], zero, merge, name: str, keys: tu
     row = F.struct("idx", *cols)
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     zero_col = zero(F.col("_rows")) if callable(zero) else zero
-    state = F.aggregate("_rows", zero_col, merge)
-    folded = packed.select(*keys, F.arrays_zip(F.col("_rows.idx").alias("idx"), state["out"].alias("v")).alias("_z"))
+    none = F.array().cast(f"array<{kind}>")
+    # an array grows by copying, so results are gathered per run of FOLD rows and the runs joined once at the end
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("_rows") - 1) / FOLD).cast("int")), lambda i: F.slice("_rows", i * FOLD + 1, F.lit(FOLD)))
+    packed = packed.withColumn("_runs", runs).withColumn("_state", F.aggregate(
+        "_runs", F.struct(zero_col.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("done")),
+        lambda acc, run: F.struct(F.aggregate(run, acc["s"].withField("out", none), merge).alias("s"), F.concat(acc["done"], F.array(acc["s"]["out"])).alias("done"))))
+    out = F.flatten(F.concat(F.col("_state.done"), F.array(F.col("_state.s.out"))))
+    folded = packed.select(*keys, F.arrays_zip(F.col("_rows.idx").alias("idx"), out.alias("v")).alias("_z"))
     return folded.select(*keys, F.explode("_z").alias("_e")).select(
         *keys, F.col("_e.idx").alias("idx"), F.col("_e.v").alias(name))
 
