@@ -62,9 +62,11 @@ def norm_inv(p: Column) -> Column:
 
 
 def chi2_sf(x: Column, df: Column) -> Column:
-    """Upper chi-square tail by the Wilson-Hilferty cube root; absolute error below 0.005 for df >= 3."""
+    """Upper chi-square tail: exact for one and two degrees of freedom, else by the Wilson-Hilferty cube root with an
+    absolute error below 0.005."""
     v = 2.0 / (9.0 * df)
-    return 1.0 - norm_cdf((F.pow(x / df, F.lit(1.0 / 3.0)) - (1.0 - v)) / F.sqrt(v))
+    cube = 1.0 - norm_cdf((F.pow(x / df, F.lit(1.0 / 3.0)) - (1.0 - v)) / F.sqrt(v))
+    return F.when(df == 1.0, 2.0 * norm_cdf(-F.sqrt(x))).when(df == 2.0, F.exp(-0.5 * x)).otherwise(cube)
 
 
 def t_sf(t: Column, df: Column) -> Column:

@@ -107,10 +107,10 @@ def shapiro_francia(df: DataFrame, value: str) -> DataFrame:
 
 
 def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
-    """Series of at least 6 values; shorter ones give no row."""
+    """Series of at least 5 values; shorter ones give no row. With 5 only the outermost weights are corrected."""
     n, i = F.col("n"), F.col("i")
     edge = (i <= 2) | (i >= n - 1)
-    s = _scores(df, value).filter("n >= 6").groupBy("entity").agg(
+    s = _scores(df, value).filter("n >= 5").groupBy("entity").agg(
         F.first("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"),
         F.max("m").alias("ml"), F.max(F.when(i == n - 1, F.col("m"))).alias("ms"),
         F.sum(F.when(~edge, F.col("m") * F.col("x")).otherwise(0.0)).alias("mx"),
@@ -122,7 +122,9 @@ def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
     s = s.withColumns({"wl": horner(u, WEIGHT_LAST) * u + F.col("ml") / norm,
                        "ws": horner(u, WEIGHT_SECOND) * u + F.col("ms") / norm})
     phi = (F.col("mm") - 2 * F.col("ml") ** 2 - 2 * F.col("ms") ** 2) / (1 - 2 * F.col("wl") ** 2 - 2 * F.col("ws") ** 2)
-    total = F.col("wl") * F.col("dl") + F.col("ws") * F.col("ds") + F.col("mx") / F.sqrt(phi)
+    outer = (F.col("mm") - 2 * F.col("ml") ** 2) / (1 - 2 * F.col("wl") ** 2)
+    both = F.col("ws") * F.col("ds") + F.col("mx") / F.sqrt(phi)
+    total = F.col("wl") * F.col("dl") + F.when(n > 5, both).otherwise((F.col("ms") * F.col("ds") + F.col("mx")) / F.sqrt(outer))
     s = s.withColumn("k", total * total / F.col("xx"))
     ln = F.ln("n")
     small = (-F.ln(horner(n, SMALL_GAMMA) - F.ln(1.0 - F.col("k"))) - horner(n, SMALL_MEAN)) / F.exp(horner(n, SMALL_SIGMA))

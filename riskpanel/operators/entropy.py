@@ -59,11 +59,12 @@ def orthant_prior(returns: DataFrame, member: DataFrame, pod: DataFrame, bw: int
     return full.select(*KEYS, "state", p.alias("p"))
 
 
-def min_xent_posterior(prior: DataFrame, member: DataFrame, pod: DataFrame, n: int, sweeps: int = 60) -> DataFrame:
+def min_xent_posterior(prior: DataFrame, member: DataFrame, pod: DataFrame, n: int, sweeps: int = 5000, tolerance: float = 1e-13) -> DataFrame:
     """Nearest distribution to the prior, in relative entropy, whose marginals are the pods.
 
     Iterative proportional fitting: each sweep rescales the two halves of the table per member. A table is one
-    array of 2^n numbers, so portfolios are fitted independently, many per Arrow batch, without a shuffle.
+    array of 2^n numbers, so portfolios are fitted independently, many per Arrow batch, without a shuffle. A batch is done
+    when no state moves by `tolerance` in a sweep; a table that still moves after `sweeps` gets nulls.
     """
     tables = prior.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("state", "p"))).alias("s"))
     marg = member.join(pod, ["entity", "idx"]).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("slot", "pod"))).alias("m"))
@@ -74,16 +75,21 @@ def min_xent_posterior(prior: DataFrame, member: DataFrame, pod: DataFrame, n: i
         for b in batches:
             p, target = np.stack(b["p"].to_numpy()), np.stack(b["pods"].to_numpy())
             for _ in range(sweeps):
+                before = p
                 for j in range(n):
                     m = p[:, bits[:, j]].sum(1)
                     up, down = target[:, j] / m, (1.0 - target[:, j]) / (1.0 - m)
                     p = p * np.where(bits[:, j], up[:, None], down[:, None])
                 p = p / p.sum(1, keepdims=True)
+                moved = np.abs(p - before).max(1)
+                if moved.max() < tolerance:
+                    break
+            p[moved >= tolerance] = np.nan
             yield b[KEYS].assign(p=list(p))
 
     schema = T.StructType([prior.schema[k] for k in KEYS] + [T.StructField("p", T.ArrayType(T.DoubleType()))])
     fitted = both.mapInPandas(fit, schema)
-    return fitted.select(*KEYS, F.posexplode("p").alias("state", "p"))
+    return fitted.select(*KEYS, F.posexplode("p").alias("state", "p")).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
 
 
 def _has(slot) -> Column:

@@ -236,7 +236,8 @@ def cap_weighted_average(df: DataFrame, value: str, cap: str = "cap", floor: boo
 
 
 def group_aggregate(df: DataFrame, entity_group: DataFrame) -> DataFrame:
-    return df.join(entity_group, "entity").groupBy("date", "idx", "short_name").agg(
+    """Means and totals per group; entities without a group are one group with a null name."""
+    return df.join(entity_group, "entity", "left").groupBy("date", "idx", "short_name").agg(
         F.avg("r").alias("r"), F.avg("cds").alias("cds"), F.sum("cap").alias("cap"))
 
 

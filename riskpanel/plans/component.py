@@ -204,10 +204,26 @@ def _(m):
     return _prior(m)[0]
 
 
-@query("min_xent_posterior", ints="idx, state", nums="p")
-def _(m):
+_BIT = "(s >> (k % 4)) & 1 = 1"
+# Each step of the recursion fits one member's marginal; a table is a list of 16 numbers.
+POST_SQL = PRIOR_SQL.replace("states as materialized", "prior_states as materialized") + f"""
+tabs as (select idx, list(p order by state) as p from prior_states group by 1), targets as (select idx, list(pod order by slot) as t from lv group by 1),
+ipf(idx, k, p) as (select idx, 0, p from tabs union all
+  select u.idx, k + 1, list_transform(range(0, 16), lambda s: case when {_BIT} then p[s + 1]*t[k % 4 + 1]/m else p[s + 1]*(1 - t[k % 4 + 1])/(1 - m) end)
+  from (select idx, k, p, list_sum(list_transform(range(0, 16), lambda s: case when {_BIT} then p[s + 1] else 0.0 end)) as m from ipf where k < 400) u
+  join targets on targets.idx = u.idx),
+states as materialized (select idx, unnest(range(0, 16)) as state, unnest(p) as p from ipf where k = 400),
+"""
+
+
+def _post(m):
     prior, member, pod = _prior(m)
-    return E.min_xent_posterior(prior, member, pod, 4)
+    return cut_lineage(E.min_xent_posterior(prior, member, pod, 4)), member, pod
+
+
+@query("min_xent_posterior", ints="idx, state", nums="p", sql=POST_SQL + "select_final select idx, state, p from states")
+def _(m):
+    return _post(m)[0]
 
 
 JOINT_SQL = """
@@ -217,16 +233,11 @@ joint_ind as (select js.idx, jpod, least(greatest(s/(1 - p0), 1.0), 4.0) as fsi,
 """
 
 
-@query("joint_default_indicators", ints="idx", nums="jpod, fsi, pce", sql=PRIOR_SQL + JOINT_SQL + "select_final select * from joint_ind")
+@query("cross_entropy_indicators", ints="idx", nums="jpod, fsi, pce", sql=POST_SQL + JOINT_SQL + "select_final select * from joint_ind")
+@query("joint_default_indicators", ints="idx", nums="jpod, fsi, pce", sql=POST_SQL + JOINT_SQL + "select_final select * from joint_ind")
 def _(m):
-    prior, member, pod = _prior(m)
-    return E.joint_indicators(prior, member, pod, 4)
-
-
-@query("cross_entropy_indicators", ints="idx", nums="jpod, fsi, pce")
-def _(m):
-    prior, member, pod = _prior(m)
-    return E.joint_indicators(E.min_xent_posterior(prior, member, pod, 4), member, pod, 4)
+    post, member, pod = _post(m)
+    return E.joint_indicators(post, member, pod, 4)
 
 
 DIDE_SQL = """
@@ -235,9 +246,9 @@ dide as materialized (select a.idx, a.entity as src, b.entity as dst, a.pod as p
 """
 
 
-@query("distress_dependence", keys="src, dst", ints="idx", nums="dide", sql=PRIOR_SQL + DIDE_SQL + "select_final select idx, src, dst, dide from dide")
+@query("distress_dependence", keys="src, dst", ints="idx", nums="dide", sql=POST_SQL + DIDE_SQL + "select_final select idx, src, dst, dide from dide")
 def _(m):
-    return E.distress_dependence(*_prior(m))
+    return E.distress_dependence(*_post(m))
 
 
 IMPACT_SQL = """
@@ -247,29 +258,29 @@ impact as (select si.idx, si.entity, si, sv from si join sv on si.idx = sv.idx a
 """
 
 
-@query("systemic_impact", keys="entity", ints="idx", nums="si, sv", sql=PRIOR_SQL + DIDE_SQL + IMPACT_SQL + "select_final select * from impact")
+@query("systemic_impact", keys="entity", ints="idx", nums="si, sv", sql=POST_SQL + DIDE_SQL + IMPACT_SQL + "select_final select * from impact")
 def _(m):
-    return E.systemic_impact(E.distress_dependence(*_prior(m)))
+    return E.systemic_impact(E.distress_dependence(*_post(m)))
 
 
-@query("systemic_impact_scaled", keys="entity", ints="idx", nums="si, sv", sql=PRIOR_SQL + DIDE_SQL + IMPACT_SQL + """
+@query("systemic_impact_scaled", keys="entity", ints="idx", nums="si, sv", sql=POST_SQL + DIDE_SQL + IMPACT_SQL + """
 select_final select idx, entity, (si - min(si) over ())/(max(si) over () - min(si) over ()) as si, (sv - min(sv) over ())/(max(sv) over () - min(sv) over ()) as sv from impact""")
 def _(m):
-    return E.scaled_impact(E.systemic_impact(E.distress_dependence(*_prior(m))))
+    return E.scaled_impact(E.systemic_impact(E.distress_dependence(*_post(m))))
 
 
-@query("conditional_joint_pods", keys="entity", ints="idx", nums="cojpod", sql=PRIOR_SQL + JOINT_SQL + """
+@query("conditional_joint_pods", keys="entity", ints="idx", nums="cojpod", sql=POST_SQL + JOINT_SQL + """
 select_final select p.idx, p.entity, jpod/pod as cojpod from pods p join joint_ind j on p.idx = j.idx""")
 def _(m):
-    prior, member, pod = _prior(m)
-    return E.cojpods(E.joint_indicators(prior, member, pod, 4), member, pod)
+    post, member, pod = _post(m)
+    return E.cojpods(E.joint_indicators(post, member, pod, 4), member, pod)
 
 
-@query("average_distress_dependence", keys="src, dst, flagged", nums="dide", sql=PRIOR_SQL + DIDE_SQL + """
-select_final select src, dst, avg(dide) as dide, case when src <> dst then avg(dide) >= 0.05 end as flagged from dide group by 1, 2""")
+@query("average_distress_dependence", keys="src, dst, flagged", nums="dide", sql=POST_SQL + DIDE_SQL + """
+select_final select src, dst, avg(dide) as dide, case when src <> dst then avg(dide) >= 0.2 end as flagged from dide group by 1, 2""")
 def _(m):
-    avg = E.average_dide(E.distress_dependence(*_prior(m)))
-    return D.threshold_matrix(avg, "dide", 0.05, inclusive=True).withColumn("flagged", F.col("flag") == 1)
+    avg = E.average_dide(E.distress_dependence(*_post(m)))
+    return D.threshold_matrix(avg, "dide", 0.2, inclusive=True).withColumn("flagged", F.col("flag") == 1)
 
 
 @query("portfolio_indicators", ints="idx", nums="jpod, fsi, pce")

@@ -19,6 +19,8 @@ BRAND = X.panel()
 
 
 def chi2_sf_sql(x: str, df: str) -> str:
+    if float(df) == 1.0:
+        return f"2.0*{X.norm_cdf(f'(-sqrt({x}))')}"
     v = f"(2.0/(9.0*{df}))"
     return f"(1.0 - {X.norm_cdf(f'((power(({x})/({df}), 1.0/3.0) - (1.0 - {v}))/sqrt({v}))')})"
 

@@ -130,12 +130,18 @@ def _(m):
 
 
 def with_states(m):
-    """Returns and index with the five state variables as columns s1..s5."""
+    """Returns and index with the five state variables as columns s1..s5.
+
+    A week without a value keeps the last one before it, and the first ones take the next: no week is left out. The fill
+    runs over one row a week.
+    """
     names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     wide = m.states().groupBy("date").pivot("var", names).agg(F.first("value"))
     wide = wide.select("date", *[F.col(f"`{n}`").alias(f"s{i}") for i, n in enumerate(names, 1)])
-    r = m.returns().select("entity", "date", "idx", "r", "price", "volume", "cap", "cds")
-    return r.join(m.index().select("idx", "r_m"), "idx").join(wide, "date").dropna(subset=["s1", "s2", "s3", "s4", "s5"])
+    back, ahead = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0), Window.orderBy("date").rowsBetween(0, Window.unboundedFollowing)
+    weeks = m.index().select("idx", "date", "r_m").join(wide, "date", "left")
+    weeks = weeks.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead)) for c in STATES_COLS})
+    return m.returns().select("entity", "idx", "r", "price", "volume", "cap", "cds").join(weeks, "idx")
 
 
 STATES_COLS = ["s1", "s2", "s3", "s4", "s5"]

@@ -205,15 +205,11 @@ def _(m):
 
 
 @query("rule_date_mismatch", keys="rule, key, detail", sql="""
-a as (select distinct cast(l_shipdate as date) as date from lineitem where l_suppkey <= (select max(l_suppkey) from lineitem)/2),
-b as (select distinct cast(o_orderdate as date) as date from orders)
+a as (select distinct cast(l_shipdate as date) as date from lineitem), b as (select distinct cast(o_orderdate as date) as date from orders)
 select_final select 'date_extra' as rule, cast(date as varchar) as key, '' as detail from a where date not in (select date from b)
 union all select 'date_absent', cast(date as varchar), '' from b where date not in (select date from a)""")
 def _(m):
-    items = m.table("lineitem")
-    half = items.agg((F.max("l_suppkey") / 2).alias("h")).scalar()
-    daily = items.withColumn("half", half).filter("l_suppkey <= half").select(F.to_date("l_shipdate").alias("date"))
-    return Q.date_mismatch(daily, m.table("orders").select(F.to_date("o_orderdate").alias("date")))
+    return Q.date_mismatch(m.table("lineitem").select(F.to_date("l_shipdate").alias("date")), m.table("orders").select(F.to_date("o_orderdate").alias("date")))
 
 
 @query("rule_period_coverage", keys="rule, key, detail", sql=X.panel("supplier") + """
@@ -227,14 +223,12 @@ def _(m):
 
 
 @query("rule_entity_mismatch", keys="rule, key, detail", sql="""
-a as (select distinct cast(l_suppkey as varchar) as entity from lineitem where l_quantity >= 50 and l_discount >= 0.1),
-b as (select distinct cast(s_suppkey as varchar) as entity from supplier where s_acctbal > 0)
+a as (select distinct cast(o_custkey as varchar) as entity from orders), b as (select distinct cast(c_custkey as varchar) as entity from customer)
 select_final select 'entity_extra' as rule, entity as key, '' as detail from a where entity not in (select entity from b)
 union all select 'entity_absent', entity, '' from b where entity not in (select entity from a)""")
 def _(m):
-    a = m.table("lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").select(F.col("l_suppkey").cast("string").alias("entity"))
-    b = m.table("supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("entity"))
-    return Q.entity_mismatch(a, b)
+    a = m.table("orders").select(F.col("o_custkey").cast("string").alias("entity"))
+    return Q.entity_mismatch(a, m.table("customer").select(F.col("c_custkey").cast("string").alias("entity")))
 
 
 @query("rule_invalid_names", keys="rule, key, detail", sql="""

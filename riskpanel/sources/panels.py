@@ -37,9 +37,9 @@ def group_bounds(groups: DataFrame) -> DataFrame:
 
 
 def entity_groups(entities: DataFrame, groups: DataFrame) -> DataFrame:
-    """Range join of positions on group bounds (one row per group: a handful)."""
+    """Range join of positions on group bounds (one row per group: a handful). Entities beyond the last group have none."""
     pos, bounds = entity_positions(entities), group_bounds(groups)
-    return pos.join(bounds, (F.col("pos") >= F.col("lo")) & (F.col("pos") <= F.col("hi"))).select(
+    return pos.join(bounds, (F.col("pos") >= F.col("lo")) & (F.col("pos") <= F.col("hi")), "left").select(
         "entity", "pos", "short_name")
 
 
