@@ -27,12 +27,35 @@ CAR = 0.08
 SHEET_SQL = X.panel() + X.index() + X.BALANCE + LIABILITIES_SQL.replace(
     "from rets r", "from (select r.*, i.rf from rets r join idx_rets i on r.idx = i.idx) r") + """
 bar as materialized (select entity, date, idx, rf, cds, cap/1e6 as eq, lb/1e6 as lb, 0.25*lb/1e6 + 0.6*0.75*lb/1e6 as db from sheet_rolled),
-va0 as (select *, eq + db*exp(-rf) as va from bar),
-vr0 as (select entity, sqrt(252)*stddev_samp(dr) as va_s from (select entity, ln(va) - lag(ln(va)) over (partition by entity order by idx) as dr from va0) group by 1),
-va as materialized (select va0.*, va_s from va0 join vr0 using (entity)),
 """
 
 
+def kmv_sql(rows: str, name: str) -> str:
+    """CTE `name`: `rows` (entity, idx, rf, eq, db) with the asset values of the fixed point, one list per series and step."""
+    each = "list_transform(range(1, n + 1), lambda i: {})"
+    return f"""
+src_{name} as materialized (select entity, count(*) as n, list(eq order by idx) as eq, list(db order by idx) as db, list(rf order by idx) as rf, list(db*exp(-rf) order by idx) as pv
+  from {rows} group by 1),
+fix_{name}(entity, k, va, moved) as (select entity, 0, list(eq + db*exp(-rf) order by idx), cast(1 as double) from {rows} group by 1 union all
+  select entity, k + 1, nv, sqrt(list_avg({each.format('power(nv[i] - va[i], 2)')})) from (
+    select *, {each.format(f"eq[i] + va[i]*(1 - {X.norm_cdf('d1[i]')}) + pv[i]*{X.norm_cdf('(d1[i] - s)')}")} as nv from (
+      select *, {each.format('(ln(va[i]/db[i]) + rf[i] + 0.5*s*s)/s')} as d1 from (
+        select f.entity, k, va, n, eq, db, rf, pv, sqrt(252)*list_aggregate(list_transform(range(2, n + 1), lambda i: ln(va[i]) - ln(va[i - 1])), 'stddev_samp') as s
+        from fix_{name} f join src_{name} using (entity) where moved > 1e-8 and k < 10000)))),
+end_{name} as (select entity, arg_max(va, k) as v from fix_{name} group by 1),
+at_{name} as (select r.*, v[row_number() over (partition by r.entity order by idx)] as va from {rows} r join end_{name} e on r.entity = e.entity),
+lr_{name} as (select entity, ln(va) - lag(ln(va)) over (partition by entity order by idx) as dr from at_{name}),
+zs_{name} as (select entity, count(dr) as n, stddev_samp(dr) as sd, avg(dr) as mu, stddev_pop(dr) as sp from lr_{name} group by 1),
+ms_{name} as (select l.entity, any_value(n)::double as n, any_value(sd) as sd, avg(power((dr - mu)/sp, 3)) as m3, avg(power((dr - mu)/sp, 4)) as m4
+  from lr_{name} l join zs_{name} z on l.entity = z.entity where dr is not null group by 1),
+{name} as materialized (select a.*, sqrt(252)*sd as va_s, m3*sqrt(n*(n - 1))/(n - 2)/sqrt(252) as va_g,
+  (n - 1)/((n - 2)*(n - 3))*((n + 1)*m4 - 3*(n - 1))/252 as va_k from at_{name} a join ms_{name} m on a.entity = m.entity),
+"""
+
+
+ASSETS_SQL = SHEET_SQL + kmv_sql("bar", "va")
+
+
 def barriers(m):
     """Returns with balance sheet, risk-free rate and default barrier, money in millions."""
     rows = with_liabilities(m, m.returns().join(m.index().select("idx", "rf"), "idx"))
@@ -40,15 +63,6 @@ def barriers(m):
     return V.default_barrier(scaled, 3.0)
 
 
-def first_assets(m):
-    """Asset values before the fixed point: equity plus discounted barrier."""
-    from pyspark.sql import Window
-    rows = barriers(m).withColumn("va", F.col("cap") + F.col("db") * F.exp(-F.col("rf")))
-    w = Window.partitionBy("entity")
-    rows = rows.withColumn("_r", F.ln("va") - F.lag(F.ln("va")).over(w.orderBy("idx")))
-    return rows.withColumn("va_s", F.sqrt(F.lit(252.0)) * F.stddev_samp("_r").over(w)).drop("_r")
-
-
 @query("default_barrier", keys="entity", ints="idx", nums="db", sql=SHEET_SQL + "select_final select entity, idx, db from bar")
 def _(m):
     return barriers(m)
@@ -59,7 +73,7 @@ def _assets(m):
     return rows.join(V.kmv_assets(rows), ["entity", "idx"])
 
 
-@query("kmv_assets", keys="entity", ints="idx", nums="va, va_s, va_g, va_k")
+@query("kmv_assets", keys="entity", ints="idx", nums="va, va_s, va_g, va_k", sql=ASSETS_SQL + "select_final select entity, idx, va, va_s, va_g, va_k from va")
 def _(m):
     return _assets(m)
 
@@ -67,26 +81,31 @@ def _(m):
 DIST = "(ln(va/({b})) + (rf + 0.5*va_s*va_s))/va_s - va_s"
 
 
-@query("default_distances", keys="entity", ints="idx", nums="d2d, d2c", sql=SHEET_SQL + f"""
+@query("default_distances", keys="entity", ints="idx", nums="d2d, d2c", sql=ASSETS_SQL + f"""
 select_final select entity, idx, {DIST.format(b='db')} as d2d, {DIST.format(b='db/0.92')} as d2c from va""")
 def _(m):
-    return V.add_distances(first_assets(m), CAR)
+    return V.add_distances(_assets(m), CAR)
 
 
-CLAIMS_SQL = SHEET_SQL + f"""
+def _claims_sql(more: str = "0.0") -> str:
+    return ASSETS_SQL + f"""
 cl0 as (select *, db*exp(-rf) as dbd, (ln(va/db) + (rf + 0.5*va_s*va_s))/va_s as d1 from va),
-cl1 as (select *, greatest(0.0, dbd*{X.norm_cdf('(va_s - d1)')} - va*{X.norm_cdf('(-d1)')}) as el from cl0),
+cl1 as (select *, greatest(0.0, dbd*{X.norm_cdf('(va_s - d1)')} - va*{X.norm_cdf('(-d1)')} - {more}) as el from cl0),
 cl2 as (select *, least(dbd*(1 - exp(-cds*greatest(0.5, db/(dbd - el) - 1))), el) as cput from cl1),
 claims as materialized (select entity, idx, el, case when el > 0 then least(greatest(1 - cput/el, 0.0), 1.0) else 0.0 end as alpha from cl2),
 """
 
 
+CLAIMS_SQL = _claims_sql()
+GRAM_CHARLIER = f"va*{X.norm_cdf('d1')}*va_s*(va_g/6*(2*va_s - d1) - va_k/24*(1 - d1*d1 + 3*d1*va_s - 3*va_s*va_s))"
+
+
 @query("contingent_claims", keys="entity", ints="idx", nums="el, cl, alpha", sql=CLAIMS_SQL + "select_final select entity, idx, el, el*alpha as cl, alpha from claims")
 def _(m):
-    return V.add_contingent_claims(first_assets(m))
+    return V.add_contingent_claims(_assets(m))
 
 
-@query("contingent_claims_gram_charlier", keys="entity", ints="idx", nums="el, cl, alpha")
+@query("contingent_claims_gram_charlier", keys="entity", ints="idx", nums="el, cl, alpha", sql=_claims_sql(GRAM_CHARLIER) + "select_final select entity, idx, el, el*alpha as cl, alpha from claims")
 def _(m):
     return V.add_contingent_claims(_assets(m), gram_charlier=True)
 
@@ -94,10 +113,13 @@ def _(m):
 @query("contingent_claims_totals", ints="idx", nums="el, cl, alpha", sql=CLAIMS_SQL + """
 select_final select idx, sum(el) as el, sum(el*alpha) as cl, sum(el*alpha)/sum(el) as alpha from claims group by 1""")
 def _(m):
-    return V.scca_totals(V.add_contingent_claims(first_assets(m)))
+    return V.scca_totals(V.add_contingent_claims(_assets(m)))
 
 
-@query("default_indicators", keys="date", nums="ad2d, ad2c, pd2d, pd2c")
+@query("default_indicators", keys="date", nums="ad2d, ad2c, pd2d, pd2c", sql=ASSETS_SQL + """
+pool as (select 'PORTFOLIO' as entity, date, idx, any_value(rf) as rf, sum(eq) as eq, sum(db) as db from bar group by 2, 3),""" + kmv_sql("pool", "vp") + f"""
+each as (select idx, date, sum(eq*({DIST.format(b='db')}))/sum(eq) as ad2d, sum(eq*({DIST.format(b='db/0.92')}))/sum(eq) as ad2c from va group by 1, 2)
+select_final select each.date, ad2d, ad2c, {DIST.format(b='db')} as pd2d, {DIST.format(b='db/0.92')} as pd2c from each join vp on each.idx = vp.idx""")
 def _(m):
     """Cap-weighted average distances next to those of the portfolio taken as one entity."""
     rows = _assets(m)
