@@ -56,6 +56,14 @@ def start_values(x: np.ndarray, k: int):
     return v * np.array([2.0, 1.5, 1.0, 0.5]), np.array([-1.25 * abs(low), high, low, 1.25 * high])
 
 
+def given_parameters(df: DataFrame, value: str = "r", stay: float = 0.9) -> DataFrame:
+    """Two-state parameters per series without a fit: the start variances and means, and a fixed chance to stay."""
+    v, below, above = F.var_samp(value), F.avg(F.when(F.col(value) < 0, F.col(value))), F.avg(F.when(F.col(value) > 0, F.col(value)))
+    rows = df.groupBy("entity").agg((1.5 * v).alias("c1"), (0.5 * v).alias("c2"), F.least(F.coalesce(below, F.lit(0.0)), F.lit(-2e-6)).alias("m1"),
+                                    F.greatest(F.coalesce(above, F.lit(0.0)), F.lit(2e-6)).alias("m2"))
+    return rows.withColumns({n: F.lit(stay if n in ("p11", "p22") else 1.0 - stay) for n in ("p11", "p12", "p21", "p22")})
+
+
 def _candidates(x: np.ndarray, k: int, count: int, centre) -> np.ndarray:
     c0, m0 = start_values(x, k)
     mask = np.array(TRANSITIONS[k], bool)

@@ -337,18 +337,38 @@ def _(m):
     return G.durations(_regimes(m, 2)[1], 2)
 
 
-def _high_vol(m):
-    """Share of each window's rows more than one deviation out: a probability-like series without any fit."""
-    r = T.zscore(m.returns(), "r").withColumn("far", (F.abs("z") > 1).cast("double"))
-    return T.rolling(r, BW, s1=F.avg("far"))
+# Filter and smoother with given parameters; each is one recursion over the calendar.
+SMOOTH_SQL = R + """
+pr as (select entity, 1.5*var_samp(r) as c1, 0.5*var_samp(r) as c2, least(coalesce(avg(r) filter (r < 0), 0), -2e-6) as m1,
+  greatest(coalesce(avg(r) filter (r > 0), 0), 2e-6) as m2, max(idx) as t from rets group by 1),
+dz as materialized (select r.entity, idx, r, exp(-0.5*power(r - m1, 2)/c1)/sqrt(2*pi()*c1) as z1, exp(-0.5*power(r - m2, 2)/c2)/sqrt(2*pi()*c2) as z2, c1, c2, m1, m2, t
+  from rets r join pr on r.entity = pr.entity),
+fw(entity, idx, a1, a2, g1, g2) as (select entity, idx, 0.5::double, 0.5::double, z1/(z1 + z2), z2/(z1 + z2) from dz where idx = 1 union all
+  select entity, idx, a1, a2, a1*z1/(a1*z1 + a2*z2), a2*z2/(a1*z1 + a2*z2) from (
+    select d.entity, d.idx, 0.9*g1 + 0.1*g2 as a1, 0.1*g1 + 0.9*g2 as a2, z1, z2 from fw join dz d on d.entity = fw.entity and d.idx = fw.idx + 1)),
+kept as materialized (select * from fw),
+bw(entity, idx, s1, s2) as (select k.entity, k.idx, g1, g2 from kept k join pr on k.entity = pr.entity and k.idx = t union all
+  select k.entity, k.idx, k.g1*(0.9*s1/n.a1 + 0.1*s2/n.a2), k.g2*(0.1*s1/n.a1 + 0.9*s2/n.a2) from bw
+  join kept n on n.entity = bw.entity and n.idx = bw.idx join kept k on k.entity = bw.entity and k.idx = bw.idx - 1),
+sm as (select k.entity, k.idx, g1 as f1, g2 as f2, s1, s2, a1*m1 + a2*m2 as cmu, a1*sqrt(c1) + a2*sqrt(c2) as cs2, r - (a1*m1 + a2*m2) as e0
+  from kept k join bw b on k.entity = b.entity and k.idx = b.idx join dz d on d.entity = k.entity and d.idx = k.idx),
+"""
+
+
+def _smoothed(m):
+    rows = cut_lineage(m.returns().select("entity", "idx", "r"))
+    return G.smoothed_probabilities(rows, G.given_parameters(rows), 2)
+
+
+@query("regime_probabilities_given", keys="entity", ints="idx", nums="f1, f2, s1, s2, cmu, cs2, e", sql=SMOOTH_SQL + """
+select_final select *, (e0 - avg(e0) over (partition by entity))/stddev_samp(e0) over (partition by entity) as e from sm""")
+def _(m):
+    return _smoothed(m)
 
 
-@query("regime_averages", ints="idx", nums="ap, jp", digits=9, sql=R + f"""
-z as (select entity, idx, case when abs((r - avg(r) over (partition by entity))/stddev_pop(r) over (partition by entity)) > 1 then 1.0 else 0.0 end as far from rets),
-s as (select entity, idx, avg(far) over (partition by entity order by idx rows between {BW - 1} preceding and current row) as s1 from z),
-h as (""" + X.head_fill("s", ["s1"], K) + """) select_final select idx, avg(s1) as ap, product(s1) as jp from h group by 1""")
+@query("regime_averages", ints="idx", nums="ap, jp", digits=9, sql=SMOOTH_SQL + "select_final select idx, avg(s1) as ap, product(s1) as jp from sm group by 1")
 def _(m):
-    return G.regime_indicators(_high_vol(m).withColumn("s2", F.lit(0.0)), 2)
+    return G.regime_indicators(_smoothed(m), 2)
 
 
 # ---------------------------------------------------------------- spillovers between the four groups
