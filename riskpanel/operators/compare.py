@@ -6,10 +6,15 @@ that row, so nothing is joined; a pair's task holds one value pair per calendar
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,65 +161,45 @@ def tournament(values: DataFrame, value: str) -> DataFrame:
     return _rescaled(x.select("label", (wins - losses).cast("double").alias("score")))
 
 
+def _features(wide: DataFrame, col: str, dummy: str, *more: str) -> DataFrame:
+    rows = wide.filter(F.col(col).isNotNull() & F.col(dummy).isNotNull()).select(F.col(dummy).cast("double").alias("y"), F.col(col).cast("double").alias("x"), *more)
+    return VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+
+
 def logit_mcfadden(wide: DataFrame, cols: list[str], dummy: str, adjusted: bool = False) -> DataFrame:
-    """(label, r2): pseudo R-squared of a logistic regression of the crisis dummy on each indicator."""
-    long = wide.unpivot(["idx", dummy], cols, "label", "x")
+    """(label, r2): pseudo R-squared of a logistic regression of the crisis dummy on each indicator.
 
-    def task(key, pdf):
-        x, y = np.column_stack([np.ones(len(pdf)), pdf["x"].to_numpy(float)]), pdf[dummy].to_numpy(float)
-        b = np.zeros(2)
-        for _ in range(50):
-            p = 1.0 / (1.0 + np.exp(-np.clip(x @ b, -35, 35)))
-            w = p * (1 - p)
-            step = np.linalg.solve(x.T @ (x * w[:, None]) + 1e-12 * np.eye(2), x.T @ (y - p))
-            b = b + step
-            if np.abs(step).max() < 1e-10:
-                break
-        p = np.clip(1.0 / (1.0 + np.exp(-np.clip(x @ b, -35, 35))), 1e-15, 1 - 1e-15)
-        ll = (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
-        m = y.mean()
-        ll0 = len(y) * (m * np.log(m) + (1 - m) * np.log(1 - m))
-        return pd.DataFrame({"label": [key[0]], "r2": [1.0 - (ll - (2 if adjusted else 0)) / ll0]})
-
-    return long.groupBy("label").applyInPandas(task, "label string, r2 double")
-
-
-def _tree_predict(x: np.ndarray, y: np.ndarray, at: np.ndarray, parent: int = 10) -> np.ndarray:
-    """Least-squares regression tree on one feature, split while a node has at least `parent` rows."""
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    cs = np.concatenate([[0.0], np.cumsum(y)])
-    bounds, means, stack = [], [], [(0, len(x))]
-    while stack:
-        lo, hi = stack.pop()
-        n = hi - lo
-        if n >= parent and x[lo] < x[hi - 1]:
-            k = np.arange(lo + 1, hi)
-            k = k[x[k] > x[k - 1]]
-            left, right = cs[k] - cs[lo], cs[hi] - cs[k]
-            gain = left ** 2 / (k - lo) + right ** 2 / (hi - k) - (cs[hi] - cs[lo]) ** 2 / n
-            if gain.max() > 1e-12:
-                cut = int(k[np.argmax(gain)])
-                stack += [(cut, hi), (lo, cut)]
-                continue
-        bounds.append((x[lo - 1] + x[lo]) / 2 if lo else -np.inf)
-        means.append((cs[hi] - cs[lo]) / n)
-    return np.asarray(means)[np.searchsorted(bounds, at, side="right") - 1]
+    One distributed fit for each of the indicators, whose number the analyst chooses and the data don't change.
+    """
+    out = []
+    for col in cols:
+        rows = _features(wide, col, dummy)
+        model = LogisticRegression(labelCol="y", maxIter=300, tol=1e-12, regParam=0.0, standardization=True).fit(rows)
+        p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
+        sums = model.transform(rows).agg(F.sum(F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1.0 - p))).alias("ll"), F.avg("y").alias("m"), F.count("y").alias("n"))
+        empty = F.col("n") * (F.col("m") * F.ln("m") + (1.0 - F.col("m")) * F.ln(1.0 - F.col("m")))
+        out.append(sums.select(F.lit(col).alias("label"), (1.0 - (F.col("ll") - (2.0 if adjusted else 0.0)) / empty).alias("r2")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def predictive_power(wide: DataFrame, cols: list[str], dummy: str, folds: int = 4) -> DataFrame:
-    """(label, pps): 1 - cross-validated tree loss over the loss of the median, floored at 0. Folds hash the row number."""
-    long = wide.withColumn("fold", F.pmod(F.xxhash64("idx"), F.lit(folds))).unpivot(["idx", "fold", dummy], cols, "label", "x")
+    """(label, pps): 1 - cross-validated loss of a regression tree over the loss of the median, floored at 0.
 
-    def task(key, pdf):
-        pdf = pdf.sort_values("idx")
-        x, y, f = pdf["x"].to_numpy(float), pdf[dummy].to_numpy(float), pdf["fold"].to_numpy()
-        losses = [((y[f == k] - _tree_predict(x[f != k], y[f != k], x[f == k])) ** 2).mean() for k in np.unique(f)]
-        base = ((y - np.median(y)) ** 2).mean()
-        loss = float(np.mean(losses))
-        return pd.DataFrame({"label": [key[0]], "pps": [0.0 if loss > base or base == 0 else 1.0 - loss / base]})
-
-    return long.groupBy("label").applyInPandas(task, "label string, pps double")
+    Folds hash the row number; one distributed fit for each indicator and fold.
+    """
+    out = []
+    for col in cols:
+        rows = _features(wide.withColumn("fold", F.pmod(F.xxhash64("idx"), F.lit(folds))), col, dummy, "fold")
+        losses = []
+        for fold in range(folds):
+            tree = DecisionTreeRegressor(labelCol="y", maxDepth=8, maxBins=128, minInstancesPerNode=5, seed=1).fit(rows.filter(F.col("fold") != fold))
+            losses.append(tree.transform(rows.filter(F.col("fold") == fold)).select(F.lit(fold).alias("fold"), F.pow(F.col("y") - F.col("prediction"), 2.0).alias("e")))
+        loss = reduce(DataFrame.unionByName, losses).groupBy("fold").agg(F.avg("e").alias("e")).agg(F.avg("e").alias("loss"))
+        middle = rows.agg(F.percentile("y", F.lit(0.5)).alias("m")).scalar()
+        base = rows.withColumn("m", middle).agg(F.avg(F.pow(F.col("y") - F.col("m"), 2.0)).alias("base")).scalar()
+        share = F.when((F.col("base") > 0) & (F.col("loss") <= F.col("base")), 1.0 - F.col("loss") / F.col("base")).otherwise(0.0)
+        out.append(loss.withColumn("base", base).select(F.lit(col).alias("label"), share.alias("pps")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def autoregression_lag(pairs: DataFrame, lag_max: int, kind: str) -> DataFrame:

@@ -99,8 +99,8 @@ def _(m):
 
 def with_dummy(m):
     """Standardised indicators with the 0/1 crisis dummy."""
-    s = _std(m)
-    return s.join(panels.crisis_ranges(s.select("date"), m.crises()).select("date", F.col("any_crisis").alias("crisis")), "date")
+    s = cut_lineage(_std(m))
+    return cut_lineage(s.join(panels.crisis_ranges(s.select("date"), m.crises()).select("date", F.col("any_crisis").alias("crisis")), "date"))
 
 
 @query("logit_pseudo_r2", keys="label", nums="r2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,22 +26,32 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder below the one the cluster names in `spark.checkpoint.dir`, removed when its JVM ends.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a local master may fall
-    back to a temporary folder, because executors elsewhere could not read it.
+    Only a local master may fall back to a temporary folder, because executors elsewhere could not read it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+    if getattr(sc, "_riskpanel_folder", None) is None:
+        base = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not base:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="riskpanel-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+            base = tempfile.mkdtemp(prefix="riskpanel-")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/panel-{uuid.uuid4().hex}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._riskpanel_folder = fs.makeQualified(path).toString()
+    return sc._riskpanel_folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read on from there: later steps read only the columns they use."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

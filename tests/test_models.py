@@ -462,10 +462,11 @@ def test_logit_gradient_is_zero_at_the_optimum(wide, market):
     assert abs(r2[(cols[0],)] - (1 - ll / ll0)) < 1e-9 and all(0 <= v <= 1 for v in pps.values())
 
 
-def test_tree_splits_a_step():
-    x = np.linspace(0, 1, 60)
-    y = (x > 0.4).astype(float)
-    assert np.allclose(compare._tree_predict(x, y, np.array([0.1, 0.39, 0.42, 0.9])), [0, 0, 1, 1])
+def test_predictive_power_of_a_step(spark):
+    rows = [(i, float(i % 40), float(i % 40 > 15), float((i * 7919) % 101)) for i in range(400)]
+    wide = spark.createDataFrame(rows, "idx long, step double, crisis double, noise double")
+    got = keyed(compare.predictive_power(wide, ["step", "noise"], "crisis").collect(), "pps", "label")
+    assert got[("step",)] > 0.95 and got[("noise",)] < 0.3
 
 
 def test_price_discovery_shares(wide):
