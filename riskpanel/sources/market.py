@@ -68,21 +68,22 @@ class Market:
         return source.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
 
     def _aggregate(self, by: str, unit: str) -> DataFrame:
-        """Sums per (entity, period). Rows meet the part table only after they are summed per part and period; rows of a
-        part that is not listed have a null entity: no series of their own, but a share in the market."""
+        """Sums per (entity, period), of the rows in their own order. Rows of a part that is not listed have a null entity:
+        no series of their own, but a share in the market."""
         if (by, unit) not in self._observations:
-            key = "l_suppkey" if by == "supplier" else "l_partkey"
-            sums = self.table("lineitem").groupBy(key, period_start(F.col("l_shipdate"), unit).alias("date")).agg(
-                F.sum("l_extendedprice").alias("volume"), F.sum("l_quantity").alias("quantity"), F.sum("l_discount").alias("discount"),
-                F.count("l_discount").alias("discounts"), F.sum("l_tax").alias("tax"), F.count("l_tax").alias("lines"))
+            items = self.table("lineitem").withColumn("date", period_start(F.col("l_shipdate"), unit))
             if by == "supplier":
-                sums = sums.withColumn("entity", F.concat(F.lit("S"), F.col(key).cast("string"))).withColumn("cap", F.col("quantity") * 1000.0)
+                items = items.withColumn("entity", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")))
+                unit_value = F.lit(1000.0)
             else:
-                name = {"brand": "p_brand", "type": "p_type"}[by]
-                parts = self.table("part").select("p_partkey", F.col(name).alias("entity"), "p_retailprice")
-                sums = sums.join(parts, sums[key] == parts.p_partkey, "left").withColumn("cap", F.col("quantity") * F.col("p_retailprice"))
-            sums = sums.groupBy("entity", "date").agg(*[F.sum(c).alias(c) for c in ("volume", "quantity", "cap", "discount", "discounts", "tax", "lines")])
-            self._observations[by, unit] = cut_lineage(sums.withColumn("cds", F.col("discount") / F.col("discounts")))
+                key = {"brand": "p_brand", "type": "p_type"}[by]
+                parts = self.table("part").select("p_partkey", F.col(key).alias("entity"), "p_retailprice")
+                items = items.join(parts, items.l_partkey == parts.p_partkey, "left")
+                unit_value = F.col("p_retailprice")
+            self._observations[by, unit] = cut_lineage(items.groupBy("entity", "date").agg(
+                F.sum("l_extendedprice").alias("volume"), F.sum("l_quantity").alias("quantity"),
+                F.sum(F.col("l_quantity") * unit_value).alias("cap"), F.avg("l_discount").alias("cds"),
+                F.sum("l_tax").alias("tax"), F.count("l_tax").alias("lines")))
         return self._observations[by, unit]
 
     def observations(self, by: str = "brand", unit: str = "week") -> DataFrame:
