@@ -171,12 +171,25 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return map_rows(encoded.select("doc_id", "ids"), work, "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, ids, decoded: `encode` and `decode` in one pass, so that ids need not leave the worker in between."""
+    shared = share_codec(docs.sparkSession, ranks_path, pattern)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared)
+        for batch in batches:
+            ids = [codec.encode(t) for t in texts(batch)]
+            decoded = pa.array((codec.decode(v) for v in ids), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), decoded], ["doc_id", "ids", "decoded"])
+
+    return map_rows(text_rows(docs), work, "doc_id long, ids binary, decoded binary")
+
+
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Count and digests of the ids of every text and of the bytes that they decode to."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
-    return both.select(
-        "doc_id", F.floor(F.length(F.coalesce("ids", F.lit(b""))) / 4).cast("long").alias("n_tokens"),
-        F.sha2(F.coalesce("ids", F.lit(b"")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = round_trip(docs, ranks_path, pattern)
+    return both.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

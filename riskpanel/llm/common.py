@@ -9,12 +9,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskpanel.session import ship_package
 
 #: Characters that separate words, as a Java class: space and tab to carriage return. `bytes.split()` uses the same set.
 SPACE = r"[\x20\x09-\x0D]"
-CACHED = 300_000
+CACHED = 50_000
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,10 +75,29 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors. Spark bounds a batch by rows and by bytes."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(work, schema)
+def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with this package at hand on the executors, and batches small enough for narrow ones.
+
+    The session's bound on the bytes of an Arrow batch is lowered to BATCH_BYTES if it is above that: both the JVM and
+    the Python worker hold whole batches outside the heap. Workers take memory from the system, which gets it back.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (now := spark.conf.get(key).lower().removesuffix("b")).isdigit() and int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from work(batches)
+
+    return df.mapInArrow(lean, schema)
+
+
+def replaced(batch: pa.RecordBatch, column: str, values: pa.Array) -> pa.RecordBatch:
+    """The batch with one column's values exchanged."""
+    arrays = [values if name == column else batch.column(i) for i, name in enumerate(batch.schema.names)]
+    return pa.RecordBatch.from_arrays(arrays, batch.schema.names)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:

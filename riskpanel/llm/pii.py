@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.llm.common import map_rows, table, text_rows, texts
+from riskpanel.llm.common import map_rows, replaced, table, text_rows, texts
 from riskpanel.llm.weak import estimate, fit_linear, slot
 
 KINDS = ("email", "ip", "card", "phone")
@@ -230,11 +230,12 @@ def mask(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
     """The rows of `docs` with personal data in `text` replaced; null texts stay null, other columns are as they were."""
     spans = _decide(train(text_rows(docs)), add_from)
 
-    @F.pandas_udf("string")
-    def clean(column):
-        return column.map(lambda t: None if t is None else masked(t, spans(t)))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (v.as_py() for v in batch.column("text"))
+            yield replaced(batch, "text", pa.array([None if t is None else masked(t, spans(t)) for t in found], pa.string()))
 
-    return docs.withColumn("text", clean(F.col("text").cast("string")))
+    return map_rows(docs, clean, docs.schema)
 
 
 def told(spans):

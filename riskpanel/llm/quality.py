@@ -147,20 +147,19 @@ def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of `docs` whose text scores enough, unchanged and with all their columns."""
     weight, bias = train(docs)
 
-    @F.pandas_udf("boolean")
-    def good(column):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Memo(shape)
 
-        def one(text) -> bool:
-            data = (text or "").encode()
+        def good(data: bytes) -> bool:
             if not data.strip():
                 return False
             slots, shares = features(data, shapes)
             return bool(1 / (1 + np.exp(-np.clip(weight[slots] @ shares + bias, -50, 50))) >= keep_from)
 
-        return column.map(one).astype("bool")
+        for batch in batches:
+            yield batch.filter(pa.array([good(t) for t in text_bytes(batch)], pa.bool_()))
 
-    return docs.filter(good(F.col("text").cast("string")))
+    return map_rows(docs, work, docs.schema)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

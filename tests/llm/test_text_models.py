@@ -45,6 +45,8 @@ def test_token_digests(make, odd, library):
         want.append((-1 if i is None else i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe.token_digests(make([]), RANKS, PATTERN).count() == 0
+    apart = bpe.decode(bpe.encode(make(odd), RANKS, PATTERN), RANKS, PATTERN)
+    assert sorted(map(str, apart.collect())) == sorted(map(str, bpe.round_trip(make(odd), RANKS, PATTERN).collect()))
 
 
 def test_language(make, odd):
