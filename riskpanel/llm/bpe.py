@@ -17,6 +17,7 @@ from riskpanel.llm.common import Memo, map_rows, table, text_rows, texts
 LEAF_BYTES = 64
 LEAF_CHARS = 1 << 15
 DECODE_LEAF = 1 << 16
+KNOWN_PIECES = 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,7 +35,7 @@ class Codec:
         # \s of the regex library also differs between versions in the control separators; the Unicode property does not
         spaced = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.find = regex.compile(spaced, regex.V0).findall
-        self.known = Memo(self.pack)
+        self.known = Memo(self.pack, size=KNOWN_PIECES)
         self.merge = tiktoken.Encoding("leaves", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     # one piece

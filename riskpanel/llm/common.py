@@ -47,10 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
     return fs.makeQualified(path).toString()
 
 
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+def written(df: DataFrame, folder: str, name: str, compression: str = "snappy") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -115,13 +115,13 @@ def text_bytes(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes]:
 class Memo(dict):
     """Results of a function seen so far; emptied when full, so that memory stays bounded."""
 
-    def __init__(self, work, longest: int = 64):
+    def __init__(self, work, longest: int = 64, size: int = CACHED):
         super().__init__()
-        self.work, self.longest = work, longest
+        self.work, self.longest, self.size = work, longest, size
 
     def __missing__(self, key):
         value = self.work(key)
-        if len(self) >= CACHED:
+        if len(self) >= self.size:
             self.clear()
         if len(key) <= self.longest:
             self[key] = value

@@ -75,7 +75,7 @@ def training_order(docs: DataFrame, ranks_path: str, pattern: str, path: str, st
     very long text is many sequences; other columns are not read.
     """
     spark = docs.sparkSession
-    rows = written(encoded(docs, ranks_path, pattern, stride), shared_folder(spark), "encoded")
+    rows = written(encoded(docs, ranks_path, pattern, stride), shared_folder(spark), "encoded", "zstd")
     sizes = rows.groupBy("part").agg(F.sum(F.ceil(F.col("n_tokens") / stride)).cast("long").alias("n")).orderBy("part").collect()  # a row for each task
     total = sum(r["n"] for r in sizes)
     starts = dict(zip((r["part"] for r in sizes), np.cumsum([0] + [r["n"] for r in sizes]).tolist()))
@@ -83,25 +83,24 @@ def training_order(docs: DataFrame, ranks_path: str, pattern: str, path: str, st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc, ids, n, first, part = (batch.column(i)[row].as_py() for i in range(5))
-                count = -(-n // stride)
-                if not count:
-                    continue
-                slots = permuted(starts[part] + first + np.arange(count), total, seed)
-                data = ids + filler * (count * stride - n)
-                left = np.full(count, stride)
-                left[-1] = n - (count - 1) * stride
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots // shard_sequences, pa.int32()), pa.array(slots), pa.array([doc] * count, pa.int64()), pa.array(range(count), pa.int32()),
-                     pa.array(left, pa.int32()), pa.array([data[i * 2 * stride:(i + 1) * 2 * stride] for i in range(count)], pa.binary())],
-                    ["shard", "slot", "doc_id", "seq_no", "n_tokens", "tokens"])
+            sizes = batch.column("n_tokens").to_numpy()
+            counts = -(-sizes // stride)
+            owner = np.repeat(np.arange(batch.num_rows), counts)
+            within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            base = np.array([starts[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("first").to_numpy()
+            slots = permuted(base[owner] + within, total, seed)
+            left = np.minimum(sizes[owner] - within * stride, stride)
+            data = b"".join(ids + filler * int(gap) for ids, gap in zip(batch.column("ids").to_pylist(), counts * stride - sizes))
+            records = pa.Array.from_buffers(pa.binary(2 * stride), len(owner), [None, pa.py_buffer(data)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((slots // shard_sequences).astype(np.int32)), pa.array(slots), batch.column("doc_id").take(pa.array(owner)),
+                 pa.array(within.astype(np.int32)), pa.array(left.astype(np.int32)), records], ["shard", "slot", "doc_id", "seq_no", "n_tokens", "tokens"])
 
     placed = map_rows(rows.select("doc_id", "ids", "n_tokens", "first", "part"), work,
                       "shard int, slot long, doc_id long, seq_no int, n_tokens int, tokens binary")
     shards = max(1, -(-total // shard_sequences))
     placed = placed.repartitionById(shards, "shard").sortWithinPartitions("slot")
-    placed.write.mode("overwrite").parquet(path)
+    placed.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(placed.schema).parquet(path)
 
 
