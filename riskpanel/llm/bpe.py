@@ -81,19 +81,20 @@ class Codec:
     def join_pieces(self, left: list[str], right: list[str]) -> list[str]:
         """Matches of the pattern over the joined text from the matches over both sides.
 
-        All matches of the left side but the last end before its last character, so they stand. The rest is matched
-        anew until a match starts where one of the right side does; from there on the right side's matches stand.
+        A match is decided by at most two characters past its end ('re, 've and 'll against a lone apostrophe), so a match
+        that two others follow stands. All but the last two of the left side are kept and the rest is matched anew, until
+        its last two matches are two of the right side: from there on the right side's matches stand. Should the first
+        one differ from what it was, the window grows to the left as well.
         """
         if not left or not right:
             return left or right
-        j = min(2, len(right))
+        i, j = min(2, len(left)), min(2, len(right))
         while True:
-            seam = self.find(left[-1] + "".join(right[:j]))
-            if j == len(right):
-                return left[:-1] + seam
-            if len(seam) > 1 and seam[-1] == right[j - 1]:
-                return left[:-1] + seam + right[j:]
-            j = min(2 * j, len(right))
+            seam = self.find("".join(left[-i:] + right[:j]))
+            left_done, right_done = i == len(left) or seam[0] == left[-i], j == len(right) or seam[-2:] == right[j - 2:j]
+            if left_done and right_done:
+                return left[:-i] + seam + right[j:]
+            i, j = (i if left_done else min(2 * i, len(left))), (j if right_done else min(2 * j, len(right)))
 
     def pieces(self, text: str) -> list[str]:
         if len(text) <= LEAF_CHARS:

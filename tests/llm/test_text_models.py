@@ -8,6 +8,7 @@ import struct
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from riskpanel.llm import bpe, langid, ordering, pii, quality, weak
@@ -37,6 +38,18 @@ def test_tree_equals_library(library, leaf, monkeypatch):
                 assert codec.decode(packed) == text.encode()
 
 
+@pytest.mark.parametrize("leaf", range(2, 9))
+def test_split_inside_a_contraction(library, leaf, monkeypatch):
+    """A cut inside 're, 've or 'll: the apostrophe left of it is a match of its own only for want of the letters that follow."""
+    monkeypatch.setattr(bpe, "LEAF_CHARS", leaf)
+    codec, rnd = bpe.Codec(bpe.load_ranks(RANKS), PATTERN), random.Random(leaf)
+    texts = ["".join(rnd.choice("rvel'" + more) for _ in range(rnd.randrange(40))) for more in ("", " ", "s \n", "1!") for _ in range(300)]
+    for text in [*texts, "they're x", "we've y", "I'll z"]:
+        assert codec.pieces(text) == regex.findall(PATTERN, text)
+        packed = codec.encode(text)
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == library.encode_ordinary(text)
+
+
 def test_token_digests(make, odd, library):
     got = sorted(tuple(r) for r in bpe.token_digests(make(odd), RANKS, PATTERN).fillna(-1, ["doc_id"]).collect())
     want = []
