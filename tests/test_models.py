@@ -400,6 +400,36 @@ def test_variance_decomposition(returns, matrix):
     assert np.allclose(v, total / total.sum(1, keepdims=True), atol=1e-9) and np.allclose(v.sum(1), 1)
 
 
+def test_short_windows_of_a_decomposition_have_null_rows(spark, returns):
+    """Five series and two lags need 18 rows: the first windows have none of that and still give every pair."""
+    p = spillover.variance_decomposition(returns, BW, lags=2, h=3).cache()
+    rows = p.toPandas()
+    assert (rows.groupby("idx").size() == 25).all() and sorted(rows.idx.unique()) == list(range(1, 121))
+    defined = rows.groupby("idx").value.count()
+    assert (defined.loc[:17] == 0).all() and (defined.loc[18:] == 25).all()
+    assert p.filter("isnan(value)").count() == 0
+    gone = {r.idx: r for r in spillover.spillover_index(p).collect()}
+    assert len(gone) == 120 and gone[17].si is None and 0 < gone[18].si < 1
+    each = spillover.spillovers(p).toPandas()
+    assert len(each) == 600 and each[each.idx <= 17][["sf", "st", "sn"]].isna().all().all() and each[each.idx > 17].notna().all().all()
+
+
+def test_decomposition_of_too_many_series_raises(spark):
+    rnd = np.random.default_rng(3)
+    panel = lambda n: spark.createDataFrame([(f"s{k:02d}", t, float(rnd.normal())) for k in range(n) for t in range(1, 57)], "entity string, idx long, r double")
+    assert spillover.most_series(52, 2) == 16
+    with pytest.raises(ValueError, match="17 series"):
+        spillover.variance_decomposition(panel(17), 52)
+    at = spillover.variance_decomposition(panel(16), 52).filter("idx = 56")
+    assert at.filter("value is not null").count() == 256
+
+
+def test_series_with_gaps_in_a_decomposition_have_null_rows(returns):
+    less = returns.filter("not (entity = 'Brand#5' and idx = 90)")
+    rows = spillover.variance_decomposition(less, BW, lags=1, h=3).filter("idx = 100").toPandas()
+    assert len(rows) == 25 and rows.value.count() == 16 and rows[(rows.src == "Brand#5") | (rows.dst == "Brand#5")].value.isna().all()
+
+
 def test_filled_decomposition_rows_sum_to_one(returns):
     vd = spillover.variance_decomposition(returns, BW, lags=1, h=3, step=10)
     filled = spillover.fill_decomposition(vd, returns.select("idx"))
