@@ -32,19 +32,38 @@ def _criterion(kind: str, sse, k, d):
     return fit + 2 * np.log(np.log(k)) * d
 
 
+def _inverse(a: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses of Gram matrices, and where there is none: `short`, or a column that the others explain to 1 - 1e-10."""
+    d = np.sqrt(np.maximum(np.einsum("nii->ni", a), 0.0))
+    d[d == 0] = 1.0
+    scale, eye = d[:, :, None] * d[:, None, :], np.eye(a.shape[1])
+    r = np.where(short[:, None, None], eye, a / scale)
+    try:
+        inv = np.linalg.inv(r)
+    except np.linalg.LinAlgError:
+        inv = np.linalg.inv(r + 1e-13 * eye)
+    inflation = np.einsum("nii->ni", inv)
+    return inv / scale, short | ~((inflation > 0) & (inflation < 1e10)).all(1)
+
+
 def _adf_from_sums(g: np.ndarray, lags: int, full: int, m: np.ndarray, kind: str):
-    """Statistics from Gram sums of (y_{-1}, 1, dy_{-1}..dy_{-full}, dy), batched over windows."""
+    """Statistics from Gram sums of (y_{-1}, 1, dy_{-1}..dy_{-full}, dy), batched over windows.
+
+    A window with no more rows than regressors, or with dependent ones (flat prices), has no statistic at that number of lags.
+    """
     best, stat, chosen = None, None, None
     for k in (range(full + 1) if kind != "FIX" else (lags,)):
         use = [0, 1, *range(2, 2 + k)]
         a, c = g[:, use][:, :, use], g[:, use, -1]
-        inv = np.linalg.inv(a)
+        inv, none = _inverse(a, m <= k + 2)
         b = np.einsum("nij,nj->ni", inv, c)
         sse = g[:, -1, -1] - (b * c).sum(1)
-        s = b[:, 0] / np.sqrt(sse / (m - 2) * inv[:, 0, 0])
+        with np.errstate(all="ignore"):
+            s = np.where(none, np.nan, b[:, 0] / np.sqrt(sse / (m - 2) * inv[:, 0, 0]))
         if kind == "FIX":
             return s, np.full(len(s), k)
-        ic = _criterion(kind, sse, m, (k + 2) / m)
+        with np.errstate(all="ignore"):
+            ic = np.where(none, np.inf, _criterion(kind, sse, m, (k + 2) / m))
         better = np.ones(len(s), bool) if best is None else ic < best
         best = ic if best is None else np.where(better, ic, best)
         stat = s if stat is None else np.where(better, s, stat)
@@ -89,7 +108,7 @@ def _sup_stats(y: np.ndarray, w: int, lag_max: int = 0, kind: str = "FIX") -> np
     out = np.full(t, np.nan)
     for i in range(w, t + 1):
         starts = np.arange(0, i - w + 1)
-        g = p[i - 1] - p[starts + lag_max]
+        g = p[i - 1] - p[np.minimum(starts + lag_max, i - 1)]
         m = (i - 1 - starts - lag_max).astype(float)
         if lag_max == 0:
             sx, n, sd = g[:, 0, 1], g[:, 1, 1], g[:, 1, 2]
@@ -98,7 +117,7 @@ def _sup_stats(y: np.ndarray, w: int, lag_max: int = 0, kind: str = "FIX") -> np
             stat = b / np.sqrt((sdd - b * sxd) / (m - 2) / sxx)
         else:
             stat, _ = _adf_from_sums(g, lag_max, lag_max, m, kind)
-        out[i - 1] = stat.max()
+        out[i - 1] = np.fmax.reduce(stat)
     return out
 
 

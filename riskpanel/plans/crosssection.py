@@ -181,7 +181,7 @@ def _(m):
 @query("caviar_fitted_path", keys="entity", ints="idx", nums="q_m, q_f")
 def _(m):
     rows = _pair(m)
-    params = cut_lineage(S.caviar_params(S.caviar_fit(rows, "r_m", A, 2000), S.caviar_fit(rows, "r", A, 2000)))
+    params = cut_lineage(S.caviar_params(S.caviar_fit(rows, "r_m", A), S.caviar_fit(rows, "r", A)))
     return S.caviar_path(rows, params, A)
 
 

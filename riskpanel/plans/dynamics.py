@@ -56,7 +56,7 @@ def _(m):
 
 @query("bsadf_lags", keys="entity", ints="idx", nums="bsadf")
 def _(m):
-    return B.bsadf(bubble_panel(m), lag_max=2, kind="AIC")
+    return B.bsadf(bubble_panel(m), lag_max=10, kind="AIC")
 
 
 ISLAND_SQL = BUBBLE_SQL + """
@@ -166,9 +166,15 @@ l as (select u.entity, u.lag, u.direction, f.cq, sum(power((u.cq - f.cq)*u.i, 2)
   and f.i = (select t from n) group by 1, 2, 3, 4)
 select_final select entity, direction, lag, cq, sqrt(48.55132*s/power(t, 3)) as half_width from l, n""")
 def _(m):
+    """The first three lags, which SQL can follow."""
     return Q.ci_self_normalised(_both(m), A, lags=3)
 
 
+@query("quantilogram_self_normalised_lags", keys="entity, direction", ints="lag", nums="cq, half_width")
+def _(m):
+    return Q.ci_self_normalised(_both(m), A, lags=60)
+
+
 LENGTH_SQL = X.panel("supplier") + """
 bl as (select entity, idx, r as x from rets),
 sz as (select entity, count(*) as t, cast(floor(greatest(sqrt(log10(count(*))), 5)) as integer) as run,

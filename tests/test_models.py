@@ -1,5 +1,6 @@
 """Operators SQL cannot follow, against direct loops on a small panel, and their invariants."""
 
+import inspect
 import math
 from statistics import NormalDist
 
@@ -11,6 +12,7 @@ from riskpanel.functions import scalar as S
 from riskpanel.operators import bubbles, component, compare, crosssection, default, entropy, liquidity, network, quantilogram, regime
 from riskpanel.operators import spillover, tail, transforms
 from riskpanel.operators.series import halton
+from riskpanel.plans import load
 
 BW = 30
 K = transforms.head_rows(BW)
@@ -356,6 +358,74 @@ def test_bsadf_with_lags_matches_direct(returns):
         assert abs(got[(i,)] - max(stats)) < 1e-5
 
 
+def test_bsadf_with_ten_lags_matches_direct(spark):
+    """Lags chosen by AIC on one sample; the shortest windows have 5 rows, too few for more than 2 lags, and some are flat."""
+    y, most = np.cumsum(np.random.default_rng(8).normal(size=80)), 10
+    y[40:58] = y[40]
+    one = spark.createDataFrame([("a", i + 1, float(v)) for i, v in enumerate(y)], "entity string, idx long, price double")
+    w = bubbles.minimum_window(len(y))
+    assert w == 16
+    got = keyed(bubbles.bsadf(one, "price", most, "AIC").collect(), "bsadf", "idx")
+    assert len(got) == 80 - w + 1
+    for i in (w, w + 1, 39, 80):
+        stats = []
+        for j in range(i - w + 1):
+            d, level, tries = np.diff(y[j:i]), y[j:i][most:-1], []
+            m = len(level)
+            for k in range(min(most, m - 3) + 1):
+                z = np.column_stack([level, np.ones(m), *[d[most - p:len(d) - p] for p in range(1, k + 1)]])
+                b = np.linalg.lstsq(z, d[most:], rcond=None)[0]
+                e = d[most:] - z @ b
+                tries.append((math.log(2 * math.pi) + e @ e / m + 2 * (k + 2) / m, b[0] / math.sqrt(e @ e / (m - 2) * np.linalg.inv(z.T @ z)[0, 0])))
+            stats.append(min(tries)[1])
+        assert abs(got[(i,)] - max(stats)) < 1e-5
+
+
+def test_self_normalised_interval_over_sixty_lags(pair):
+    """A lag as long as the first sample of 12 rows has a quantilogram and, as in the reference, no half-width."""
+    rows = quantilogram.ci_self_normalised(pair, 0.1, 60).collect()
+    entities = {r.entity for r in rows}
+    assert len(rows) == len(entities) * 60 * 2
+    assert all((r.half_width is None) == (r.lag >= 12) and r.cq is not None for r in rows)
+    x = pair.filter("entity = 'Brand#2'").orderBy("idx").toPandas()[["r", "r_m"]].to_numpy()
+    at = {(r.direction, r.lag): r for r in rows if r.entity == "Brand#2"}
+    for name, order in (("from_market", [0, 1]), ("to_market", [1, 0])):
+        for k in (4, 11, 12, 60):
+            path = []
+            for i in range(12, 121):
+                h = (x[:i, order] <= np.quantile(x[:i, order], 0.1, axis=0)) - 0.1
+                u, v = h[k:, 0], h[:max(i - k, 0), 1]
+                path.append(u @ v / math.sqrt((u @ u) * (v @ v)) if len(u) else math.nan)
+            path = np.array(path)
+            assert abs(at[name, k].cq - path[-1]) < 1e-9
+            if k < 12:
+                assert abs(at[name, k].half_width - math.sqrt(48.55132 * (((path - path[-1]) * np.arange(12, 121)) ** 2).sum() / 120 ** 3)) < 1e-9
+
+
+def test_registered_over_the_whole_job(market, monkeypatch):
+    """The queries ask for what the operators' siblings and the reference use."""
+    seen = {}
+
+    def spy(module, name):
+        whole = inspect.signature(getattr(module, name))
+
+        def call(*args, **kwargs):
+            bound = whole.bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen[name] = bound.arguments
+            raise InterruptedError
+
+        monkeypatch.setattr(module, name, call)
+
+    spy(bubbles, "bsadf")
+    spy(quantilogram, "ci_self_normalised")
+    spy(crosssection, "caviar_fit")
+    for query in ("bsadf_lags", "quantilogram_self_normalised_lags", "caviar_fitted_path"):
+        with pytest.raises(InterruptedError):
+            load()[query].build(market)
+    assert seen["bsadf"]["lag_max"] == 10 and seen["ci_self_normalised"]["lags"] == 60 and seen["caviar_fit"]["count"] == 10_000
+
+
 def test_partial_quantilogram_without_controls_is_the_plain_one(pair):
     plain = quantilogram.cross_quantilogram(quantilogram.paired_hits(pair.drop("r_m"), pair.filter("entity = 'Brand#1'").select("idx", "r_m"), 0.1), 3)
     part = quantilogram.partial_cross_quantilogram(pair, [], 0.1, 3)
