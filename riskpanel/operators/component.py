@@ -265,8 +265,14 @@ def _gamma(x: Column) -> Column:
 
 
 def catfin(rp: DataFrame, bw: int, a: float, lam: float = 0.98, u: float = 0.05) -> DataFrame:
-    """First principal component score of the three VaR series (as positive losses), unstandardised."""
-    vars_ = var_nonparametric(rp, bw, a, lam).join(var_gpd(rp, bw, a, u), "idx").join(var_gev(rp, bw, a), "idx")
-    wide = cut_lineage(vars_.select("idx", *[(-F.col(c)).alias(c) for c in ("var_np", "var_gpd", "var_gev")]))
-    _, _, scores = pca_wide(wide, ["var_np", "var_gpd", "var_gev"], ["idx", "var_np", "var_gpd", "var_gev"], normalize=False)
-    return scores.withColumnRenamed("pc1", "catfin").drop("pc2", "pc3")
+    """First principal component score of the three VaR series (as positive losses), unstandardised.
+
+    Every date has a row. The component is fitted on dates with all three; the others have a null score.
+    """
+    cols = ["var_np", "var_gpd", "var_gev"]
+    vars_ = rp.select("idx").distinct()
+    for part in (var_nonparametric(rp, bw, a, lam), var_gpd(rp, bw, a, u), var_gev(rp, bw, a)):
+        vars_ = vars_.join(part, "idx", "left")
+    wide = cut_lineage(vars_.select("idx", *[F.when(~F.isnan(c), -F.col(c)).alias(c) for c in cols]))
+    _, _, scores = pca_wide(wide.dropna(subset=cols), cols, ["idx"], normalize=False)
+    return wide.join(scores.select("idx", F.col("pc1").alias("catfin")), "idx", "left")

@@ -433,6 +433,19 @@ def test_partial_quantilogram_without_controls_is_the_plain_one(pair):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
+def test_catfin_has_a_row_for_every_date(returns):
+    rp = transforms.equal_weight_portfolio(returns)
+    p = component.catfin(rp, 52, 0.05).toPandas().set_index("idx").sort_index()
+    cols = ["var_np", "var_gpd", "var_gev"]
+    whole = p[cols].notna().all(axis=1)
+    assert list(p.index) == list(range(1, 121)) and 0 < (~whole).sum() < 60 and (p.catfin.notna() == whole).all()
+    assert p.var_np.notna().all()
+    x = p.loc[whole, cols].to_numpy()
+    first = np.linalg.eigh(np.cov(x.T))[1][:, -1]
+    first = first * np.sign(first[np.abs(first).argmax()])
+    assert np.allclose(p.catfin[whole], (x - x.mean(0)) @ first, atol=1e-9)
+
+
 # ---------------------------------------------------------------- joint risk, spillovers, tails
 
 def test_joint_var_is_a_root(returns):
