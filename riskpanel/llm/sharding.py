@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskpanel.llm.common import shared_folder, table, written
@@ -14,6 +14,8 @@ LIMIT = 32 << 20
 #: Hash bits: the first come from the key, the rest from the row's number and only matter where one key overflows a shard.
 KEY_BITS, ROW_BITS = 36, 24
 BITS = KEY_BITS + ROW_BITS
+#: Bits of the count that tells rows apart whose hash is the same to the last bit.
+OWN_BITS = 31
 #: Bits that one round over the rows looks at.
 STEP = 8
 
@@ -48,7 +50,7 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, bytes, shard (the hash prefix as bits), depth, shard_bytes for every row.
 
     Rows with one key share a shard unless they alone exceed the limit; then the bits of their row numbers split them. A
-    row over the limit is a shard of its own. Null texts have no bytes; null ids share the key of the empty string;
+    row over the limit is a shard of its own, and so is each row of a bucket that is too large with all hash bits used. Null texts have no bytes; null ids share the key of the empty string;
     repeated rows each count; an empty table has no shard. Other columns are not read, so none can clash.
     """
     folder = shared_folder(docs.sparkSession)
@@ -58,14 +60,20 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     while True:
         found = written(leaves(rows, base, depth, limit), folder, f"leaves-{depth}")
         parts.append(rows.join(found.withColumnRenamed("fine", "own"), prefix(depth) == F.col("own")).filter("level is not null").select(
-            "doc_id", "bytes", "hash", F.col("level").alias("depth"), "shard_bytes"))
+            "doc_id", "bytes", "hash", F.col("level").alias("depth"), "shard_bytes", F.lit(0).alias("own")))
         left = found.filter("level is null").select("fine")
-        if depth == BITS or left.isEmpty():
+        if left.isEmpty():
+            break
+        if depth == BITS:
+            number = F.row_number().over(Window.partitionBy("hash").orderBy("doc_id", "bytes"))
+            parts.append(rows.join(left, F.col("hash") == F.col("fine"), "left_semi").select(
+                "doc_id", "bytes", "hash", F.lit(BITS + OWN_BITS).alias("depth"), F.col("bytes").alias("shard_bytes"), number.alias("own")))
             break
         rows = written(rows.join(left, prefix(depth) == F.col("fine"), "left_semi"), folder, f"rows-{depth}")
         base, depth = depth + 1, min(BITS, depth + STEP)
     out = reduce(DataFrame.unionByName, parts)
-    bits = F.when(F.col("depth") == 0, "").otherwise(F.expr(f"substring(lpad(conv(shiftright(hash, {BITS} - depth), 10, 2), depth, '0'), 1, depth)"))
+    alone = F.concat(F.lpad(F.conv("hash", 10, 2), BITS, "0"), F.lpad(F.conv("own", 10, 2), OWN_BITS, "0"))
+    bits = F.when(F.col("depth") == 0, "").when(F.col("depth") > BITS, alone).otherwise(F.expr(f"substring(lpad(conv(shiftright(hash, {BITS} - depth), 10, 2), depth, '0'), 1, depth)"))
     return out.select("doc_id", "bytes", bits.alias("shard"), "depth", "shard_bytes")
 
 

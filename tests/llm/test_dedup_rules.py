@@ -238,3 +238,18 @@ def test_pipeline(spark, make, tmp_path):
     assert not {53, 55, 56, 52, 51} & got.keys() and {50, 54} < got.keys()
     want = re.sub(r"a\.b@c\.example\.com", "<EMAIL>", dict(rows)[54])
     assert got[54]["decoded_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_rows_of_one_hash_are_shards_of_their_own(make, monkeypatch):
+    """40 rows of one key share 16 row prefixes: buckets stay over the limit with all bits used."""
+    monkeypatch.setattr(sharding, "KEY_BITS", 4)
+    monkeypatch.setattr(sharding, "ROW_BITS", 4)
+    monkeypatch.setattr(sharding, "BITS", 8)
+    rows = sharding.assign_shards(make([(1, "x" * 100)] * 40 + [(2, "y" * 10)]), limit=150).collect()
+    assert sorted(r.bytes for r in rows) == [10] + [100] * 40
+    held = {}
+    for r in rows:
+        held.setdefault(r.shard, []).append(r.bytes)
+        assert len(r.shard) == r.depth
+    assert all(sum(held[r.shard]) == r.shard_bytes <= 150 for r in rows) and len(held) >= 40
+    assert not any(a != b and b.startswith(a) for a in held for b in held)
