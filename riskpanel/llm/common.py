@@ -61,6 +61,17 @@ def without(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(gone, same, "left_anti")
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` (a written table) left-joined with `found`, which has unique keys and in `n` how many of `total` rows hold each.
+
+    Keys with more than a thousandth of all rows, so fewer than 1,000 of them, are broadcast and their rows stay where
+    they are; only the rest is shuffled by the key.
+    """
+    often = found.filter(F.col("n") * 1000 > total)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(found.filter(F.col("n") * 1000 <= total), key, "left")
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

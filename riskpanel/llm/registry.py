@@ -18,6 +18,9 @@ QUERIES = {
     "op8_sharding": "sharding",
     "op9_decontamination": "contamination",
     "op10_quality_rules": "lines",
+    "op11_filter_interaction": "interaction",
+    "op12_source_divergence": "divergence",
+    "op13_simhash_near_dedup": "simhash",
 }
 
 

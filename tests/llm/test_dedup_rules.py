@@ -209,7 +209,7 @@ def test_shards(make):
 @pytest.mark.parametrize("name", sorted(n for n in registry.oracle_sql()))
 def test_sql(spark, name):
     folder, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     df = registry.queries()[name](spark, folder)
     cur = con.execute(registry.oracle_sql()[name])
