@@ -54,10 +54,19 @@ def written(df: DataFrame, folder: str, name: str, compression: str = "snappy")
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """`name`, with as many underscores as it takes to differ from all columns of `docs`."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of `docs` whose doc_id and text_key (hash of the text) are not in `found`; null ids are compared too."""
-    gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"]) == F.col("_gone_key"))
+    id_name, key_name = unused(docs, "gone_id"), unused(docs, "gone_key")
+    gone = found.select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name)).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col(id_name)) & (F.xxhash64(docs["text"]) == F.col(key_name))
     return docs.join(gone, same, "left_anti")
 
 

@@ -25,6 +25,7 @@ BLOCK = 4096
 #: Bits that the best language must save against the next, as a share of its size, to be sure of the answer.
 MARGIN = 0.02
 UNKNOWN = "und"
+#: Letters, and signs such as a half or a square, which are none.
 LETTER = re.compile(r"[^\W\d_]")
 REST = re.compile(r"[\W\d_]+")
 
@@ -61,7 +62,7 @@ class Languages:
 
     def predict(self, text: str) -> tuple[str, float, bool]:
         """Language, score and whether the margin is wide enough; ties go to the language with most documents."""
-        if not self.names or not LETTER.search(text):
+        if not self.names or not any(found.group().isalpha() for found in LETTER.finditer(text)):
             return UNKNOWN, 0.0, False
         data = plain(text).encode()
         sizes = np.zeros(len(self.names))

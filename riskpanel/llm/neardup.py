@@ -233,7 +233,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Null and blank texts have an empty set, are linked with nothing and stay. Repeated rows have equal sets and so are one
     node: each is reported, and rows that share the least doc_id are all kept. A null doc_id counts as larger than
     any other; it is its own component if no id is reachable. Empty tables give empty tables. Other columns are not read.
+    Bands and the sketch cut are set for PERCENT, where a pair is missed with the chances that the README states; a
+    higher threshold misses fewer, a lower one raises.
     """
+    if percent < PERCENT:
+        raise ValueError(f"bands are set for {PERCENT} percent and more, not {percent}")
     spark, rows = docs.sparkSession, text_rows(docs)
     folder = shared_folder(spark)
     signed = written(map_rows(rows.withColumn("text_key", F.xxhash64("text")), _signatures, "doc_id long, text_key long, node binary, n_shingles long, sketch binary, bands binary"), folder, "signed")

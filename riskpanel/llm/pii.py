@@ -93,7 +93,7 @@ def more_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """Candidates beyond the fixed rules: spelt-out addresses, long IP addresses, other separators, numbers without a plus."""
     found = []
     for m in AT.finditer(text):
-        start = _left(text, m.start(), max(0, m.start() - 64))
+        start = _left(text, m.start(), 0)  # a bracket ends the walk, so no character is passed twice
         domain = SPELT_DOMAIN.match(text, m.end())
         if start < m.start() and domain:
             found.append((0, start, domain.end()))
@@ -157,23 +157,29 @@ def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kinds.append(span[0])
                 votes.append(v)
                 features.append(f)
-                order.append(xxhash.xxh3_64_intdigest(f"{span} {text[span[1]:span[2]]} {len(text)}") >> 1)
+                order.append(xxhash.xxh3_64_intdigest(f"{span} {text[span[1]:span[2]]} {len(text)} {v} {f}") >> 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(kinds, pa.int32()), pa.array(votes, pa.list_(pa.int32())), pa.array(order, pa.int64()), pa.array(features, pa.list_(pa.string()))],
             ["kind", "votes", "place", "features"])
 
 
 def train(docs: DataFrame) -> tuple[np.ndarray, float]:
-    """Weights of the span classifier: votes of all candidates are counted, a bounded sample of spans is fitted."""
+    """Weights of the span classifier: votes of all candidates are counted, at most TRAINING_SPANS distinct ones of least hash are fitted.
+
+    The number of distinct candidates bounds the hash, so that about half as many again pass and reach the driver's sort.
+    """
     rows = map_rows(docs.select("text"), _vote_rows, "kind int, votes array<int>, place long, features array<string>")
-    counted = rows.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()  # kinds times vote patterns at most
+    counted = rows.groupBy("kind", "votes").agg(
+        F.count("*").alias("n"), F.approx_count_distinct("place").alias("distinct")).collect()  # kinds times vote patterns at most
     posterior = {}
     for kind in range(len(KINDS)):
         own = [r for r in counted if r["kind"] == kind]
         votes = np.array([r["votes"] for r in own]).reshape(len(own), 5)
         for r, p in zip(own, estimate(votes, np.array([r["n"] for r in own], float))[0]):
             posterior[kind, tuple(r["votes"])] = p
-    sample = rows.orderBy("place", "kind").limit(TRAINING_SPANS).collect()
+    bound = min(2**63 - 1, 3 * TRAINING_SPANS * 2**62 // max(1, sum(r["distinct"] for r in counted)))
+    drawn = rows.filter(F.col("place") <= bound).dropDuplicates(["place"])  # copies of a span are alike in all columns
+    sample = drawn.orderBy("place").limit(TRAINING_SPANS).collect()
     fitted = [([slot(f, SLOTS) for f in r["features"]], [1.0] * len(r["features"])) for r in sample]
     target = np.array([posterior[r["kind"], tuple(r["votes"])] for r in sample])
     return fit_linear(fitted, target, SLOTS)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskpanel.llm.common import shared_folder, table, written
+from riskpanel.llm.common import shared_folder, table, unused, written
 
 #: A shard's limit in bytes of text.
 LIMIT = 32 << 20
@@ -20,12 +20,12 @@ OWN_BITS = 31
 STEP = 8
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, bytes and the hash of every row; the number of a row is fixed once this is written."""
+def keyed(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, bytes, the hash of every row and the carried columns; the number of a row is fixed once this is written."""
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
     row = F.conv(F.substring(F.md5(F.monotonically_increasing_id().cast("string")), 1, ROW_BITS // 4), 16, 10).cast("long")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes"),
-                       F.shiftleft(key, ROW_BITS).bitwiseOR(row).alias("hash"))
+                       F.shiftleft(key, ROW_BITS).bitwiseOR(row).alias("hash"), *carried)
 
 
 def prefix(depth):
@@ -46,41 +46,48 @@ def leaves(rows: DataFrame, base: int, depth: int, limit: int) -> DataFrame:
     return fine.select("fine").join(best, "fine", "left").select("fine", "leaf.level", "leaf.shard_bytes")
 
 
-def assign_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, bytes, shard (the hash prefix as bits), depth, shard_bytes for every row.
+def assign_shards(docs: DataFrame, limit: int = LIMIT, *carried: str) -> DataFrame:
+    """doc_id, bytes, shard (the hash prefix as bits), depth, shard_bytes and the carried columns for every row.
 
     Rows with one key share a shard unless they alone exceed the limit; then the bits of their row numbers split them. A
-    row over the limit is a shard of its own, and so is each row of a bucket that is too large with all hash bits used. Null texts have no bytes; null ids share the key of the empty string;
-    repeated rows each count; an empty table has no shard. Other columns are not read, so none can clash.
+    row over the limit is a shard of its own, and so is each row of a bucket that is too large with all hash
+    bits used. Null texts have no bytes; null ids share the key of the empty string; repeated rows each count; an empty table
+    has no shard. Other columns are not read, so none can clash; carried ones need names of their own.
     """
     folder = shared_folder(docs.sparkSession)
-    rows = written(keyed(docs), folder, "rows")
+    rows = written(keyed(docs, *carried), folder, "rows")
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     base, depth, parts = 0, min(BITS, max(1, -(-total // limit)).bit_length() + 3), []
     while True:
         found = written(leaves(rows, base, depth, limit), folder, f"leaves-{depth}")
         parts.append(rows.join(found.withColumnRenamed("fine", "own"), prefix(depth) == F.col("own")).filter("level is not null").select(
-            "doc_id", "bytes", "hash", F.col("level").alias("depth"), "shard_bytes", F.lit(0).alias("own")))
+            "doc_id", "bytes", "hash", F.col("level").alias("depth"), "shard_bytes", F.lit(0).alias("own"), *carried))
         left = found.filter("level is null").select("fine")
         if left.isEmpty():
             break
         if depth == BITS:
             number = F.row_number().over(Window.partitionBy("hash").orderBy("doc_id", "bytes"))
             parts.append(rows.join(left, F.col("hash") == F.col("fine"), "left_semi").select(
-                "doc_id", "bytes", "hash", F.lit(BITS + OWN_BITS).alias("depth"), F.col("bytes").alias("shard_bytes"), number.alias("own")))
+                "doc_id", "bytes", "hash", F.lit(BITS + OWN_BITS).alias("depth"), F.col("bytes").alias("shard_bytes"), number.alias("own"), *carried))
             break
         rows = written(rows.join(left, prefix(depth) == F.col("fine"), "left_semi"), folder, f"rows-{depth}")
         base, depth = depth + 1, min(BITS, depth + STEP)
     out = reduce(DataFrame.unionByName, parts)
     alone = F.concat(F.lpad(F.conv("hash", 10, 2), BITS, "0"), F.lpad(F.conv("own", 10, 2), OWN_BITS, "0"))
     bits = F.when(F.col("depth") == 0, "").when(F.col("depth") > BITS, alone).otherwise(F.expr(f"substring(lpad(conv(shiftright(hash, {BITS} - depth), 10, 2), depth, '0'), 1, depth)"))
-    return out.select("doc_id", "bytes", bits.alias("shard"), "depth", "shard_bytes")
+    return out.select("doc_id", "bytes", bits.alias("shard"), "depth", "shard_bytes", *carried)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
-    """The rows of `docs`, with unique doc_id, in one folder a shard."""
-    shards = assign_shards(docs, limit).select("doc_id", "shard")
-    docs.join(shards, "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """All rows of `docs` with their columns, in one folder a shard, named `shard=b` and its bits.
+
+    Rows are told apart by a number of their own, so null and repeated ids each keep their rows. If a column is called
+    shard, the folders' name gets an underscore. An empty table writes no shard.
+    """
+    number, shard = unused(docs, "row_number"), unused(docs, "shard")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), shared_folder(docs.sparkSession), "numbered")
+    shards = assign_shards(rows, limit, number).select(number, F.concat(F.lit("b"), F.col("shard")).alias(shard))
+    rows.join(shards, number).drop(number).repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,3 +253,45 @@ def test_rows_of_one_hash_are_shards_of_their_own(make, monkeypatch):
         assert len(r.shard) == r.depth
     assert all(sum(held[r.shard]) == r.shard_bytes <= 150 for r in rows) and len(held) >= 40
     assert not any(a != b and b.startswith(a) for a in held for b in held)
+
+
+def test_written_shards_keep_all_rows(spark, make, tmp_path):
+    rows = [(i, "x" * (i % 50)) for i in range(200)] + [(7, "y" * 40)] * 30 + [(None, None), (None, "q"), (500, "z" * 900)]
+    sharding.write_shards(make(rows), str(tmp_path / "shards"), 600)  # has a column `shard`
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((key(r["doc_id"]), r["text"] or "", r["shard"]) for r in back.collect()) == sorted((key(i), t or "", "x") for i, t in rows)
+    sizes = {}
+    for r in back.collect():
+        sizes.setdefault(r["shard_"], []).append(len(r["text"] or ""))
+    assert len(sizes) > 5 and all(sum(v) <= 600 or len(v) == 1 for v in sizes.values())
+    empty = str(tmp_path / "none")
+    sharding.write_shards(make([]), empty, 600)
+    assert spark.read.schema(make([]).schema).parquet(empty).count() == 0
+
+
+def test_near_duplicates_refuse_lower_thresholds(make):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(make([]), 74)
+
+
+def test_recall_near_the_threshold(make):
+    """Pairs between 75 and 80 percent, one pair a group."""
+    rnd, rows = random.Random(12), []
+    while len(rows) < 400:
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(100, 300))]
+        other = list(words)
+        for at in rnd.sample(range(len(other)), max(1, int(len(other) * 0.028))):
+            other[at] = f"m{rnd.randrange(10**6)}"
+        a, b = ({tuple(w[p:p + 5]) for p in range(len(w) - 4)} for w in (words, other))
+        if 75 <= 100 * len(a & b) / len(a | b) <= 80:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    found = neardup.near_duplicates(make(rows)).filter("not kept").count()
+    assert found >= 0.99 * len(rows) / 2
+
+
+def test_without_any_clash(make):
+    from riskpanel.llm.common import without
+    docs = make([(1, "a"), (None, "b"), (3, None)]).withColumnRenamed("words", "gone_id").withColumnRenamed("node", "gone_key_").withColumnRenamed("ids", "GONE_KEY")
+    gone = docs.filter("doc_id is null").selectExpr("doc_id", "xxhash64(text) as text_key")
+    left = without(docs, gone)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3]

@@ -184,3 +184,61 @@ def test_training_order(spark, make, odd, library):
             assert [x for _, p in sorted(parts.get(i, [])) for x in p] == library.encode_ordinary(t or "")
     assert len(parts[4]) == 2 * -(-len(library.encode_ordinary(sentence(1, 30))) // 16)
     assert ordering.training_order(make([]), RANKS, PATTERN, path + "-none").count() == 0
+
+
+def test_ascii_form_of_a_pattern():
+    import regex
+    find, plain = regex.compile(PATTERN).findall, bpe.ascii_form(PATTERN).findall
+    rnd = random.Random(3)
+    signs = [c for c in map(chr, range(128)) if not "\x1c" <= c <= "\x1f"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(signs if rnd.random() < 0.3 else "  \n\tab're'll'S1.,") for _ in range(rnd.randrange(40)))
+        assert plain(text) == find(text)
+    assert bpe.ascii_form(r"\p{Lu}+|\s+") is None and bpe.ascii_form(r"\w+") is None
+
+
+def test_ascii_texts_equal_the_library(library):
+    codec, rnd = bpe.Codec(bpe.load_ranks(RANKS), PATTERN), random.Random(4)
+    for _ in range(500):
+        text = "".join(chr(rnd.randrange(128)) if rnd.random() < 0.4 else rnd.choice("  \r\n\x1c\x1d\x1e\x1f\x0b'dlvre") for _ in range(rnd.randrange(60)))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
+def test_two_tokenizers_in_one_session(spark, make, tmp_path):
+    bytes_only = tmp_path / "bytes.tiktoken"
+    import base64
+    bytes_only.write_text("".join(f"{base64.b64encode(bytes([255 - b])).decode()} {b}\n" for b in range(256)))
+    docs = make([(1, "abc")])
+    for _ in range(3):
+        one = bpe.encode(docs, str(bytes_only), PATTERN).first()["ids"]
+        two = bpe.encode(docs, RANKS, PATTERN).first()["ids"]
+        assert np.frombuffer(one, "<u4").tolist() == [255 - b for b in b"abc"] and np.frombuffer(two, "<u4").tolist() != np.frombuffer(one, "<u4").tolist()
+    assert bpe.share_codec(spark, str(bytes_only), PATTERN).key != bpe.share_codec(spark, str(bytes_only), PATTERN, "H").key
+
+
+def test_ids_beyond_16_bits_raise():
+    codec = bpe.Codec({**{bytes([b]): b for b in range(256)}, b"ab": 70_000}, PATTERN, "H")
+    assert codec.encode("a b") == np.array([97, 32, 98], "<u2").tobytes()
+    with pytest.raises(ValueError):
+        codec.encode("ab")
+
+
+def test_long_spelt_address():
+    name = "n" * 200
+    text = f"ask {name}[at]host.example.com or b (at) c.org"
+    assert pii.more_spans(text, [])[0] == (0, 4, 4 + 200 + 4 + len("host.example.com"))
+    assert len(pii.more_spans("x[at]" * 20_000, [])) == 0
+
+
+def test_span_sample_is_bounded(make, monkeypatch):
+    monkeypatch.setattr(pii, "TRAINING_SPANS", 20)
+    seen = []
+    monkeypatch.setattr(pii, "fit_linear", lambda rows, target, size: seen.append(len(rows)) or (np.zeros(size), 0.0))
+    rows = [(i, f"mail user{i}@host{i % 7}.com now") for i in range(400)] + [(1000 + i, "mail same@host.com now") for i in range(400)]
+    pii.train(make(rows))
+    assert seen == [20]
+
+
+def test_signs_that_are_no_letters():
+    known = langid.Languages({"en": (b"the river was calm", 3), "de": (b"der fluss war still", 2)})
+    assert known.predict("12 \u00bd \u00b2 \u2460")[0] == "und" and known.predict("12 \u00bd river")[0] != "und"
