@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from riskpanel.llm.common import map_rows, partitions, shared_folder, table, tex
 LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 #: Entries and text bytes that a task gathers before it sends them on.
-HELD_ENTRIES = 200_000
+HELD_ENTRIES = 600_000
 HELD_BYTES = 64 << 20
 #: Sources of a language that one group of a term holds; more are dealt into buckets, and groups hold two of these.
 BUCKET = 256
@@ -82,10 +84,10 @@ def weighted(counts: DataFrame, least: int, folder: str) -> tuple[DataFrame, Dat
     """(cells, groups): the kept terms that groups have with their probabilities p there and q in the language, and every
     group with its language's vocabulary size and the probability `zero` of a kept term that it lacks."""
     named = counts.filter("term is not null")
-    kept = named.groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("n").alias("lang_n")).filter(F.col("documents") >= least)
-    cells = written(named.select("lang", "source", "term", "n").join(kept.select("lang", "term", "lang_n"), ["lang", "term"]), folder, "cells")
-    langs = cells.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n")).groupBy("lang").agg(
-        F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    same = Window.partitionBy("lang", "term")
+    kept = named.withColumns({"lang_n": F.sum("n").over(same), "held_by": F.sum("documents").over(same), "place": F.row_number().over(same.orderBy("source"))})
+    cells = written(kept.filter(F.col("held_by") >= least).select("lang", "source", "term", "n", "lang_n", (F.col("place") == 1).cast("long").alias("first")), folder, "cells")
+    langs = cells.groupBy("lang").agg(F.sum("first").alias("terms"), F.sum("n").alias("lang_total"))
     sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = counts.filter("term is null").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
     groups = groups.fillna(0, ["total", "terms", "lang_total"])
@@ -107,27 +109,32 @@ def _floor(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """By (lang, i, j), for each pair of sources, what their common terms change against the sums that take one of the two
-    at its `zero`. Rows come sorted by (lang, i, j, term); sums of a key are held as one matrix."""
-    key, names, sums = None, {}, None
-
-    def result() -> Iterator[pa.RecordBatch]:
-        if names:
-            a, b = np.nonzero(sums[:len(names), :len(names)])
-            known = list(names)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([key[0]] * len(a), pa.string()), pa.array([known[x] for x in a], pa.string()), pa.array([known[x] for x in b], pa.string()),
-                 pa.array(sums[a, b])], ["lang", "source", "other", "value"])
-
-    def add(sources: list[str], side: np.ndarray, p: np.ndarray, zero: np.ndarray, starts: np.ndarray) -> None:
-        nonlocal sums
-        code = np.array([names.setdefault(s, len(names)) for s in sources], np.int64)
-        if sums is None or len(names) > len(sums):
-            grown = np.zeros((2 * len(names) + 16,) * 2, np.int64)
-            if sums is not None:
-                grown[:len(sums), :len(sums)] = sums
-            sums = grown
+def _changed(rows: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
+    """Whether each row differs from the one before it in any of the columns; the first does."""
+    out = np.zeros(rows.num_rows, bool)
+    out[:1] = True
+    for name in columns:
+        column = rows.column(name).combine_chunks()
+        out[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
+class _Sums:
+    """Pair sums of one (lang, i, j) as a matrix over the sources seen so far."""
+
+    def __init__(self, key: tuple):
+        self.key, self.names, self.values = key, {}, np.zeros((0, 0), np.int64)
+
+    def add(self, rows: pa.Table, starts: np.ndarray) -> None:
+        """What the common terms of each pair change against the sums that take one of the two at its `zero`."""
+        source = rows.column("source").combine_chunks().dictionary_encode()
+        code = np.array([self.names.setdefault(s, len(self.names)) for s in source.dictionary.to_pylist()], np.int64)[source.indices.to_numpy()]
+        if len(self.names) > len(self.values):
+            grown = np.zeros((2 * len(self.names),) * 2, np.int64)
+            grown[:len(self.values), :len(self.values)] = self.values
+            self.values = grown
+        side, p, zero = (rows.column(c).to_numpy() for c in ("side", "p", "zero"))
+        flat, width = self.values.reshape(-1), len(self.values)
         lengths = np.diff(np.r_[starts, len(p)])
         for size in np.unique(lengths[lengths > 1]):
             here = starts[lengths == size]
@@ -135,47 +142,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = here[cut:cut + step, None] + np.arange(size)
                 x, y, zx, zy = p[at][:, :, None], p[at][:, None, :], zero[at][:, :, None], zero[at][:, None, :]
                 value = _floor(x, y) - _floor(x, zy) - _floor(zx, y) + _floor(zx, zy)
-                if key[1] != key[2]:
+                if self.key[1] != self.key[2]:
                     value[side[at][:, :, None] == side[at][:, None, :]] = 0
-                a, b = np.broadcast_arrays(code[at][:, :, None], code[at][:, None, :])
-                np.add.at(sums, (a, b), value)
+                np.add.at(flat, (code[at][:, :, None] * width + code[at][:, None, :]).ravel(), value.ravel())
 
-    columns = ("source", "side", "p", "zero", "term")
-    rest: list[list] = []
+    def result(self) -> pa.RecordBatch:
+        a, b = np.nonzero(self.values)
+        names = pa.array(list(self.names), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([self.key[0]] * len(a), pa.string()), names.take(pa.array(a)), names.take(pa.array(b)), pa.array(self.values[a, b])],
+                                          ["lang", "source", "other", "value"])
 
-    def whole(rows: list[list]) -> None:
-        source, side, p, zero, term = rows
-        starts = np.flatnonzero([k == 0 or term[k] != term[k - 1] for k in range(len(term))])
-        add(source, np.array(side), np.array(p, np.int64), np.array(zero, np.int64), starts)
 
-    for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("lang", "i", "j"))))
-        values = [batch.column(c).to_pylist() for c in columns]
-        begin = 0
-        while begin < len(keys):
-            end = begin + 1
-            if keys[begin] == keys[-1]:
-                end = len(keys)
-            else:
-                while keys[end] == keys[begin]:
-                    end += 1
-            if keys[begin] != key:
-                if rest:
-                    whole(rest)
-                yield from result()
-                key, names, sums, rest = keys[begin], {}, None, []
-            now = [(old or []) + new[begin:end] for old, new in zip(rest or [None] * 5, values)]
-            # the last term may go on in the next batch
-            last, term = len(now[4]) - 1, now[4]
-            while last > 0 and term[last - 1] == term[-1]:
-                last -= 1
-            if last:
-                whole([c[:last] for c in now])
-            rest = [c[last:] for c in now]
-            begin = end
-    if rest:
-        whole(rest)
-    yield from result()
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair sums over common terms by (lang, i, j), from rows that come sorted by (lang, i, j, term)."""
+    group = ("lang", "i", "j")
+    held, rest = None, None
+    for batch in chain((b for b in batches if b.num_rows), (None,)):
+        rows = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if rows is None:
+            return
+        starts = np.flatnonzero(_changed(rows, (*group, "term")))
+        if batch is not None:  # the last term may go on in the next batch
+            rest, rows, starts = rows.slice(starts[-1]), rows.slice(0, starts[-1]), starts[:-1]
+        cuts = np.flatnonzero(_changed(rows, group))
+        for a, b in zip(cuts, np.r_[cuts[1:], rows.num_rows]):
+            key = tuple(rows.column(c)[int(a)].as_py() for c in group)
+            if held is None or held.key != key:
+                if held is not None:
+                    yield held.result()
+                held = _Sums(key)
+            held.add(rows.slice(a, b - a), starts[(starts >= a) & (starts < b)] - a)
+    if held is not None:
+        yield held.result()
 
 
 def source_pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
