@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +20,7 @@ from riskpanel.llm.common import Memo, map_rows, table, text_rows, texts
 LEAF_BYTES = 64
 LEAF_CHARS = 1 << 15
 DECODE_LEAF = 1 << 16
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -26,15 +29,41 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+#: What classes of a pattern are among the characters below 0x80 (fixed values).
+ASCII_CLASSES = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9", r"\s": r"\t-\r "}
+
+
+def ascii_form(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of ASCII characters alone, where the standard library finds the same matches sooner; None if
+    it has a class that ASCII_CLASSES lacks."""
+    def put(found: re.Match) -> str:
+        part = found.group()
+        if part == r"\S":
+            return f"[^{ASCII_CLASSES[chr(92) + 's']}]"
+        inside = part.startswith("[")
+        for name, characters in ASCII_CLASSES.items():
+            part = part.replace(name, characters if inside else f"[{characters}]")
+        return part
+
+    plain = re.sub(r"\[[^\]]*\]|\\p\{[LN]\}|\\[sS]", put, pattern)
+    if re.search(r"\\[a-qu-zA-Z]|&&|\[\[", plain):
+        return None
+    try:
+        return re.compile(plain)
+    except re.error:
+        return None
+
+
 class Codec:
-    """Encoder and decoder for one table of ranks and one pattern."""
+    """Encoder and decoder for one table of ranks and one pattern. Ids are unsigned, of 32 bits, or 16 with the width H."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, width: str = "I"):
+        self.ranks, self.width = ranks, width
         self.bytes_of = {i: b for b, i in ranks.items()}
         # \s of the regex library also differs between versions in the control separators; the Unicode property does not
         spaced = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
-        self.find = regex.compile(spaced, regex.V0).findall
+        self.find_any = regex.compile(spaced, regex.V0).findall
+        self.find_ascii = found.findall if (found := ascii_form(pattern)) else self.find_any
         self.known = Memo(self.pack, size=KNOWN_PIECES)
         self.merge = tiktoken.Encoding("leaves", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
@@ -42,7 +71,10 @@ class Codec:
 
     def pack(self, piece: str) -> bytes:
         ids = self.encode_piece(piece.encode())
-        return struct.pack(f"<{len(ids)}I", *ids)
+        try:
+            return array(self.width, ids).tobytes()  # little-endian, as on all machines that Arrow runs on
+        except OverflowError:
+            raise ValueError(f"id {max(ids)} does not fit the codec's width") from None
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of the joined bytes from the ids of both sides.
@@ -66,9 +98,8 @@ class Codec:
 
         A token's own bytes are one id, as in the library.
         """
-        if data in self.ranks:
-            return [self.ranks[data]]
-        return self.encode_half(data)
+        whole = self.ranks.get(data)
+        return self.encode_half(data) if whole is None else [whole]
 
     def encode_half(self, data: bytes) -> list[int]:
         if len(data) <= LEAF_BYTES:
@@ -78,6 +109,10 @@ class Codec:
 
     # a text
 
+    def find(self, text: str) -> list[str]:
+        """Matches of the pattern."""
+        return self.find_ascii(text) if text.isascii() else self.find_any(text)
+
     def join_pieces(self, left: list[str], right: list[str]) -> list[str]:
         """Matches of the pattern over the joined text from the matches over both sides.
 
@@ -103,11 +138,11 @@ class Codec:
         return self.join_pieces(self.pieces(text[:half]), self.pieces(text[half:]))
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as little-endian unsigned integers of the codec's width."""
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
     def decode(self, packed: bytes) -> bytes:
-        """Bytes of packed ids: concatenation is the whole of it, so halves are decoded and joined up the tree."""
+        """Bytes of packed 32-bit ids: concatenation is the whole of it, so halves are decoded and joined up the tree."""
         n = len(packed) // 4
         if n <= DECODE_LEAF:
             return b"".join(map(self.bytes_of.__getitem__, struct.unpack(f"<{n}I", packed)))
@@ -115,32 +150,29 @@ class Codec:
         return self.decode(packed[:half]) + self.decode(packed[half:])
 
 
-_CODECS: dict[int, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    """One codec per worker process and broadcast."""
-    if shared.id not in _CODECS:
-        _CODECS.clear()
-        _CODECS[shared.id] = Codec(*shared.value)
-    return _CODECS[shared.id]
+_CODECS: dict[str, Codec] = {}
 
 
 class _Shared:
-    """A broadcast together with its id, which the plain object does not carry to the workers."""
+    """What a codec is made of, as a broadcast, and a digest of it by which workers keep the codec they have built."""
 
-    def __init__(self, spark: SparkSession, value):
+    def __init__(self, spark: SparkSession, ranks_path: str, pattern: str, width: str):
+        value = load_ranks(ranks_path), pattern, width
+        self.key = hashlib.md5(repr(value).encode(), usedforsecurity=False).hexdigest()
         self.broadcast = spark.sparkContext.broadcast(value)
-        self.id = id(self.broadcast)
 
-    @property
-    def value(self):
-        return self.broadcast.value
+
+def _codec(shared: _Shared) -> Codec:
+    """One codec per worker process, kept while the ranks, the pattern and the width are the same."""
+    if shared.key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[shared.key] = Codec(*shared.broadcast.value)
+    return _CODECS[shared.key]
 
 
-def share_codec(spark: SparkSession, ranks_path: str, pattern: str) -> _Shared:
+def share_codec(spark: SparkSession, ranks_path: str, pattern: str, width: str = "I") -> _Shared:
     """Ranks go out once; a vocabulary's size does not depend on the data."""
-    return _Shared(spark, (load_ranks(ranks_path), pattern))
+    return _Shared(spark, ranks_path, pattern, width)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -45,18 +45,17 @@ def permuted(index: np.ndarray, size: int, seed: int = SEED) -> np.ndarray:
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, stride: int) -> DataFrame:
     """doc_id, ids (little-endian unsigned 16-bit), n_tokens, and where the sequences of the row begin in its task."""
-    shared = share_codec(docs.sparkSession, ranks_path, pattern)
+    shared = share_codec(docs.sparkSession, ranks_path, pattern, "H")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, part, at = _codec(shared), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, counts, first = [], [], []
             for text in texts(batch):
-                values = np.frombuffer(codec.encode(text), "<u4")
-                ids.append(values.astype("<u2").tobytes())
-                counts.append(len(values))
+                ids.append(codec.encode(text))
+                counts.append(len(ids[-1]) // 2)
                 first.append(at)
-                at += -(-len(values) // stride)
+                at += -(-counts[-1] // stride)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(first, pa.int64()), pa.array([part] * len(ids), pa.int64())],
                 ["doc_id", "ids", "n_tokens", "first", "part"])
@@ -71,7 +70,7 @@ def training_order(docs: DataFrame, ranks_path: str, pattern: str, path: str, st
     Columns: shard, slot, doc_id, seq_no, n_tokens, tokens (stride 16-bit ids, padded). Each shard is one file that
     holds the slots from shard * shard_sequences on, in order, one record of fixed size a slot, so reading goes on at any
     slot. The permutation depends on the seed and the number of sequences only. Null and empty texts have no
-    sequence; repeated rows have sequences of their own; an empty table writes no shard. Ids must fit 16 bits. A
+    sequence; repeated rows have sequences of their own; an empty table writes no shard. An id beyond 16 bits raises. A
     very long text is many sequences; other columns are not read.
     """
     spark = docs.sparkSession
