@@ -5,18 +5,21 @@ A graph is an edge table (idx, src, dst); `idx` names the graph, so every functi
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.functions.scalar import half_up
 from riskpanel.operators.blocks import pair_blocks
-from riskpanel.session import cut_lineage
+from riskpanel.operators.krylov import dominant_vectors, resolvents
+from riskpanel.session import cut_lineage, passing_tables
 
 EDGE = "idx long, src string, dst string"
+#: Source nodes of a graph whose shortest paths are followed at a time.
+BATCH = 256
 
 
 def _regression(y, o, i):
@@ -116,8 +119,9 @@ def complete(values: DataFrame, nodes: DataFrame, cols: list[str]) -> DataFrame:
     return rows.select("idx", "entity", *[F.when(F.col("_found"), F.col(c)).otherwise(0).alias(c) for c in cols])
 
 
-def shortest_paths(edges: DataFrame) -> DataFrame:
-    """(idx, src, node, depth, paths): hop distance and number of shortest paths, by frontier joins.
+def shortest_paths(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(idx, src, node, depth, paths): hop distance and number of shortest paths, by frontier joins, from all nodes or from
+    the (idx, src) of `sources`.
 
     Each level is written to the checkpoint folder, so the plan stays flat and a lost executor re-reads it.
     """
@@ -125,6 +129,8 @@ def shortest_paths(edges: DataFrame) -> DataFrame:
         "idx", F.col("src").alias("node"), F.col("dst").alias("next")))
     frontier = step.select("idx", F.col("node").alias("src"), F.col("next").alias("node"), F.lit(1).alias("depth"),
                            F.lit(1.0).alias("paths"))
+    if sources is not None:
+        frontier = frontier.join(sources, ["idx", "src"], "left_semi")
     seen = frontier
     depth = 1
     while not frontier.isEmpty():
@@ -163,96 +169,99 @@ def betweenness(edges: DataFrame, paths: DataFrame, n: int) -> DataFrame:
         (F.sum("gain") * 2.0 / ((n - 1) * (n - 2))).alias("betweenness"))
 
 
-def _per_graph(edges: DataFrame, work, schema: str) -> DataFrame:
-    """Run `work(names, src, dst, rows)` on the edges of one graph at a time; memory follows the edges, not nodes squared."""
-    def task(key, pdf):
-        names, ends = np.unique(np.concatenate([pdf["src"], pdf["dst"]]).astype(str), return_inverse=True)
-        out = work(names, ends[:len(pdf)], ends[len(pdf):], pdf)
-        return pd.DataFrame({"idx": key[0], **out})
+def _in_batches(edges: DataFrame, value: str, batch: int, work) -> DataFrame:
+    """(idx, entity, value): sums of `work(edges, paths)` over batches of about `batch` source nodes a graph.
 
-    return edges.groupBy("idx").applyInPandas(task, f"idx long, {schema}")
+    Only the sums of a batch outlast it: its frontiers and path counts are removed before the next one starts.
+    """
+    spark = edges.sparkSession
+    edges = cut_lineage(edges.filter("src <> dst").select("idx", "src", "dst").distinct(), keep=True)
+    sources = edges.select("idx", "src").distinct()
+    most = sources.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    batches, parts = max(1, -(-most // batch)), []
+    for k in range(batches):
+        with passing_tables(spark):
+            own = sources.filter(F.pmod(F.xxhash64("src"), F.lit(batches)) == k)
+            parts.append(cut_lineage(work(edges, shortest_paths(edges, own)), keep=True))
+    return reduce(DataFrame.unionByName, parts).groupBy("idx", "entity").agg(F.sum(value).alias(value))
 
 
-def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-8, rounds: int = 20_000) -> DataFrame:
-    """Dominant eigenvector of each graph, summing to 1, by power iteration on A + I.
+def batched_closeness(edges: DataFrame, n: int, batch: int = BATCH) -> DataFrame:
+    """`closeness`, with the paths of about `batch` sources of each graph at a time."""
+    return _in_batches(edges, "closeness", batch, lambda _, paths: closeness(paths, n))
 
-    The shift keeps two-sided graphs from swinging. A graph whose vector still moves by `tolerance` after `rounds` steps
-    gets null instead of the last step. Nodes without edges have no row.
-    """
-    def work(names, src, dst, _):
-        x = np.full(len(names), 1.0 / len(names))
-        for _round in range(rounds):
-            y = x + np.bincount(src, x[dst], len(names))
-            y /= y.sum()
-            moved, x = np.abs(y - x).max(), y
-            if moved < tolerance:
-                break
-        return {"entity": names, "eigenvector": x if moved < tolerance else np.full(len(names), np.nan)}
 
-    out = _per_graph(edges.select("idx", "src", "dst").distinct(), work, "entity string, eigenvector double")
-    return out.withColumn("eigenvector", F.when(~F.isnan("eigenvector"), F.col("eigenvector")))
+def batched_betweenness(edges: DataFrame, n: int, batch: int = BATCH) -> DataFrame:
+    """`betweenness`, with the paths of about `batch` sources of each graph at a time: rows in flight are batch x nodes."""
+    return _in_batches(edges, "betweenness", batch, lambda e, paths: betweenness(e, paths, n))
 
 
-def katz_centrality(edges: DataFrame, nodes: DataFrame, alpha: float = 0.1, tolerance: float = 1e-13) -> DataFrame:
+def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-10, cycles: int = 40) -> DataFrame:
+    """Dominant eigenvector of each graph, summing to 1, by products of edges and vectors as joins.
+
+    A graph without cycles has what power iteration on A + I tends to. Null where the residual stays above `tolerance`.
+    Nodes without edges have no row.
+    """
+    return dominant_vectors(edges, tolerance, cycles).select("idx", F.col("node").alias("entity"), F.col("value").alias("eigenvector"))
+
+
+def katz_centrality(edges: DataFrame, nodes: DataFrame, alpha: float = 0.1, tolerance: float = 1e-12) -> DataFrame:
     """(I - alpha A)^-1 1 scaled to unit length, one row for every (idx, entity) of `nodes`.
 
-    Conjugate gradients on the normal equations of each graph; a graph that misses `tolerance` gets null. A node without
-    edges solves to one before scaling.
+    A node without edges solves to one before scaling. A graph whose residual stays above `tolerance` gets null.
+    """
+    found = resolvents(edges, alpha, tolerance).withColumnRenamed("node", "entity")
+    rows = nodes.select("idx", "entity").join(found.withColumn("linked", F.lit(True)), ["idx", "entity"], "left")
+    rows = cut_lineage(rows.withColumn("value", F.when(F.col("linked"), F.col("value")).otherwise(1.0)).drop("linked"))
+    scale = rows.groupBy("idx").agg((F.signum(F.sum("value")) * F.sqrt(F.sum(F.col("value") * F.col("value")))).alias("scale"),
+                                    F.bool_or(F.col("value").isNull()).alias("open"))
+    return rows.join(scale, "idx").select("idx", "entity", F.when(~F.col("open"), F.col("value") / F.col("scale")).alias("katz"))
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(idx, entity, links, two_way): for each node the edges between its out-neighbours, and those that run both ways.
+
+    Each pair of linked nodes is one row that points to the node with more neighbours, so that at most a root of all
+    pairs leaves any node; two such rows of a node meet the row that closes them. A triangle then counts for its three nodes.
     """
-    sizes = nodes.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
-
-    def work(names, src, dst, rows):
-        k = len(names)
-        forward = lambda v: v - alpha * np.bincount(src, v[dst], k)
-        back = lambda v: v - alpha * np.bincount(dst, v[src], k)
-        x, r = np.zeros(k), np.ones(k)
-        z = p = back(r)
-        start = size = z @ z
-        for _round in range(20 * k + 100):
-            if size <= tolerance * tolerance * start:
-                break
-            w = forward(p)
-            step = size / (w @ w)
-            x, r = x + step * p, r - step * w
-            z = back(r)
-            size, old = z @ z, size
-            p = z + size / old * p
-        alone = rows["n"].iloc[0] - k
-        scale = np.sign(x.sum() + alone) * np.sqrt(x @ x + alone)
-        if size > tolerance * tolerance * start:
-            x = np.full(k, np.nan)
-        return {"entity": [*names, None], "katz": np.append(x, 1.0) / scale}
-
-    found = _per_graph(edges.select("idx", "src", "dst").distinct().join(sizes, "idx"), work, "entity string, katz double")
-    found = found.withColumn("katz", F.when(~F.isnan("katz"), F.col("katz")))
-    unit = found.filter("entity is null").select("idx", F.col("katz").alias("unit"))
-    linked = found.filter("entity is not null").select("idx", "entity", "katz", F.lit(True).alias("linked"))
-    rows = nodes.select("idx", "entity").join(sizes, "idx").join(unit, "idx", "left").join(linked, ["idx", "entity"], "left")
-    alone = F.coalesce(F.col("unit"), 1.0 / F.sqrt("n"))
-    return rows.select("idx", "entity", F.when(F.col("linked"), F.col("katz")).otherwise(alone).alias("katz"))
+    ends = {"a": F.least("src", "dst"), "b": F.greatest("src", "dst"), "up": (F.col("src") < F.col("dst")).cast("int")}
+    linked = edges.filter("src <> dst").withColumns(ends).groupBy("idx", "a", "b").agg(F.max("up").alias("ab"), F.max(1 - F.col("up")).alias("ba"))
+    linked = cut_lineage(linked)
+    degree = linked.select("idx", F.explode(F.array("a", "b")).alias("node")).groupBy("idx", "node").agg(F.count("*").alias("degree"))
+    of = {c: degree.select("idx", F.col("node").alias(c), F.struct("degree", "node").alias(f"rank_{c}")) for c in ("a", "b")}
+    ranked = linked.join(of["a"], ["idx", "a"]).join(of["b"], ["idx", "b"])
+    turned = F.col("rank_a") > F.col("rank_b")
+
+    def pair(here: str, if_turned: str):
+        return F.when(turned, F.col(if_turned)).otherwise(F.col(here))
+
+    points = cut_lineage(ranked.select("idx", pair("rank_a", "rank_b").alias("lo"), pair("rank_b", "rank_a").alias("hi"),
+                                       pair("ab", "ba").alias("there"), pair("ba", "ab").alias("back")))
+    one = points.select("idx", F.col("lo").alias("x"), F.col("hi").alias("y"), F.col("there").alias("xy"), F.col("back").alias("yx"))
+    two = points.select("idx", F.col("lo").alias("x"), F.col("hi").alias("z"), F.col("there").alias("xz"), F.col("back").alias("zx"))
+    closing = points.select("idx", F.col("lo").alias("y"), F.col("hi").alias("z"), F.col("there").alias("yz"), F.col("back").alias("zy"))
+    found = one.join(two, ["idx", "x"]).filter("y < z").join(closing, ["idx", "y", "z"])
+
+    def seen(node: str, left: str, right: str, one_way: str, other_way: str):
+        both = F.col(left) * F.col(right)
+        return F.struct(F.col(f"{node}.node").alias("entity"), (both * (F.col(one_way) + F.col(other_way))).alias("links"),
+                        (both * 2 * F.col(one_way) * F.col(other_way)).alias("two_way"))
+
+    each = found.select("idx", F.inline(F.array(seen("x", "xy", "xz", "yz", "zy"), seen("y", "yx", "yz", "xz", "zx"), seen("z", "zx", "zy", "xy", "yx"))))
+    return each.groupBy("idx", "entity").agg(F.sum("links").alias("links"), F.sum("two_way").alias("two_way"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
     """Edges among a node's out-neighbours over deg (deg - 1), twice that when the whole graph is symmetric.
 
-    Neighbour lists are intersected along each edge, so no pair of neighbours is ever emitted as a row.
-    Edges in a symmetric neighbourhood count once per pair.
+    Where all edges among the out-neighbours run both ways, they count once per pair.
     """
-    e = edges.filter("src <> dst").distinct()
-    out = e.groupBy("idx", "src").agg(F.collect_set("dst").alias("out"))
-    inn = e.groupBy("idx", F.col("dst").alias("src")).agg(F.collect_set("src").alias("inn"))
-    lists = out.join(inn, ["idx", "src"], "left").withColumn(
-        "mutual", F.array_intersect("out", F.coalesce("inn", F.array().cast("array<string>"))))
-    near = lists.select("idx", F.col("src").alias("dst"), F.col("out").alias("out_j"), F.col("mutual").alias("mutual_j"))
-    tri = e.join(out, ["idx", "src"]).join(near, ["idx", "dst"]).groupBy("idx", "src").agg(
-        F.sum(F.size(F.array_intersect("out", "out_j"))).alias("links"),
-        F.sum(F.size(F.array_intersect("out", "mutual_j"))).alias("two_way"))
-    d = degrees(edges, n=2).select("idx", F.col("entity").alias("src"), "deg", "symmetric")
-    got = d.join(tri, ["idx", "src"], "left").withColumns({"links": F.coalesce("links", F.lit(0)), "two_way": F.coalesce("two_way", F.lit(0))})
+    edges = cut_lineage(edges.select("idx", "src", "dst"))
+    d = degrees(edges, n=2).select("idx", "entity", "deg", "symmetric")
+    got = d.join(triangles(edges), ["idx", "entity"], "left").fillna(0, ["links", "two_way"])
     links = F.when(F.col("links") == F.col("two_way"), F.col("links") / 2.0).otherwise(F.col("links").cast("double"))
     f = F.when(F.col("symmetric"), 2.0).otherwise(1.0)
-    return got.select("idx", F.col("src").alias("entity"), F.when(
-        F.col("deg") > 1, f * links / (F.col("deg") * (F.col("deg") - 1))).otherwise(0.0).alias("clustering"))
+    return got.select("idx", "entity", F.when(F.col("deg") > 1, f * links / (F.col("deg") * (F.col("deg") - 1))).otherwise(0.0).alias("clustering"))
 
 
 def average_adjacency(edges: DataFrame, windows: int, n: int) -> DataFrame:

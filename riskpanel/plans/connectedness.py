@@ -110,14 +110,22 @@ dist as (select idx, src, node, min(depth) as depth from hops group by 1, 2, 3),
 @query("connectedness_closeness", keys="entity", ints="idx", nums="closeness", sql=EDGES_SQL + _PATHS + """
 select_final select r.idx, r.entity, coalesce((n - 1.0)/sum(depth), 0) as closeness from rets r left join dist on r.idx = dist.idx and r.entity = src, nn group by r.idx, r.entity, n""")
 def _(m):
-    return N.complete(N.closeness(N.shortest_paths(edges(m)), count_entities(m)), nodes(m), ["closeness"])
+    return N.complete(N.batched_closeness(edges(m), count_entities(m)), nodes(m), ["closeness"])
 
 
-@query("connectedness_betweenness", keys="entity", ints="idx", nums="betweenness")
+_BETWEEN = """
+sig(idx, src, node, depth, paths) as (select idx, src, dst, 1, 1.0::double from edges
+  union all select s.idx, s.src, e.dst, s.depth + 1, sum(s.paths) from sig s join edges e on s.idx = e.idx and s.node = e.src
+  join dist d on d.idx = s.idx and d.src = s.src and d.node = e.dst and d.depth = s.depth + 1 group by s.idx, s.src, e.dst, s.depth),
+mid as (select a.idx, a.node as entity, sum(a.paths*b.paths/c.paths) as total from sig a join sig b on a.idx = b.idx and a.node = b.src and b.node <> a.src
+  join sig c on c.idx = a.idx and c.src = a.src and c.node = b.node and c.depth = a.depth + b.depth group by 1, 2)
+"""
+
+
+@query("connectedness_betweenness", keys="entity", ints="idx", nums="betweenness", sql=EDGES_SQL + _PATHS + _BETWEEN + """
+select_final select r.idx, r.entity, coalesce(total, 0)*2.0/((n - 1)*(n - 2)) as betweenness from rets r left join mid on r.idx = mid.idx and r.entity = mid.entity, nn""")
 def _(m):
-    from riskpanel.session import cut_lineage
-    e = cut_lineage(edges(m))
-    return N.complete(N.betweenness(e, N.shortest_paths(e), count_entities(m)), nodes(m), ["betweenness"])
+    return N.complete(N.batched_betweenness(edges(m), count_entities(m)), nodes(m), ["betweenness"])
 
 
 @query("connectedness_eigenvector", keys="entity", ints="idx", nums="eigenvector")

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,10 +48,24 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._riskpanel_folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """What `cut_lineage` writes inside is removed at the end, unless it is told to keep it."""
+    sc, path = spark.sparkContext, f"{shared_folder(spark)}/passing-{uuid.uuid4().hex}"
+    before, sc._riskpanel_passing = getattr(sc, "_riskpanel_passing", None), path
+    try:
+        yield
+    finally:
+        sc._riskpanel_passing = before
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read on from there: later steps read only the columns they use."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = None if keep else getattr(spark.sparkContext, "_riskpanel_passing", None)
+    path = f"{folder or shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,7 @@
 
 import inspect
 import math
+import random
 from statistics import NormalDist
 
 import numpy as np
@@ -194,6 +195,62 @@ def test_closeness_and_betweenness(graph):
         assert abs(got.get((v,), 0.0) - x * 2 / 12) < 1e-12
 
 
+def random_edges(rnd, nodes, count):
+    return sorted({(f"n{rnd.randrange(nodes)}", f"n{rnd.randrange(nodes)}") for _ in range(count)})
+
+
+def test_batches_of_sources_equal_all_sources(spark):
+    rnd = random.Random(9)
+    rows = [(g, a, b) for g in (1, 2, 3) for a, b in random_edges(rnd, 14, 30 * g)]
+    graph = spark.createDataFrame(rows, "idx long, src string, dst string")
+    paths = network.shortest_paths(graph)
+    for name, whole, batched in (("closeness", network.closeness(paths, 14), network.batched_closeness(graph, 14, 3)),
+                                 ("betweenness", network.betweenness(graph, paths, 14), network.batched_betweenness(graph, 14, 3))):
+        want, got = keyed(whole.collect(), name, "idx", "entity"), keyed(batched.collect(), name, "idx", "entity")
+        assert want.keys() == got.keys() and all(abs(want[k] - got[k]) < 1e-12 for k in want)
+    assert network.batched_betweenness(graph.limit(0), 14).count() == 0
+
+
+def test_triangles(spark):
+    rnd = random.Random(10)
+    rows = [(g, a, b) for g in (1, 2) for a, b in random_edges(rnd, 12, 70 * g)]
+    got = {(r["idx"], r["entity"]): (r["links"], r["two_way"]) for r in network.triangles(spark.createDataFrame(rows + rows[:5], network.EDGE)).collect()}
+    for g in (1, 2):
+        own = {(a, b) for i, a, b in rows if i == g and a != b}
+        for node in {x for e in own for x in e}:
+            out = [b for a, b in own if a == node]
+            among = [(j, k) for j in out for k in out if (j, k) in own]
+            assert got.get((g, node), (0, 0)) == (len(among), sum((k, j) in own for j, k in among))
+
+
+@pytest.mark.parametrize("local", [0, 200_000])
+def test_krylov_cycles(spark, monkeypatch, local):
+    """A dense graph, a ring, a path without a cycle, a cycle behind a long path, and an undirected star; joins and tasks."""
+    from riskpanel.operators import krylov
+    monkeypatch.setattr(krylov, "LOCAL_EDGES", local)
+    rnd = random.Random(11)
+    path = [(f"p{i:02d}", f"p{i + 1:02d}") for i in range(13)]
+    graphs = [random_edges(rnd, 40, 400), [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)], path, path + [("p13", "p12"), ("p05", "p01")],
+              [e for i in range(6) for e in (("hub", f"s{i}"), (f"s{i}", "hub"))]]
+    rows = [(g, a, b) for g, own in enumerate(graphs) for a, b in own]
+    edges = spark.createDataFrame(rows + rows[:9], network.EDGE)
+    vectors = {(r["idx"], r["node"]): r["value"] for r in krylov.dominant_vectors(edges).collect()}
+    solved = {(r["idx"], r["node"]): r["value"] for r in krylov.resolvents(edges, 0.1).collect()}
+    for g, own in enumerate(graphs):
+        names = sorted({x for e in own for x in e})
+        a = np.zeros((len(names), len(names)))
+        for x, y in own:
+            a[names.index(x), names.index(y)] = 1
+        power = a + np.eye(len(names))
+        for _ in range(0 if g == 2 else 40):
+            power = power @ power
+            power /= power.sum()
+        want = power.sum(1) if g != 2 else np.eye(len(names))[0]  # the only walk of full length starts at p00
+        assert np.allclose([vectors[g, n] for n in names], want, atol=1e-7), g
+        assert np.allclose([solved[g, n] for n in names], np.linalg.solve(np.eye(len(names)) - 0.1 * a, np.ones(len(names))), atol=1e-9), g
+    assert krylov.dominant_vectors(edges.limit(0)).count() == 0 and krylov.resolvents(edges.limit(0), 0.1).count() == 0
+
+
 def test_spectral_centralities(spark, graph):
     a = np.zeros((6, 6))
     for i, j in EDGES:
