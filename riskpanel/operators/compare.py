@@ -46,16 +46,46 @@ def _per_pair(pairs: DataFrame, fn, schema: str) -> DataFrame:
     return pairs.groupBy("left", "right").applyInPandas(task, f"left string, right string, {schema}")
 
 
-def distance_correlation(pairs: DataFrame, rows: int = 512) -> DataFrame:
-    """Distance correlation per pair, from mean products and row means of the distances, `rows` rows at a time."""
+def _row_means(x: np.ndarray) -> np.ndarray:
+    """Mean distance of each value to all, from one sort."""
+    n, order = len(x), np.argsort(x, kind="stable")
+    s, k = x[order], np.arange(len(x))
+    below = np.cumsum(s) - s
+    out = np.empty(n)
+    out[order] = (s * (2 * k - n + 1) + s.sum() - s - 2 * below) / n
+    return out
+
+
+def _concordant(x: np.ndarray, y: np.ndarray) -> float:
+    """Sum of (x_j - x_i)(y_j - y_i) over i < j with y_i < y_j, for x in ascending order.
+
+    The levels of a binary indexed tree, each for all positions at once: at level k the right half of every run of 2^(k+1)
+    positions meets the left half, in the order of y, through running sums. t log t in all.
+    """
+    n, total = len(x), 0.0
+    by_y = np.argsort(y, kind="stable")
+    for level in range(max(n - 1, 0).bit_length()):
+        at = by_y[np.argsort(by_y >> (level + 1), kind="stable")]
+        run, right = at >> (level + 1), (at >> level & 1).astype(bool)
+        left = ~right
+        starts = np.searchsorted(run, run)
+        u, v = x[at], y[at]
+        sums = [np.cumsum(np.r_[0.0, np.where(left, w, 0.0)]) for w in (np.ones(n), u, v, u * v)]
+        count, sx, sy, sxy = (s[np.arange(n)] - s[starts] for s in sums)
+        total += (u * v * count - u * sy - v * sx + sxy)[right].sum()
+    return total
+
+
+def distance_correlation(pairs: DataFrame) -> DataFrame:
+    """Distance correlation per pair, in t log t steps for t rows: sums of distances from sorted values and running sums."""
 
     def fn(x, y):
         n = len(x)
-        ma, mb, aa, bb, ab = np.empty(n), np.empty(n), 0.0, 0.0, 0.0
-        for i in range(0, n, rows):
-            a, b = np.abs(x[i:i + rows, None] - x), np.abs(y[i:i + rows, None] - y)
-            ma[i:i + rows], mb[i:i + rows] = a.mean(1), b.mean(1)
-            aa, bb, ab = aa + (a * a).sum(), bb + (b * b).sum(), ab + (a * b).sum()
+        order = np.argsort(x, kind="stable")
+        x, y = x[order] - x.mean(), y[order] - y.mean()
+        ma, mb = _row_means(x), _row_means(y)
+        aa, bb = 2.0 * n * (x * x).sum() - 2.0 * x.sum() ** 2, 2.0 * n * (y * y).sum() - 2.0 * y.sum() ** 2
+        ab = 2.0 * (2.0 * _concordant(x, y) - (n * (x * y).sum() - x.sum() * y.sum()))
 
         def centred(s, u, v):
             return s / n ** 2 - 2.0 * (u * v).mean() + u.mean() * v.mean()

@@ -696,3 +696,27 @@ def test_forward_roll_blocks(spark):
     three = transforms.forward_roll(df, "x", 3).select("rolled").distinct().count()
     assert three == 2 and transforms.forward_roll(df, "x", 0).filter("rolled = x").count() == 130
     assert transforms.forward_roll(df, "x", 1).select("rolled").distinct().count() == 5
+
+
+# ---------------------------------------------------------------- distance correlation
+
+def test_distance_correlation_equals_all_distances(spark):
+    rng = np.random.default_rng(3)
+    cases = {"line": (np.arange(40.0), 2 * np.arange(40.0)), "ties": (rng.integers(0, 4, 301) * 1.0, rng.integers(0, 3, 301) * 1.0),
+             "free": (rng.normal(size=257), rng.normal(size=257)), "curve": (x := rng.normal(size=200), x * x + 100), "one": (np.ones(1), np.ones(1)),
+             "flat": (np.ones(30), rng.normal(size=30))}
+    rows = [(name, "y", i, float(a), float(b)) for name, (x, y) in cases.items() for i, (a, b) in enumerate(zip(x, y))]
+    got = keyed(compare.distance_correlation(spark.createDataFrame(rows, "left string, right string, idx int, x double, y double")).collect(), "dcor", "left")
+    for name, (x, y) in cases.items():
+        a, b = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+        a, b = (m - m.mean(0) - m.mean(1)[:, None] + m.mean() for m in (a, b))
+        size = np.sqrt(np.sqrt((a * a).mean()) * np.sqrt((b * b).mean()))
+        assert abs(got[(name,)] - (np.sqrt(max((a * b).mean(), 0)) / size if size > 0 else 0.0)) < 1e-7, name
+
+
+def test_distance_correlation_of_long_series():
+    x = np.sort(np.random.default_rng(4).normal(size=100_000))
+    y = np.random.default_rng(5).normal(size=100_000)
+    part = np.abs(np.subtract.outer(x[:300], x[:300])), np.abs(np.subtract.outer(y[:300], y[:300]))
+    assert abs(2 * (2 * compare._concordant(x[:300], y[:300]) - (300 * (x[:300] * y[:300]).sum() - x[:300].sum() * y[:300].sum())) - (part[0] * part[1]).sum()) < 1e-6
+    assert np.isfinite(compare._concordant(x, y))
