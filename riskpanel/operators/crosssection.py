@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.functions.order import quantile_hf5, quantile_hf5_array
 from riskpanel.functions.scalar import norm_cdf, norm_pdf
+from riskpanel.operators.ranks import positions
 from riskpanel.operators.series import candidate_scan, halton, per_series
 from riskpanel.operators.transforms import fold_series
 from riskpanel.session import cut_lineage
@@ -346,12 +347,12 @@ def caviar_irf(df: DataFrame, params: tuple, steps: int = 200) -> DataFrame:
 def sort_positions(df: DataFrame, measures: list[str]) -> DataFrame:
     """(measure, idx, entity, pos, id): place of each entity in the ascending order of each measure, and its number.
 
-    Ranks are counted inside one (date, measure), which holds one row per entity.
+    A date is cut into ranges of values like the whole table, so its entities need not fit one task. The number of an entity
+    on a date is the same for all measures and counted once.
     """
-    long = df.unpivot(["entity", "idx"], measures, "measure", "value")
-    w = Window.partitionBy("measure", "idx")
-    ids = F.row_number().over(w.orderBy("entity"))
-    return long.withColumns({"id": ids, "pos": F.row_number().over(w.orderBy(F.col("value").asc_nulls_last(), "entity"))}).drop("value")
+    numbered = positions(df.select("idx", "entity", *measures), [F.asc("entity")], "id", by=("idx",))
+    long = numbered.unpivot(["entity", "idx", "id"], measures, "measure", "value")
+    return positions(long, [F.col("value").asc_nulls_last(), F.asc("entity")], "pos", by=("measure", "idx")).drop("value")
 
 
 def _coefficient(total: Column, squares: Column, n: Column) -> Column:

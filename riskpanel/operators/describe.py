@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskpanel.functions.order import quantile_hf5, quantile_hf5_over
 from riskpanel.functions.scalar import chi2_sf, horner, norm_cdf, norm_inv, t_sf
+from riskpanel.operators.ranks import positions
 
 
 def corrected_skewness(value: str) -> Column:
@@ -197,7 +198,7 @@ def three_sigma_filter(df: DataFrame, value: str) -> DataFrame:
 
 def rank_table(df: DataFrame, value: str, label: str = "entity") -> DataFrame:
     """Descending rank, ties broken by label; the input has one row per label."""
-    return df.withColumn("position", F.row_number().over(Window.orderBy(F.desc(value), label)))
+    return positions(df, [F.desc(value), F.asc(label)], "position")
 
 
 def threshold_matrix(edges: DataFrame, value: str, limit: float, inclusive: bool = False) -> DataFrame:

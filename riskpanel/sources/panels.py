@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskpanel.operators.ranks import positions, running_sums
+
 
 def from_wide(wide: DataFrame, date: str = "Date", value: str = "value") -> DataFrame:
     """One row per (date, entity) from a table with one column per entity; NaN becomes missing."""
@@ -26,14 +28,13 @@ def align_periods(daily: DataFrame, balance: DataFrame, period: str = "quarter")
 
 
 def entity_positions(entities: DataFrame) -> DataFrame:
-    """Position of each entity in name order: one small row per entity, never the panel itself."""
-    return entities.select("entity").distinct().withColumn("pos", F.row_number().over(Window.orderBy("entity")))
+    """Position of each entity in name order, counted over ranges of names."""
+    return positions(entities.select("entity").distinct(), [F.asc("entity")], "pos")
 
 
 def group_bounds(groups: DataFrame) -> DataFrame:
     """Turn ordered (name, short name, count) rows into position ranges."""
-    run = F.sum("cnt").over(Window.orderBy("short_name"))
-    return groups.withColumn("hi", run).withColumn("lo", F.col("hi") - F.col("cnt") + 1)
+    return running_sums(groups, [F.asc("short_name")], "cnt", "hi").withColumn("lo", F.col("hi") - F.col("cnt") + 1)
 
 
 def entity_groups(entities: DataFrame, groups: DataFrame) -> DataFrame:
