@@ -29,6 +29,9 @@ class Block:
         self.x[row_at, col_at] = pdf[value].to_numpy(dtype=float)
         bucket = np.zeros(len(names), dtype=int)
         bucket[col_at] = pdf["bucket"].to_numpy()
+        if "label" in pdf:
+            self.labels = np.empty(len(names), dtype=object)
+            self.labels[col_at] = pdf["label"].to_numpy()
         a, b = np.flatnonzero(bucket == left), np.flatnonzero(bucket == right)
         self.left, self.right = a, b
         i, j = np.meshgrid(a, b, indexing="ij")
@@ -48,16 +51,20 @@ class Block:
 
 
 def pair_blocks(df: DataFrame, value: str, bw: int, kernel: Callable[[Block], list[pd.DataFrame]], schema: str,
-                block: int = 64, chunk: int = 64) -> DataFrame:
-    """Run `kernel` on every (bucket pair, run of windows). Unordered pairs appear once, as (block.i, block.j)."""
+                block: int = 64, chunk: int = 64, label: str | None = None) -> DataFrame:
+    """Run `kernel` on every (bucket pair, run of windows). Unordered pairs appear once, as (block.i, block.j).
+
+    `label` is a string column, one value an entity, that the kernel finds in block.labels.
+    """
+    labels = [F.col(label).alias("label")] if label else []
     chunk = max(chunk, head_rows(bw))
     n = df.select("entity").distinct().agg(F.ceil(F.count(F.lit(1)) / block).alias("b")).scalar()
-    rows = df.select("entity", "idx", value).withColumn("buckets", n)
+    rows = df.select("entity", "idx", value, *labels).withColumn("buckets", n)
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("entity"), F.col("buckets")).cast("int"))
     first, last = F.floor((F.col("idx") - 1) / chunk), F.floor((F.col("idx") + bw - 2) / chunk)
     rows = rows.withColumn("run", F.explode(F.sequence(first, last)))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("buckets") - 1).cast("int"))))
-    rows = rows.select("entity", "idx", value, "bucket", "run", F.least("bucket", "other").alias("p"),
+    rows = rows.select("entity", "idx", value, *["label" for _ in labels], "bucket", "run", F.least("bucket", "other").alias("p"),
                        F.greatest("bucket", "other").alias("q"))
 
     def task(key, pdf):
@@ -69,6 +76,27 @@ def pair_blocks(df: DataFrame, value: str, bw: int, kernel: Callable[[Block], li
     return rows.groupBy("p", "q", "run").applyInPandas(task, schema)
 
 
+def pair_sums(df: DataFrame, value: str, bw: int, kernel: Callable[[Block, int, int, int], list[np.ndarray]], names: dict[str, str],
+              block: int = 64, chunk: int = 64, label: str | None = None) -> DataFrame:
+    """(idx, entity, *names): sums over an entity's pairs, for readers that need no pair row.
+
+    `kernel(block, idx, first row, last row + 1)` returns an array for each of `names` (name: type), one value an entity of the
+    block. A task emits at most one row an entity and window, so a date travels as entities x buckets rows, not as its pairs.
+    """
+
+    def tables(b: Block):
+        out = []
+        for w, lo, hi in b.windows:
+            values = kernel(b, w, lo, hi)
+            some = np.any(np.array(values) != 0, axis=0)
+            out.append(pd.DataFrame({"idx": w, "entity": b.names[some], **{n: v[some] for n, v in zip(names, values)}}))
+        return out
+
+    schema = "idx long, entity string, " + ", ".join(f"{n} {kind}" for n, kind in names.items())
+    parts = pair_blocks(df, value, bw, tables, schema, block, chunk, label)
+    return parts.groupBy("idx", "entity").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def entity_blocks(df: DataFrame, value: str, bw: int, kernel: Callable[[Block], list[pd.DataFrame]], schema: str,
                   block: int = 64, chunk: int = 64) -> DataFrame:
     """Run `kernel` on every (bucket, run of windows), for statistics of single entities that need whole windows."""

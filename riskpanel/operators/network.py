@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskpanel.functions.scalar import half_up
-from riskpanel.operators.blocks import pair_blocks
+from riskpanel.operators.blocks import Block, pair_blocks, pair_sums
 from riskpanel.operators.krylov import dominant_vectors, resolvents
 from riskpanel.session import cut_lineage, passing_tables
 
@@ -31,6 +31,32 @@ def _regression(y, o, i):
     return b2, y - b1 * o - b2 * i, oo, ii, oi, det
 
 
+def _links(block: Block, lo: int, hi: int, cut: float, robust: bool):
+    """Source and target columns of all ordered pairs of a window, and whether the source helps to explain the target."""
+    src, dst = np.concatenate([block.i, block.j]), np.concatenate([block.j, block.i])
+    x = block.x[lo:hi]
+    t = len(x)
+    whole = ~np.isnan(x).any(0)
+    y, o, i = x[1:, dst], x[:-1, dst], x[:-1, src]
+    b, e, oo, ii, oi, det = _regression(y, o, i)
+    with np.errstate(all="ignore"):
+        if robust:
+            ho, hi_ = e * o, e * i
+            m = t - 1
+            s_oo, s_ii, s_oi = (ho * ho).sum(0) / m, (hi_ * hi_).sum(0) / m, (ho * hi_).sum(0) / m
+            lags = half_up(0.1 * m)
+            for k in range(1, lags):
+                wk = (lags - k) / lags / (m - k)
+                s_oo = s_oo + 2 * wk * (ho[:-k] * ho[k:]).sum(0)
+                s_ii = s_ii + 2 * wk * (hi_[:-k] * hi_[k:]).sum(0)
+                s_oi = s_oi + wk * ((ho[:-k] * hi_[k:]).sum(0) + (hi_[:-k] * ho[k:]).sum(0))
+            u, v = -oi * m / det, oo * m / det
+            stat = b / np.sqrt((u * u * s_oo + 2 * u * v * s_oi + v * v * s_ii) / m)
+        else:
+            stat = b / np.sqrt((e * e).sum(0) / (t - 3) * oo / det)
+    return src, dst, whole[src] & whole[dst] & (stat > cut)
+
+
 def causal_edges(returns: DataFrame, bw: int, sst: float = 0.05, robust: bool = False) -> DataFrame:
     """Edge src -> dst when the lag of src helps to explain dst beyond its own lag (one-sided normal test).
 
@@ -40,43 +66,39 @@ def causal_edges(returns: DataFrame, bw: int, sst: float = 0.05, robust: bool =
     cut = NormalDist().inv_cdf(1.0 - sst)
 
     def kernel(block):
-        src = np.concatenate([block.i, block.j])
-        dst = np.concatenate([block.j, block.i])
-        out = []
-        for w, lo, hi in block.windows:
-            x = block.x[lo:hi]
-            t = len(x)
-            whole = ~np.isnan(x).any(0)
-            ok = whole[src] & whole[dst]
-            y, o, i = x[1:, dst], x[:-1, dst], x[:-1, src]
-            b, e, oo, ii, oi, det = _regression(y, o, i)
-            with np.errstate(all="ignore"):
-                if robust:
-                    ho, hi_ = e * o, e * i
-                    m = t - 1
-                    s_oo, s_ii, s_oi = (ho * ho).sum(0) / m, (hi_ * hi_).sum(0) / m, (ho * hi_).sum(0) / m
-                    lags = half_up(0.1 * m)
-                    for k in range(1, lags):
-                        wk = (lags - k) / lags / (m - k)
-                        s_oo = s_oo + 2 * wk * (ho[:-k] * ho[k:]).sum(0)
-                        s_ii = s_ii + 2 * wk * (hi_[:-k] * hi_[k:]).sum(0)
-                        s_oi = s_oi + wk * ((ho[:-k] * hi_[k:]).sum(0) + (hi_[:-k] * ho[k:]).sum(0))
-                    u, v = -oi * m / det, oo * m / det
-                    stat = b / np.sqrt((u * u * s_oo + 2 * u * v * s_oi + v * v * s_ii) / m)
-                else:
-                    stat = b / np.sqrt((e * e).sum(0) / (t - 3) * oo / det)
-            out.append(block.edges(w, src, dst, ok & (stat > cut)))
-        return out
+        return [block.edges(w, *_links(block, lo, hi, cut, robust)) for w, lo, hi in block.windows]
 
     return pair_blocks(returns, "r", bw, kernel, EDGE)
 
 
+def causal_degrees(returns: DataFrame, bw: int, sst: float = 0.05, robust: bool = False, entity_group: DataFrame | None = None) -> DataFrame:
+    """(idx, entity, deg_out, deg_in, mutual, cross_out) of the graphs of `causal_edges`, summed inside the tasks: no edge leaves one.
+
+    `mutual` counts the edges out of a node that have a counterpart, `cross_out` those into another group, where entities
+    outside all groups form a group of their own. A node without edges has no row.
+    """
+    cut = NormalDist().inv_cdf(1.0 - sst)
+    rows, grouped = returns.select("entity", "idx", "r"), entity_group is not None
+    if grouped:
+        named = entity_group.select("entity", F.concat(F.lit("="), "short_name").alias("_group"))
+        rows = rows.join(named, "entity", "left").withColumn("_group", F.coalesce("_group", F.lit("")))
+
+    def kernel(block, w, lo, hi):
+        src, dst, keep = _links(block, lo, hi, cut, robust)
+        m, n = len(block.i), len(block.names)
+        back = np.concatenate([keep[m:], keep[:m]])
+        far = block.labels[src] != block.labels[dst] if grouped else np.zeros(2 * m, dtype=bool)
+        return [np.bincount(at[chosen], minlength=n) for at, chosen in ((src, keep), (dst, keep), (src, keep & back), (src, keep & far))]
+
+    names = dict.fromkeys(("deg_out", "deg_in", "mutual", "cross_out"), "long")
+    return pair_sums(rows, "r", bw, kernel, names, label="_group" if grouped else None)
+
+
 def connectedness(edges: DataFrame, entities: DataFrame, dates: DataFrame, entity_group: DataFrame | None = None) -> DataFrame:
     """Per date: dci = edges / (n^2 - n), cio = edges / (n - 1), cioo = cross-group edges / n.
 
     Entities outside all groups form a group of their own.
     """
-    n = entities.select("entity").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     e = edges
     cross = F.lit(None).cast("int")
     if entity_group is not None:
@@ -85,9 +107,21 @@ def connectedness(edges: DataFrame, entities: DataFrame, dates: DataFrame, entit
             g.withColumnsRenamed({"entity": "dst", "short_name": "g2"}), "dst", "left")
         cross = (~F.col("g1").eqNullSafe(F.col("g2"))).cast("int")
     counts = e.groupBy("idx").agg(F.count(F.lit(1)).alias("edges"), F.sum(cross).alias("cross"))
+    return _shares(counts, entities, dates, entity_group is not None)
+
+
+def connectedness_sums(degrees: DataFrame, entities: DataFrame, dates: DataFrame, grouped: bool = False) -> DataFrame:
+    """As `connectedness`, from `causal_degrees`; `grouped` where these were given groups."""
+    cross = F.sum("cross_out") if grouped else F.lit(None).cast("long")
+    counts = degrees.groupBy("idx").agg(F.sum("deg_out").alias("edges"), cross.alias("cross"))
+    return _shares(counts, entities, dates, grouped)
+
+
+def _shares(counts: DataFrame, entities: DataFrame, dates: DataFrame, grouped: bool) -> DataFrame:
+    n = entities.select("entity").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     out = dates.join(counts, "idx", "left").withColumn("n", n)
     out = out.withColumns({"edges": F.coalesce("edges", F.lit(0)),
-                           "cross": F.coalesce("cross", F.lit(0 if entity_group is not None else None).cast("int"))})
+                           "cross": F.coalesce("cross", F.lit(0 if grouped else None).cast("int"))})
     return out.withColumns({"dci": F.col("edges") / (F.col("n") * F.col("n") - F.col("n")),
                             "cio": F.col("edges") / (F.col("n") - 1), "cioo": F.col("cross") / F.col("n")})
 
@@ -112,6 +146,15 @@ def degrees(edges: DataFrame, n: int | None = None, entities: DataFrame | None =
         "degree_centrality", F.col("deg") / (F.col("n") - 1)).drop("_self", "n")
 
 
+def degree_sums(degrees: DataFrame, entities: DataFrame) -> DataFrame:
+    """As `degrees`, from `causal_degrees`: a graph is symmetric where every edge has a counterpart."""
+    n = entities.select("entity").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    kind = degrees.groupBy("idx").agg((F.sum("deg_out") == F.sum("mutual")).alias("symmetric"))
+    d = degrees.select("idx", "entity", "deg_in", "deg_out").join(kind, "idx")
+    d = d.withColumn("deg", F.when(F.col("symmetric"), F.col("deg_in")).otherwise(F.col("deg_in") + F.col("deg_out")))
+    return d.withColumn("_n", n).withColumn("degree_centrality", F.col("deg") / (F.col("_n") - 1)).drop("_n")
+
+
 def complete(values: DataFrame, nodes: DataFrame, cols: list[str]) -> DataFrame:
     """One row for every (idx, entity) of `nodes`: a node without edges, and a date without any, has centrality 0."""
     found = values.select("idx", "entity", *cols, F.lit(True).alias("_found"))

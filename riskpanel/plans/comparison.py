@@ -179,13 +179,12 @@ def _(m):
 
 def comparison_wide(m):
     """Indicators of several families, one column each, from one panel."""
-    from riskpanel.plans.connectedness import edges
-    from riskpanel.operators import network, tail, component
+    from riskpanel.plans import connectedness
+    from riskpanel.operators import tail, component
     r = m.returns()
-    dates = r.select("idx", "date").distinct()
-    dci = network.connectedness(edges(m), m.observations(), dates).select("idx", "date", "dci")
+    dci = connectedness.dci(m).select("idx", "date", "dci")
     parts = component.component_metrics(r, 52).select("idx", "ar")
-    chi = tail.chi_metrics(tail.chi_pairs(r, 156)).select("idx", "achi")
+    chi = tail.chi_metrics(tail.chi_sums(r, 156)).select("idx", "achi")
     return cut_lineage(dci.join(parts, "idx").join(chi, "idx").join(measures(m).drop("date"), "idx"))
 
 

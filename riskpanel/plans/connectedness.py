@@ -59,16 +59,20 @@ def _(m):
     return edges(m, robust=True)
 
 
+def dci(m, by="brand"):
+    return N.connectedness_sums(N.causal_degrees(m.returns(by), BW), m.observations(by), m.returns(by).select("idx", "date").distinct())
+
+
 def _connectedness(m):
     groups = panels.entity_groups(m.observations(), m.groups())
-    return N.connectedness(edges(m), m.observations(), dates(m), groups)
+    return N.connectedness_sums(N.causal_degrees(m.returns(), BW, entity_group=groups), m.observations(), dates(m), grouped=True)
 
 
 @query("connectedness_dci", keys="date", nums="dci", sql=EDGES_SQL + """
 c as (select idx, count(*) as e from edges group by 1)
 select_final select d.date, coalesce(e, 0)/(n*n - n) as dci from dates d left join c on d.idx = c.idx, nn""")
 def _(m):
-    return N.connectedness(edges(m), m.observations(), dates(m))
+    return dci(m)
 
 
 @query("connectedness_in_out", keys="date", nums="cio, cioo", sql=EDGES_SQL + """
@@ -89,7 +93,7 @@ degs as (select d.*, is_symmetric, case when is_symmetric then deg_in else deg_i
 
 
 def _degrees(m):
-    return N.complete(N.degrees(edges(m), entities=m.observations()), nodes(m), ["deg_in", "deg_out", "deg", "degree_centrality"])
+    return N.complete(N.degree_sums(N.causal_degrees(m.returns(), BW), m.observations()), nodes(m), ["deg_in", "deg_out", "deg", "degree_centrality"])
 
 
 @query("connectedness_degrees", keys="entity", ints="idx, deg_in, deg_out, deg", nums="degree_centrality", sql=EDGES_SQL + _SYM + """

@@ -472,7 +472,7 @@ def _(m):
 @query("tail_dependence_indicators", ints="idx", nums="achi, adr", sql=CHI_SQL + """
 select_final select idx, avg(chi) as achi, avg(case when chi > 0 then 1.0 else 0.0 end) as adr from chi group by 1""")
 def _(m):
-    return A.chi_metrics(A.chi_pairs(m.returns(), tail_bandwidth(m)))
+    return A.chi_metrics(A.chi_sums(m.returns(), tail_bandwidth(m)))
 
 
 PENALTY_SQL = R + X.STATES + f"""
