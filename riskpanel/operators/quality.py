@@ -160,6 +160,30 @@ def panel_contract(df: DataFrame, ranges: dict[str, tuple]) -> DataFrame:
     return wide.unpivot([], wide.columns, "rule", "violations")
 
 
+def table_contract(df: DataFrame, expected: StructType) -> DataFrame:
+    """(rule, name, cells): what a table holds against a declared schema, counted over all rows in one pass.
+
+    A declared column that is absent misses every cell. One of another type counts the cells that cannot be read as the declared
+    type. One that must not be null counts its nulls. A column that is not declared counts its cells. Zeros are listed too.
+    """
+    have = {f.name: f.dataType.simpleString() for f in df.schema}
+    want = {f.name: f for f in expected}
+    found = [("extra", c, F.count(F.col(f"`{c}`"))) for c in have if c not in want]
+    for name, field in want.items():
+        kind, cell = field.dataType.simpleString(), F.col(f"`{name}`")
+        if name not in have:
+            found.append(("missing", name, F.count(F.lit(1))))
+            continue
+        if have[name] != kind:
+            found.append(("type", name, F.count_if(cell.isNotNull() & cell.try_cast(kind).isNull())))
+        if not field.nullable:
+            found.append(("null", name, F.count_if(cell.isNull())))
+    listed = [F.struct(F.lit(rule).alias("rule"), F.lit(name).alias("name"), cells.alias("cells")) for rule, name, cells in found]
+    if not listed:
+        return df.limit(0).select(F.lit("").alias("rule"), F.lit("").alias("name"), F.lit(0).cast("long").alias("cells"))
+    return df.agg(F.array(*listed).alias("f")).select(F.explode("f").alias("f")).select("f.*")
+
+
 def missing_share(df: DataFrame, value: str, per_series: float = 0.70, overall: float = 0.25) -> DataFrame:
     """Series whose missing share is above the limit, plus the whole panel when it is."""
     gap = F.avg(F.col(value).isNull().cast("double"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskpanel.operators import quality as Q
 from riskpanel.operators import transforms as T
 from riskpanel.plans import sqltext as X
 from riskpanel.plans.registry import query
+from riskpanel.session import shared_folder
 from riskpanel.sources import panels, results
 from riskpanel.sources.market import period_start
 
@@ -105,6 +109,33 @@ def _(m):
     return results.indicators(daily, "S1", "Component", ["mean_return", "volume_m"])
 
 
+@query("result_round_trip", keys="serial, category, indicator, date", nums="value", sql=X.panel() + """
+t as (select date, avg(r) as mean_return, sum(volume)/1e6 as volume_m, stddev_samp(r) as spread from rets group by 1)
+select_final select 'S1' as serial, 'Component' as category, 'mean_return' as indicator, date, mean_return as value from t
+union all select 'S1', 'Component', 'volume_m', date, volume_m from t union all select 'S1', 'Liquidity', 'spread', date, spread from t""")
+def _(m):
+    """A first draft, then the same results twice: what is read back are the results once."""
+    daily = m.returns().groupBy("date").agg(F.avg("r").alias("mean_return"), (F.sum("volume") / 1e6).alias("volume_m"), F.stddev_samp("r").alias("spread"))
+    component = results.indicators(daily, "S1", "Component", ["mean_return", "volume_m"])
+    root = f"{shared_folder(m.spark)}/results-{uuid.uuid4().hex}"
+    results.store(component.withColumn("value", -F.col("value")), root)
+    for _ in range(2):
+        results.store(component.unionByName(results.indicators(daily, "S1", "Liquidity", ["spread"])), root)
+    return results.stored(m.spark, root)
+
+
+@query("table_contract", keys="rule, name", ints="cells", sql="""
+select_final select 'type' as rule, 'o_orderpriority' as name, count(*) filter (o_orderpriority is not null and try_cast(o_orderpriority as int) is null) as cells from orders
+union all select 'type', 'o_totalprice', count(*) filter (o_totalprice is not null and try_cast(o_totalprice as float) is null) from orders
+union all select 'null', 'o_orderkey', count(*) filter (o_orderkey is null) from orders
+union all select 'missing', 'o_clerk', count(*) from orders
+union all select 'extra', 'o_orderstatus', count(o_orderstatus) from orders union all select 'extra', 'o_orderdate', count(o_orderdate) from orders""")
+def _(m):
+    orders = m.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    return Q.table_contract(orders, StructType.fromDDL(
+        "o_orderkey bigint not null, o_custkey bigint, o_totalprice float, o_orderpriority int, o_clerk string"))
+
+
 _WIDE = ["b" + str(i) for i in range(1, 6)]
 
 
