@@ -65,6 +65,14 @@ def mask_distress(df: DataFrame, distress: DataFrame, cols: list[str]) -> DataFr
     return joined.withColumns({c: F.when(gone, None).otherwise(F.col(c)) for c in cols}).drop("distress_idx")
 
 
+def masked_returns(returns: DataFrame, distress: DataFrame) -> DataFrame:
+    """Returns with `r` missing from the row of distress on. Panels start one row before their returns, so the row is one less.
+
+    Measures take a series with a missing return in its window as absent from that window.
+    """
+    return mask_distress(returns, distress.withColumn("distress_idx", F.col("distress_idx") - 1), ["r"])
+
+
 def select_series(panel: DataFrame, names: list[str]) -> DataFrame:
     unknown = [n for n in names if n not in panel.columns]
     if unknown or not names:
@@ -81,24 +89,28 @@ def rolling(df: DataFrame, bw: int, truncate: bool = False, keys: tuple = ("enti
     """Rolling aggregates over the last `bw` rows of each series.
 
     Full mode follows the head rule: windows before row k use rows 1..k. With `truncate` only full
-    windows are kept. The head value comes from the same partitioning, so there is one shuffle.
+    windows are kept. A series of at most `bw` rows has one window in either mode, at its last row, and it holds all rows.
+    The head value comes from the same partitioning, so there is one shuffle.
     """
     order = Window.partitionBy(*keys).orderBy("idx")
     whole = Window.partitionBy(*keys)
     out = df.withColumns({name: agg.over(order.rowsBetween(1 - bw, 0)) for name, agg in aggs.items()})
+    out = out.withColumn("_t", F.max("idx").over(whole))
     if truncate:
-        return out.filter(F.col("idx") >= bw)
+        return out.filter((F.col("idx") >= bw) | (F.col("idx") == F.col("_t"))).drop("_t")
     k = head_rows(bw)
-    head = {n: F.when(F.col("idx") < k, F.max(F.when(F.col("idx") == k, F.col(n))).over(whole)).otherwise(F.col(n))
+    head = {n: F.when((F.col("idx") < k) & (F.col("_t") > bw), F.max(F.when(F.col("idx") == k, F.col(n))).over(whole)).otherwise(F.col(n))
             for n in aggs}
-    return out.withColumns(head)
+    return out.withColumns(head).filter((F.col("_t") > bw) | (F.col("idx") == F.col("_t"))).drop("_t")
 
 
 def window_bounds(df: DataFrame, bw: int) -> DataFrame:
-    """(idx, lo, hi) of every window of the calendar."""
+    """(idx, lo, hi) of every window of the calendar; a calendar of at most `bw` rows has one, which holds all of it."""
     k = head_rows(bw)
-    return df.select("idx").distinct().select(
-        "idx", F.greatest(F.col("idx") - bw + 1, F.lit(1)).alias("lo"), F.greatest("idx", F.lit(k)).alias("hi"))
+    last = df.agg(F.max("idx").alias("t")).scalar()
+    days = df.select("idx").distinct().withColumn("t", last).filter((F.col("t") > bw) | (F.col("idx") == F.col("t")))
+    return days.select("idx", F.greatest(F.col("idx") - bw + 1, F.lit(1)).alias("lo"),
+                       F.when(F.col("t") <= bw, F.col("t")).otherwise(F.greatest("idx", F.lit(k))).alias("hi"))
 
 
 def forward_roll(df: DataFrame, value: str, fr: int) -> DataFrame:

@@ -11,6 +11,7 @@ from riskpanel.operators import network as N
 from riskpanel.operators import transforms as T
 from riskpanel.plans import sqltext as X
 from riskpanel.plans.registry import query
+from riskpanel.plans.transforms import STOPPED, defaults, stopped
 from riskpanel.sources import panels
 
 BW = 52
@@ -75,6 +76,25 @@ def _(m):
     return dci(m)
 
 
+@query("connectedness_dci_suppliers", keys="date", nums="dci", sql=EDGES_SQL.replace(X.panel(), X.panel("supplier")) + """
+c as (select idx, count(*) as e from edges group by 1)
+select_final select d.date, coalesce(e, 0)/(n*n - n) as dci from dates d left join c on d.idx = c.idx, nn""")
+def _(m):
+    return dci(m, "supplier")
+
+
+@query("connectedness_after_distress", keys="date", nums="dci, cio", sql=STOPPED + """
+kept as (select r.* from rets r left join distress d on r.entity = d.entity where distress_idx is null or r.idx + 1 < distress_idx),
+""" + EDGES_SQL.removeprefix(X.panel()).replace("as x from rets)", "as x from kept)") + """
+c as (select idx, count(*) as e from edges group by 1)
+select_final select d.date, coalesce(e, 0)/(n*n - n) as dci, coalesce(e, 0)/(n - 1) as cio from dates d left join c on d.idx = c.idx, nn""")
+def _(m):
+    """From detection to measure: a brand that stops trading has no edges from then on."""
+    panel = stopped(m)
+    returns = T.masked_returns(T.log_returns(panel), defaults(panel))
+    return N.connectedness_sums(N.causal_degrees(returns, BW), m.observations(), dates(m))
+
+
 @query("connectedness_in_out", keys="date", nums="cio, cioo", sql=EDGES_SQL + """
 c as (select e.idx, count(*) as e, sum(case when a.short_name is distinct from b.short_name then 1 else 0 end) as x from edges e
   left join entity_group a on e.src = a.entity left join entity_group b on e.dst = b.entity group by 1)

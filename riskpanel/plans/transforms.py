@@ -51,7 +51,7 @@ def _(m):
     return T.clamp_crisis_bounds(spans, m.calendar())
 
 
-_STOPPED = X.panel() + """
+STOPPED = X.panel() + """
 stopped as (select entity, date, idx, r, case when entity = 'Brand#7' and idx > 330 then 0.0 else price end as price,
   case when entity = 'Brand#7' and idx > 330 then 0.0 else volume end as volume from (
     select p.*, 0.0 as r from panel p)),
@@ -62,19 +62,19 @@ distress as (select entity, least(case when t - lp >= greatest(floor(t*0.05 + 0.
 """
 
 
-def _stopped(m):
+def stopped(m):
     """The brand panel with one brand that stops trading after row 330."""
     gone = (F.col("entity") == "Brand#7") & (F.col("idx") > 330)
     return m.panel().withColumns({c: F.when(gone, 0.0).otherwise(F.col(c)) for c in ("price", "volume")})
 
 
-def _defaults(df):
+def defaults(df):
     return T.detect_distress(df, {"price": F.col("price") == 0, "volume": F.col("volume") == 0})
 
 
-@query("detect_default", keys="entity", ints="distress_idx", sql=_STOPPED + "select_final select entity, distress_idx from distress")
+@query("detect_default", keys="entity", ints="distress_idx", sql=STOPPED + "select_final select entity, distress_idx from distress")
 def _(m):
-    return _defaults(_stopped(m))
+    return defaults(stopped(m))
 
 
 @query("detect_insolvency", keys="entity", ints="distress_idx", sql=X.BALANCE + """
@@ -90,12 +90,12 @@ def _(m):
     return T.detect_distress(eq, {"equity": F.col("equity") < 0})
 
 
-@query("mask_distress", keys="entity, date", nums="price", sql=_STOPPED + """
+@query("mask_distress", keys="entity, date", nums="price", sql=STOPPED + """
 select_final select s.entity, s.date, case when idx >= distress_idx then null else price end as price
 from stopped s left join distress d on s.entity = d.entity""", digits=9)
 def _(m):
-    p = _stopped(m)
-    return T.mask_distress(p, _defaults(p), ["price", "volume"])
+    p = stopped(m)
+    return T.mask_distress(p, defaults(p), ["price", "volume"])
 
 
 @query("select_series", keys="entity, date", nums="r, cds", sql=SUP + "select_final select entity, date, r, cds from rets")
@@ -103,6 +103,18 @@ def _(m):
     return T.select_series(m.returns("supplier"), ["r", "cds"])
 
 
+@query("window_bounds_short_panel", ints="idx, lo, hi", sql=X.panel() + """
+select_final select max(idx) as idx, 1 as lo, max(idx) as hi from rets""")
+def _(m):
+    return T.window_bounds(m.returns(), 1000)
+
+
+@query("rolling_windows_short_panel", keys="entity, date", nums="mean_r, std_r, max_r", sql=SUP + """
+select_final select entity, max(date) as date, avg(r) as mean_r, stddev_samp(r) as std_r, max(r) as max_r from rets group by 1""")
+def _(m):
+    return T.rolling(m.returns("supplier"), 1000, mean_r=F.avg("r"), std_r=F.stddev_samp("r"), max_r=F.max("r"))
+
+
 _ROLL = f"""
 raw_roll as (select entity, date, idx, avg(r) over w as mean_r, stddev_samp(r) over w as std_r, max(r) over w as max_r from rets
   window w as (partition by entity order by idx rows between {BW - 1} preceding and current row)),

@@ -1,15 +1,17 @@
 """Structures that keep work spread: places over ranges, sums inside blocks, and growing quantile hits."""
 
+import datetime
 import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from riskpanel.operators import blocks, network, quantilogram, tail
+from riskpanel.operators import blocks, network, quality, quantilogram, tail, transforms
 from riskpanel.operators.ranks import positions, running_sums
-from riskpanel.sources import panels
+from riskpanel.sources import panels, results
 
 
 @pytest.fixture(scope="module")
@@ -123,3 +125,71 @@ def test_growing_hits_are_those_of_every_sample(columns, ties):
                     continue
                 d = np.column_stack([h[k:, 0], h[:n - k, 1:]])
                 np.testing.assert_allclose(grams[k - 1], d.T @ d, atol=1e-9)
+
+
+# ---------------------------------------------------------------- results, schema, short panels, distress
+
+def test_results_count_once_their_entry_is_written(spark, tmp_path, monkeypatch):
+    """A repeated write replaces, a job that dies before its entry leaves nothing, another serial stays."""
+    root = str(tmp_path / "results")
+
+    def rows(serial, category, *values):
+        return spark.createDataFrame([(serial, category, "x", datetime.date(2020, 1, n), float(v)) for n, v in enumerate(values, 1)],
+                                     "serial string, category string, indicator string, date date, value double")
+
+    def read():
+        return sorted(((r.serial, r.category, r.date.day, r.value) for r in results.stored(spark, root).collect()), key=str)
+
+    old = results.store(rows("007", "A", 1, 2), root)
+    results.store(rows("8", "A", 5), root)
+    assert read() == [("007", "A", 1, 1.0), ("007", "A", 2, 2.0), ("8", "A", 1, 5.0)]
+    results.store(rows("007", "A", 3).unionByName(rows("007", None, 4)), root)
+    assert read() == [("007", "A", 1, 3.0), ("007", None, 1, 4.0), ("8", "A", 1, 5.0)]
+    with monkeypatch.context() as patch:
+        patch.setattr(F, "current_timestamp", lambda: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            results.store(rows("8", "A", 9, 9), root)
+    assert [r.rows for r in results.catalogue(spark, root).collect()] == [1, 1, 1]
+    assert read() == [("007", "A", 1, 3.0), ("007", None, 1, 4.0), ("8", "A", 1, 5.0)]
+    gone = results.drop_superseded(spark, root)
+    assert old in gone and len(gone) == 2
+    assert results.stored(spark, root).count() == 3
+
+
+def test_table_contract(spark):
+    df = spark.createDataFrame([(1, "5", None), (None, "x", 2.0), (3, None, None)], "a long, b string, `c.d` double")
+    got = {(r.rule, r.name): r.cells for r in quality.table_contract(df, StructType.fromDDL("a long not null, b int, e date")).collect()}
+    assert got == {("null", "a"): 1, ("type", "b"): 1, ("missing", "e"): 3, ("extra", "c.d"): 1}
+    same = StructType.fromDDL("a long, b string, `c.d` double")
+    assert quality.table_contract(df, same).collect() == []
+    none = quality.table_contract(df.limit(0), StructType.fromDDL("a long not null, b int, `c.d` double")).collect()
+    assert {(r.rule, r.name): r.cells for r in none} == {("null", "a"): 0, ("type", "b"): 0}
+
+
+@pytest.mark.parametrize("length, bw", [(3, 30), (30, 30), (31, 30), (12, 5)])
+@pytest.mark.parametrize("truncate", [False, True])
+def test_windows_of_short_series(spark, length, bw, truncate):
+    """As many rows as the bandwidth, or fewer, are one window, even below the first head row."""
+    x = [float((7 * i) % 11) for i in range(length)]
+    df = spark.createDataFrame([("e", i, v) for i, v in enumerate(x, 1)], "entity string, idx long, r double")
+    k = transforms.head_rows(bw)
+    if bw >= length:
+        want = {length: sum(x)}
+    elif truncate:
+        want = {i: sum(x[i - bw:i]) for i in range(bw, length + 1)}
+    else:
+        want = {i: sum(x[max(0, i - bw):max(i, k)]) for i in range(1, length + 1)}
+    got = {r.idx: r.s for r in transforms.rolling(df, bw, truncate, s=F.sum("r")).collect()}
+    assert got == want
+    if not truncate:
+        assert {r.idx: sum(x[r.lo - 1:r.hi]) for r in transforms.window_bounds(df, bw).collect()} == want
+
+
+def test_returns_after_distress_are_missing(spark, returns):
+    """The panel row of distress is one after the return's."""
+    distress = spark.createDataFrame([("Brand#1", 50), ("Brand#2", None)], "entity string, distress_idx long")
+    got = {(r.entity, r.idx): r.r for r in transforms.masked_returns(returns, distress).collect()}
+    assert len(got) == returns.count()
+    assert all((v is None) == (e == "Brand#1" and i >= 49) for (e, i), v in got.items())
+    edges = network.causal_edges(transforms.masked_returns(returns, distress), 30).filter("'Brand#1' in (src, dst)")
+    assert edges.count() > 0 and edges.filter("idx >= 49").count() == 0
