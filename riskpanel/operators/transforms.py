@@ -248,9 +248,11 @@ def cap_weighted_average(df: DataFrame, value: str, cap: str = "cap", floor: boo
 
 
 def group_aggregate(df: DataFrame, entity_group: DataFrame) -> DataFrame:
-    """Means and totals per group; entities without a group are one group with a null name."""
+    """Means and totals per group, with total liabilities where the rows have `lb`; entities without a group are one group with
+    a null name."""
+    totals = [F.sum(c).alias(c) for c in ("cap", "lb") if c in df.columns]
     return df.join(entity_group, "entity", "left").groupBy("date", "idx", "short_name").agg(
-        F.avg("r").alias("r"), F.avg("cds").alias("cds"), F.sum("cap").alias("cap"))
+        F.avg("r").alias("r"), F.avg("cds").alias("cds"), *totals)
 
 
 def mean_impute(df: DataFrame, value: str) -> DataFrame:

@@ -12,6 +12,7 @@ from riskpanel.operators import entropy as E
 from riskpanel.operators import transforms as T
 from riskpanel.plans import sqltext as X
 from riskpanel.plans.registry import query
+from riskpanel.plans.transforms import with_liabilities
 from riskpanel.session import cut_lineage
 from riskpanel.sources import panels
 
@@ -285,12 +286,12 @@ def _(m):
 
 @query("portfolio_indicators", ints="idx", nums="jpod, fsi, pce")
 def _(m):
-    """Four portfolios per date (3 largest and 3 smallest by spread, risk, size, price), averaged."""
-    r = m.returns()
+    """Four portfolios per date (3 largest and 3 smallest by spread, risk, size, liabilities), averaged."""
+    r = with_liabilities(m)
     keyed = T.rolling(r, BW, risk=F.stddev_samp("r"))
     parts = None
-    for name in ("cds", "risk", "cap", "price"):
-        picked = T.rank_topbottom(keyed, name, 3).select(F.lit(name).alias("portfolio"), "idx", "entity")
+    for name in ("cds", "risk", "cap", "lb"):
+        picked = T.rank_topbottom(keyed.filter(F.col(name).isNotNull()), name, 3).select(F.lit(name).alias("portfolio"), "idx", "entity")
         parts = picked if parts is None else parts.unionByName(picked)
     member, pod = E.members(parts), E.pods(r, BW)
     prior = E.orthant_prior(r, member, pod, BW, 6)

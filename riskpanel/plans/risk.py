@@ -15,7 +15,7 @@ from riskpanel.operators import transforms as T
 from riskpanel.plans import sqltext as X
 from riskpanel.plans.component import GROUP_SQL, group_panel
 from riskpanel.plans.registry import query
-from riskpanel.plans.transforms import LIABILITIES_SQL, ewma_sql, with_liabilities
+from riskpanel.plans.transforms import LIABILITIES_SQL, MAGNITUDE_SQL, ewma_sql, with_liabilities
 from riskpanel.session import cut_lineage
 
 BW = 52
@@ -234,16 +234,21 @@ def _(m):
     return L.variance_ratio(m.returns(), BW, 13)
 
 
-MAG = 1e6
+def mag(m):
+    """The power of ten of the whole panel, as one value that every row reads."""
+    return T.magnitude(m.returns()).scalar()
+
+
 AMI_SQL = R + f"""
-am0 as (select entity, idx, r, nullif(case when volume <> 0 then {MAG}*abs(r)/volume end, 0) as x from rets),
+mg as materialized ({MAGNITUDE_SQL}),
+am0 as (select entity, idx, r, nullif(case when volume <> 0 then magnitude*abs(r)/volume end, 0) as x from rets, mg),
 am as materialized (select entity, idx, r, coalesce(x, avg(x) over (partition by entity)) as v from am0),
 """
 
 
 @query("amihud_input", keys="entity", ints="idx", nums="amihud", sql=AMI_SQL + "select_final select entity, idx, v as amihud from am")
 def _(m):
-    return L.amihud_input(m.returns(), MAG)
+    return L.amihud_input(m.returns(), mag(m))
 
 
 def _mem_sql(a, g, b):
@@ -256,27 +261,27 @@ mu(entity, idx, mu) as (select entity, 1, m from mn union all select u.entity, u
 
 @query("mem_mean", keys="entity", ints="idx", nums="mu", sql=_mem_sql(0.10, 0.0, 0.75) + "select_final select entity, idx, mu from mu")
 def _(m):
-    return L.mem_mean(L.amihud_input(m.returns(), MAG), "amihud", (0.10, 0.0, 0.75))
+    return L.mem_mean(L.amihud_input(m.returns(), mag(m)), "amihud", (0.10, 0.0, 0.75))
 
 
 @query("mem_mean_asymmetric", keys="entity", ints="idx", nums="mu", sql=_mem_sql(0.05, 0.10, 0.70) + "select_final select entity, idx, mu from mu")
 def _(m):
-    return L.mem_mean(L.amihud_input(m.returns(), MAG), "amihud", (0.05, 0.10, 0.70), asymmetric=True)
+    return L.mem_mean(L.amihud_input(m.returns(), mag(m)), "amihud", (0.05, 0.10, 0.70), asymmetric=True)
 
 
 @query("mem_fit", keys="entity", nums="a, b, gamma, loss")
 def _(m):
-    return L.mem_fit(L.amihud_input(m.returns(), MAG), "amihud")
+    return L.mem_fit(L.amihud_input(m.returns(), mag(m)), "amihud")
 
 
 @query("mem_fit_asymmetric", keys="entity", nums="a, g, b, gamma, loss")
 def _(m):
-    return L.mem_fit(L.amihud_input(m.returns(), MAG), "amihud", asymmetric=True)
+    return L.mem_fit(L.amihud_input(m.returns(), mag(m)), "amihud", asymmetric=True)
 
 
 @query("illiquidity", keys="entity", ints="idx", nums="illiq")
 def _(m):
-    return L.illiq(m.returns(), MAG, BW)
+    return L.illiq(m.returns(), mag(m), BW)
 
 
 def _with_states(m):
@@ -289,13 +294,13 @@ def _with_states(m):
 @query("illiquidity_with_states", keys="entity", ints="idx", nums="illiq")
 def _(m):
     rows, controls = _with_states(m)
-    return L.illiq(rows, MAG, BW, controls)
+    return L.illiq(rows, mag(m), BW, controls)
 
 
 @query("illiquidity_covariate_gap", keys="entity", ints="idx", nums="gap")
 def _(m):
     rows, controls = _with_states(m)
-    return L.covariate_gap(L.illiq(rows, MAG, BW), L.illiq(rows, MAG, BW, controls))
+    return L.covariate_gap(L.illiq(rows, mag(m), BW), L.illiq(rows, mag(m), BW, controls))
 
 
 @query("roll_spread", keys="entity", ints="idx", nums="ris", sql=R + f"""

@@ -259,6 +259,21 @@ def _(m):
     return with_liabilities(m).withColumns({"lb_m": F.col("lb") / 1e6, "lbr_m": F.col("lbr") / 1e6})
 
 
+@query("group_aggregate_liabilities", keys="date, short_name", nums="r, cds, cap_m, lb_m", digits=10, sql=X.panel() + X.ENTITY_GROUP + X.BALANCE + LIABILITIES_SQL + """
+select_final select date, short_name, avg(r) as r, avg(cds) as cds, sum(cap)/1e6 as cap_m, sum(lb)/1e6 as lb_m from sheet join entity_group using (entity) group by 1, 2""")
+def _(m):
+    groups = panels.entity_groups(m.observations(), m.groups())
+    return T.group_aggregate(with_liabilities(m), groups).withColumns({"cap_m": F.col("cap") / 1e6, "lb_m": F.col("lb") / 1e6})
+
+
+@query("rank_topbottom_liabilities", keys="entity, date", nums="lb_m", sql=X.panel() + X.BALANCE + LIABILITIES_SQL + """
+ranked as (select *, row_number() over (partition by date order by lb desc, entity) as top, row_number() over (partition by date order by lb, entity) as low from sheet where lb is not null)
+select_final select entity, date, lb/1e6 as lb_m from ranked where top <= 3 or low <= 3""")
+def _(m):
+    """Weeks before the first balance sheet of an entity leave it out of the order."""
+    return T.rank_topbottom(with_liabilities(m).filter("lb is not null"), "lb", 3).withColumn("lb_m", F.col("lb") / 1e6)
+
+
 @query("step_windows", keys="entity, date", nums="std_r", sql=SUP + _ROLL + "picked as (" + X.head_fill("raw_roll", ["std_r"], K) + """)
 select_final select entity, date, std_r from picked where (idx - 1) % 10 = 0 or idx = (select max(idx) from picked)""")
 def _(m):
@@ -299,8 +314,10 @@ def _(m):
     return T.portfolio_coverage(_slots(m))
 
 
-@query("magnitude", nums="magnitude", sql=SUP + """
-select_final select power(10.0, floor(abs(avg(floor(round(log10(abs(nullif(r, 0))), 15)))) + 0.5) +
-  round(avg(floor(round(log10(nullif(volume, 0)), 15))))) as magnitude from rets""")
+MAGNITUDE_SQL = """select power(10.0, floor(abs(avg(floor(round(log10(abs(nullif(r, 0))), 15)))) + 0.5) +
+  round(avg(floor(round(log10(nullif(volume, 0)), 15))))) as magnitude from rets"""
+
+
+@query("magnitude", nums="magnitude", sql=SUP + "select_final " + MAGNITUDE_SQL)
 def _(m):
     return T.magnitude(m.returns("supplier"))
