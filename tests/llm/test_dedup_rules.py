@@ -178,6 +178,45 @@ def test_line_rules(make, odd):
     assert lines.line_rules(make([])).count() == 0
 
 
+def brute_lines(rows, hosts, line_docs, line_share):
+    """(doc_id, text left, depleted) of every row."""
+    def norm(line):
+        return re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.lower())).strip(" ")
+
+    have, all_docs = {}, {}
+    for n, ((i, t), h) in enumerate(zip(rows, hosts)):
+        who = (n,) if i is None else (i, t)
+        if (t or "").split():
+            all_docs.setdefault(h, set()).add(who)
+        for x in {norm(x) for x in (t or "").split("\n")} - {""}:
+            have.setdefault((h, x), set()).add(who)
+    common = {k for k, v in have.items() if len(v) >= line_docs and len(v) >= line_share * len(all_docs[k[0]])}
+    out = []
+    for (i, t), h in zip(rows, hosts):
+        left = None if t is None else "\n".join(x for x in t.split("\n") if (h, norm(x)) not in common)
+        n, rest = len((t or "").split()), len((left or "").split())
+        out.append((key(i), left, rest, rest < n and (rest < 10 or rest < 0.1 * n)))
+    return out
+
+
+def test_lines_by_brute_force(make, odd):
+    rnd = random.Random(9)
+    shared = [f"Shared  LINE {i} of the site\twith {'some more ' * (i % 4)}words" for i in range(6)]
+    page = "a page that is copied\n" + sentence(31, 25) + "\n" + sentence(32, 25)
+    rows = odd + [(100 + i, page) for i in range(25)] + [(None, page)] * 3 + [(100, page)] * 30
+    rows += [(200 + i, "\n".join([shared[rnd.randrange(6)] for _ in range(rnd.randrange(5))] + [sentence(rnd.randrange(10**6), rnd.randrange(20)), ""])) for i in range(150)]
+    rows += [(400 + i, "few copies\n" + sentence(41, 30)) for i in range(12)]
+    docs = make(rows, source={i: None if i is None else f"h{i % 2}" for i, _ in rows})
+    hosts = ["" if i is None else f"h{i % 2}" for i, _ in rows]
+    want = brute_lines(rows, hosts, 8, 0.05)
+    got = lines.line_rules(docs, 8, 0.05).collect()
+    assert sorted((key(r["doc_id"]), r["words_left"], r["depleted"]) for r in got) == sorted((i, n, gone) for i, _, n, gone in want)
+    assert any(gone for *_, gone in want) and any(n and not gone and left != t for (_, left, n, gone), (_, t) in zip(want, rows))
+    cut = lines.remove_lines(docs, 8, 0.05)
+    assert cut.schema.names == docs.schema.names and lines.remove_lines(make([])).count() == 0
+    assert sorted((key(r["doc_id"]), r["text"] or "", r["words"]) for r in cut.collect()) == sorted((i, left or "", "x") for i, left, _, gone in want if not gone)
+
+
 def test_depleted_documents(make):
     same = "common line number 7 of this host with quite some words in it"
     rows = [(i, f"{same}\nshort tail {'w' * (i + 1)}") for i in range(30)] + [(50 + i, f"{same}\n{sentence(i, 30)}") for i in range(30)] + [(90, same)]
