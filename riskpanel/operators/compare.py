@@ -11,15 +11,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskpanel.functions.scalar import f_inv
 from riskpanel.operators.gram import explained, from_sums, gram_sums
+from riskpanel.session import cut_lineage
 
 
 def standardise(wide: DataFrame, cols: list[str], cutoff: int = 1) -> DataFrame:
@@ -191,45 +188,132 @@ def tournament(values: DataFrame, value: str) -> DataFrame:
     return _rescaled(x.select("label", (wins - losses).cast("double").alias("score")))
 
 
-def _features(wide: DataFrame, col: str, dummy: str, *more: str) -> DataFrame:
-    rows = wide.filter(F.col(col).isNotNull() & F.col(dummy).isNotNull()).select(F.col(dummy).cast("double").alias("y"), F.col(col).cast("double").alias("x"), *more)
-    return VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+def _stacked(wide: DataFrame, cols: list[str], dummy: str, *more: str) -> DataFrame:
+    """(label, x, y, ...): one row for each indicator of each row, without nulls; written once, since fits read it many times."""
+    rows = wide.select(F.col(dummy).cast("double").alias("y"), *more, F.explode(F.array(
+        *[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("x")) for c in cols])).alias("_s"))
+    return cut_lineage(rows.select("_s.label", "_s.x", "y", *more).filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
 
 
-def logit_mcfadden(wide: DataFrame, cols: list[str], dummy: str, adjusted: bool = False) -> DataFrame:
-    """(label, r2): pseudo R-squared of a logistic regression of the crisis dummy on each indicator.
+def logit_fits(rows: DataFrame, label: str = "label", rounds: int = 100, tol: float = 1e-10) -> DataFrame:
+    """(label, level, slope, ll, empty, n): a logistic regression of y on x for each label, all in the same Newton rounds.
 
-    One distributed fit for each of the indicators, whose number the analyst chooses and the data don't change.
+    A round is one aggregate: the sums of the gradient, the curvature and the likelihood of every label, summed before the
+    shuffle. The coefficients, two a label, come back with the next round. A step that lowers the likelihood is halved. A
+    label is done when the likelihood stands still within `tol`; one that is not done after `rounds` has null values.
+    Labels with one class only have null values. x is taken in units of its own mean and deviation meanwhile.
     """
+    spark = rows.sparkSession
+    shape = rows.groupBy(label).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.avg("y").alias("share"), F.count("*").alias("n")).collect()
+    state = {r[label]: {"b": np.zeros(2), "step": np.zeros(2), "ll": -np.inf, "m": r["m"], "s": r["s"] or 1.0, "share": r["share"], "n": r["n"]}
+             for r in shape if 0.0 < r["share"] < 1.0}
+    todo = set(state)
+    for _ in range(rounds):
+        if not todo:
+            break
+        now = spark.createDataFrame([(k, float(state[k]["m"]), float(state[k]["s"]), *map(float, state[k]["b"])) for k in sorted(todo)],
+                                    f"{label} string, m double, s double, b0 double, b1 double")
+        z = rows.join(now, label).withColumn("z", (F.col("x") - F.col("m")) / F.col("s")).withColumn("t", F.col("b0") + F.col("b1") * F.col("z"))
+        z = z.withColumn("p", 1.0 / (1.0 + F.exp(-F.col("t")))).withColumn("w", F.col("p") * (1.0 - F.col("p")))
+        # ln(1 + e^t) without overflow
+        soft = F.greatest("t", F.lit(0.0)) + F.log1p(F.exp(-F.abs("t")))
+        sums = z.groupBy(label).agg(F.sum(F.col("y") * F.col("t") - soft), F.sum(F.col("y") - F.col("p")), F.sum((F.col("y") - F.col("p")) * F.col("z")),
+                                    F.sum("w"), F.sum(F.col("w") * F.col("z")), F.sum(F.col("w") * F.col("z") * F.col("z")))
+        for key, ll, g0, g1, h00, h01, h11 in sums.collect():
+            own = state[key]
+            near = tol * max(1.0, abs(ll))
+            if ll < own["ll"] - near:
+                own["step"] = own["step"] / 2
+                own["b"] = own["b"] - own["step"]
+                continue
+            still, own["ll"], own["best"] = abs(ll - own["ll"]) <= near, ll, own["b"]
+            det = h00 * h11 - h01 * h01
+            if still or not det > 1e-300:
+                todo.discard(key)
+                continue
+            own["step"] = np.array([h11 * g0 - h01 * g1, h00 * g1 - h01 * g0]) / det
+            own["b"] = own["b"] + own["step"]
     out = []
-    for col in cols:
-        rows = _features(wide, col, dummy)
-        model = LogisticRegression(labelCol="y", maxIter=300, tol=1e-12, regParam=0.0, standardization=True).fit(rows)
-        p = F.least(F.greatest(vector_to_array("probability")[1], F.lit(1e-15)), F.lit(1 - 1e-15))
-        sums = model.transform(rows).agg(F.sum(F.when(F.col("y") == 1, F.ln(p)).otherwise(F.ln(1.0 - p))).alias("ll"), F.avg("y").alias("m"), F.count("y").alias("n"))
-        empty = F.col("n") * (F.col("m") * F.ln("m") + (1.0 - F.col("m")) * F.ln(1.0 - F.col("m")))
-        out.append(sums.select(F.lit(col).alias("label"), (1.0 - (F.col("ll") - (2.0 if adjusted else 0.0)) / empty).alias("r2")))
-    return reduce(DataFrame.unionByName, out)
+    for key, own in state.items():
+        if key not in todo:
+            slope = own["best"][1] / own["s"]
+            m = own["share"]
+            out.append((key, float(own["best"][0] - slope * own["m"]), float(slope), float(own["ll"]),
+                        float(own["n"] * (m * np.log(m) + (1 - m) * np.log(1 - m))), int(own["n"])))
+    fits = spark.createDataFrame(out, f"{label} string, level double, slope double, ll double, empty double, n long")
+    return spark.createDataFrame([(r[label],) for r in shape], f"{label} string").join(fits, label, "left")
+
+
+def logit_mcfadden(wide: DataFrame, cols: list[str], dummy: str, adjusted: bool = False) -> DataFrame:
+    """(label, r2): pseudo R-squared of a logistic regression of the crisis dummy on each indicator, fitted together."""
+    fits = logit_fits(_stacked(wide, cols, dummy))
+    return fits.select("label", (1.0 - (F.col("ll") - (2.0 if adjusted else 0.0)) / F.col("empty")).alias("r2"))
+
+
+def bin_sums(rows: DataFrame, bins: int = 128) -> DataFrame:
+    """(label, fold, bin, n, s, q): rows, sum and sum of squares of y in the quantile bins of each label's x.
+
+    Cuts are quantiles of all rows of the label, at most `bins` - 1 distinct ones; a value is in the bin of the first cut
+    that is not below it. So the result has at most labels x folds x bins rows, whatever the number of rows.
+    """
+    at = [i / bins for i in range(1, bins)]
+    cuts = rows.groupBy("label").agg(F.array_distinct(F.percentile_approx("x", F.array(*map(F.lit, at)), F.lit(100 * bins))).alias("cuts"))
+    place = rows.join(cuts, "label").withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col("x"))))
+    return place.groupBy("label", "fold", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+
+
+def tree_leaves(n: np.ndarray, s: np.ndarray, depth: int = 8, least: int = 5) -> np.ndarray:
+    """The prediction for each bin of a regression tree on one variable, from rows and sums of y by bin in order.
+
+    A node is cut where the squared error falls most, if it falls, with at least `least` rows on each side.
+    """
+    out = np.full(len(n), s.sum() / max(n.sum(), 1))
+    nodes = [(0, len(n), depth)]
+    while nodes:
+        lo, hi, left = nodes.pop()
+        rows, total = n[lo:hi].sum(), s[lo:hi].sum()
+        if rows:
+            out[lo:hi] = total / rows
+        if not left or hi - lo < 2:
+            continue
+        a, b = np.cumsum(n[lo:hi])[:-1], np.cumsum(s[lo:hi])[:-1]
+        fits = (a >= least) & (rows - a >= least)
+        if not fits.any():
+            continue
+        gain = np.where(fits, b * b / np.maximum(a, 1) + (total - b) ** 2 / np.maximum(rows - a, 1) - total * total / rows, -np.inf)
+        cut = int(np.argmax(gain))
+        if gain[cut] > 1e-12:
+            nodes += [(lo, lo + cut + 1, left - 1), (lo + cut + 1, hi, left - 1)]
+    return out
 
 
 def predictive_power(wide: DataFrame, cols: list[str], dummy: str, folds: int = 4) -> DataFrame:
     """(label, pps): 1 - cross-validated loss of a regression tree over the loss of the median, floored at 0.
 
-    Folds hash the row number; one distributed fit for each indicator and fold.
+    Folds hash the row number. One aggregate gathers sums by (indicator, fold, quantile bin); trees and their losses
+    follow from these sums, of which an indicator has at most folds x bins. The loss is the mean of the folds' losses.
     """
-    out = []
-    for col in cols:
-        rows = _features(wide.withColumn("fold", F.pmod(F.xxhash64("idx"), F.lit(folds))), col, dummy, "fold")
-        losses = []
+    rows = _stacked(wide.withColumn("fold", F.pmod(F.xxhash64("idx"), F.lit(folds))), cols, dummy, "fold")
+
+    def losses(part: pd.DataFrame) -> pd.DataFrame:
+        size = int(part["bin"].max()) + 1
+        sums = np.zeros((3, folds, size))
+        for i, name in enumerate(("n", "s", "q")):
+            sums[i, part["fold"].to_numpy(int), part["bin"].to_numpy(int)] = part[name].to_numpy(float)
+        found = []
         for fold in range(folds):
-            tree = DecisionTreeRegressor(labelCol="y", maxDepth=8, maxBins=128, minInstancesPerNode=5, seed=1).fit(rows.filter(F.col("fold") != fold))
-            losses.append(tree.transform(rows.filter(F.col("fold") == fold)).select(F.lit(fold).alias("fold"), F.pow(F.col("y") - F.col("prediction"), 2.0).alias("e")))
-        loss = reduce(DataFrame.unionByName, losses).groupBy("fold").agg(F.avg("e").alias("e")).agg(F.avg("e").alias("loss"))
-        middle = rows.agg(F.percentile("y", F.lit(0.5)).alias("m")).scalar()
-        base = rows.withColumn("m", middle).agg(F.avg(F.pow(F.col("y") - F.col("m"), 2.0)).alias("base")).scalar()
-        share = F.when((F.col("base") > 0) & (F.col("loss") <= F.col("base")), 1.0 - F.col("loss") / F.col("base")).otherwise(0.0)
-        out.append(loss.withColumn("base", base).select(F.lit(col).alias("label"), share.alias("pps")))
-    return reduce(DataFrame.unionByName, out)
+            own, rest = sums[:, fold], sums[:, np.arange(folds) != fold].sum(axis=1)
+            if own[0].sum() and rest[0].sum():
+                leaf = tree_leaves(rest[0], rest[1])
+                found.append((own[2] - 2.0 * leaf * own[1] + leaf * leaf * own[0]).sum() / own[0].sum())
+        return pd.DataFrame({"label": [part["label"].iloc[0]], "loss": [float(np.mean(found)) if found else None]})
+
+    loss = bin_sums(rows).groupBy("label").applyInPandas(losses, "label string, loss double")
+    # the median m and the mean square about it, from one aggregate
+    base = rows.groupBy("label").agg(F.percentile("y", F.lit(0.5)).alias("m"), F.avg("y").alias("a"), F.avg(F.col("y") * F.col("y")).alias("q"))
+    base = base.select("label", (F.col("q") - 2.0 * F.col("m") * F.col("a") + F.col("m") * F.col("m")).alias("base"))
+    share = F.when((F.col("base") > 0) & (F.col("loss") <= F.col("base")), 1.0 - F.col("loss") / F.col("base")).otherwise(0.0)
+    return loss.join(base, "label").select("label", share.alias("pps"))
 
 
 def autoregression_lag(pairs: DataFrame, lag_max: int, kind: str) -> DataFrame:

@@ -639,6 +639,52 @@ def test_predictive_power_of_a_step(spark):
     assert got[("step",)] > 0.95 and got[("noise",)] < 0.3
 
 
+def test_logit_of_odd_labels(spark):
+    """One class only, classes that x separates, x without spread, nulls, and a far outlier that makes plain steps overshoot."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, float(i % 2), float(i % 2), 1.0, None if i % 3 else float(i % 7), 1e4 if i == 0 else float(rnd.normal())) for i in range(200)]
+    wide = spark.createDataFrame(rows, "idx long, crisis double, same double, flat double, gaps double, far double")
+    cols = ["same", "flat", "gaps", "far"]
+    got = keyed(compare.logit_mcfadden(wide, cols, "crisis").collect(), "r2", "label")
+    assert got[("same",)] > 0.999999 and abs(got[("flat",)]) < 1e-9 and 0 <= got[("gaps",)] < 0.1 and 0 <= got[("far",)] < 1
+    none = keyed(compare.logit_mcfadden(wide.withColumn("crisis", F.lit(0.0)), cols, "crisis").collect(), "r2", "label")
+    assert list(none.values()) == [None] * 4
+    assert compare.logit_mcfadden(wide.limit(0), cols, "crisis").count() == 0
+
+
+def brute_tree(bins, y, depth, least):
+    """Predictions of a greedy regression tree by trying each cut on the rows themselves."""
+    out = np.full(len(y), y.mean())
+    best, cut = 1e-12, None
+    for c in sorted(set(bins))[:-1]:
+        low = bins <= c
+        if depth and min(low.sum(), (~low).sum()) >= least:
+            gain = ((y - y.mean()) ** 2).sum() - ((y[low] - y[low].mean()) ** 2).sum() - ((y[~low] - y[~low].mean()) ** 2).sum()
+            if gain > best + 1e-9:
+                best, cut = gain, c
+    if cut is not None:
+        for side in (bins <= cut, bins > cut):
+            out[side] = brute_tree(bins[side], y[side], depth - 1, least)
+    return out
+
+
+def test_tree_from_sums_by_brute_force():
+    rnd = np.random.default_rng(6)
+    for depth in (1, 3, 8):
+        bins = rnd.integers(0, 40, 500)
+        y = np.sin(bins / 6.0) + rnd.normal(size=500)
+        n, s = np.bincount(bins, minlength=40).astype(float), np.bincount(bins, weights=y, minlength=40)
+        assert np.allclose(compare.tree_leaves(n, s, depth, 5)[bins], brute_tree(bins, y, depth, 5))
+
+
+def test_predictive_power_reads_sums_only(spark):
+    rows = [(i, float(i % 97), float(i % 2)) for i in range(3000)]
+    wide = spark.createDataFrame(rows, "idx long, a double, crisis double").withColumn("fold", F.col("idx") % 4)
+    sums = compare.bin_sums(compare._stacked(wide, ["a"], "crisis", "fold"), 16)
+    assert sums.count() <= 4 * 16 and sums.agg(F.sum("n"), F.sum("s")).first()[:] == (3000, 1500.0)
+    assert compare.predictive_power(wide.limit(0), ["a"], "crisis").count() == 0
+
+
 def test_price_discovery_shares(wide):
     df, cols = wide
     for kind in ("GG", "H"):
