@@ -206,7 +206,11 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids, decoded: `encode` and `decode` in one pass, so that ids need not leave the worker in between."""
+    """doc_id, ids, decoded: `encode` and `decode` in one pass, so that ids need not leave the worker in between.
+
+    Null and empty texts have no ids. Null ids of documents and repeated rows stay; other columns are not read, so none
+    can clash. An empty table gives an empty table.
+    """
     shared = share_codec(docs.sparkSession, ranks_path, pattern)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +224,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Count and digests of the ids of every text and of the bytes that they decode to."""
+    """doc_id, n_tokens and digests of the ids of every text and of the bytes that they decode to; odd rows as in round_trip."""
     both = round_trip(docs, ranks_path, pattern)
     return both.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -233,7 +233,11 @@ def masked(text: str, spans: list[dict]) -> str:
 
 
 def mask(docs: DataFrame, add_from: float = ADD_FROM) -> DataFrame:
-    """The rows of `docs` with personal data in `text` replaced; null texts stay null, other columns are as they were."""
+    """The rows of `docs` with personal data in `text` replaced; null texts stay null, other columns are as they were.
+
+    The span classifier is trained on `docs`. Empty texts stay empty, null ids and repeated rows stay; of spans that
+    overlap, the first gives the mask. Whole texts are read. An empty table gives an empty table.
+    """
     spans = _decide(train(text_rows(docs)), add_from)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

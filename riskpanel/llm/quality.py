@@ -144,7 +144,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep_from: float = K
 
 
 def keep_good(docs: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows of `docs` whose text scores enough, unchanged and with all their columns."""
+    """The rows of `docs` whose text scores enough, unchanged and with all their columns, of any name.
+
+    The scorer is trained on `docs`. Null, empty and blank texts go; whole texts count, however long. Rows with a null id
+    are judged by their text, and repeated rows alike, so all or none of them stay. An empty table gives an empty table.
+    """
     weight, bias = train(docs)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
