@@ -6,7 +6,6 @@ that row, so nothing is joined; a pair's task holds one value pair per calendar
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
