@@ -42,18 +42,20 @@ def _filter(x: np.ndarray, cand: np.ndarray, k: int):
     return loss, np.array(prob), np.array(kept)
 
 
+# Fixed values of the measured model: multiples of the variance by state, the least distance of a mean from 0, and how far
+# the outer means of four states lie beyond the means of the losses and of the gains.
+SPREADS = {2: (1.5, 0.5), 3: (1.5, 1.0, 0.5), 4: (2.0, 1.5, 1.0, 0.5)}
+LEAST_MEAN = 2e-6
+BEYOND = 1.25
+
+
 def start_values(x: np.ndarray, k: int):
     """Variances and means the fit is built around."""
-    v = x.var(ddof=1)
-    low = min(x[x < 0].mean() if (x < 0).any() else 0.0, -2e-6)
-    high = max(x[x > 0].mean() if (x > 0).any() else 0.0, 2e-6)
-    if k == 2:
-        return v * np.array([1.5, 0.5]), np.array([low, high])
-    if k == 3:
-        mid = x.mean()
-        mid = mid if low < mid < high else (low + high) / 2
-        return v * np.array([1.5, 1.0, 0.5]), np.array([low, mid, high])
-    return v * np.array([2.0, 1.5, 1.0, 0.5]), np.array([-1.25 * abs(low), high, low, 1.25 * high])
+    low = min(x[x < 0].mean() if (x < 0).any() else 0.0, -LEAST_MEAN)
+    high = max(x[x > 0].mean() if (x > 0).any() else 0.0, LEAST_MEAN)
+    mid = x.mean() if low < x.mean() < high else (low + high) / 2
+    means = {2: [low, high], 3: [low, mid, high], 4: [-BEYOND * abs(low), high, low, BEYOND * high]}
+    return x.var(ddof=1) * np.array(SPREADS[k]), np.array(means[k])
 
 
 def given_parameters(df: DataFrame, value: str = "r", stay: float = 0.9) -> DataFrame:

@@ -639,6 +639,20 @@ def test_predictive_power_of_a_step(spark):
     assert got[("step",)] > 0.95 and got[("noise",)] < 0.3
 
 
+def test_fixed_points_that_do_not_settle_are_null(spark):
+    rnd = np.random.default_rng(4)
+    rows = [("a", i, float(c), 50.0, 0.02) for i, c in enumerate(100 * np.exp(np.cumsum(rnd.normal(0, 0.02, 60))))]
+    df = spark.createDataFrame(rows, "entity string, idx long, cap double, db double, rf double")
+    done, cut = (default.kmv_assets(df, rounds=n).collect() for n in (10_000, 1))
+    assert len(done) == len(cut) == 60 and all(r.va > 100 for r in done)
+    assert all(v is None for r in cut for v in (r.va, r.va_s, r.va_g, r.va_k))
+    base = rnd.normal(size=(80, 1))
+    panel = [(f"e{j}", i, float(v)) for i, line in enumerate(base + rnd.normal(size=(80, 5)) * 0.3, 1) for j, v in enumerate(line)]
+    returns = spark.createDataFrame(panel, "entity string, idx long, r double")
+    settled, stopped = (default.factor_loadings(returns, 60, 1, rounds=n).collect() for n in (100, 1))
+    assert len(settled) == len(stopped) and all(r.loading is not None for r in settled) and all(r.loading is None for r in stopped)
+
+
 def test_logit_of_odd_labels(spark):
     """One class only, classes that x separates, x without spread, nulls, and a far outlier that makes plain steps overshoot."""
     rnd = np.random.default_rng(5)
