@@ -226,3 +226,27 @@ def test_block_length_deals_out_rows_and_not_pairs(spark):
     assert got.keys() == {"a", "b"}
     for e, v in got.items():
         assert math.isclose(v, length([r for r in rows if r[0] == e]), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_causal_links_of_all_pairs_at_once(monkeypatch, same):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(52, 60))
+    x[1:, 1] = x[:-1, 0]  # led
+    x[:, 2], x[:, 3], x[:, 4] = x[:, 0], 2 * x[:, 0], x[:, 0] + 1e-9 * x[:, 5]  # equal, collinear, nearly so
+    x[:, 6], x[7, 7], x[:, 8] = 0.0, np.nan, 0.9 ** np.arange(52)  # nothing, a gap, its own past alone
+    x[:, 9], x[:, 10] = 0.0, 0.0
+    x[5, 9], x[51, 10] = 1.0, 1.0
+    block = blocks.Block.__new__(blocks.Block)
+    block.x, block.names, block.same = x, np.array([f"n{i}" for i in range(60)]), same
+    block.left, block.right = (np.arange(60), np.arange(60)) if same else (np.arange(0, 60, 2), np.arange(1, 60, 2))
+    cut, looked = 1.6448536269514722, []
+    pairs = [np.repeat(block.left, len(block.right)), np.tile(block.right, len(block.left))]
+    with np.errstate(all="ignore"):
+        want = network._tested(x, *pairs, cut, False), network._tested(x, *pairs[::-1], cut, False)
+    whole = network._regression
+    monkeypatch.setattr(network, "_regression", lambda y, o, i: looked.append(y.shape[1]) or whole(y, o, i))
+    to, back = network._links(block, 0, 52, cut, False)
+    shape = (len(block.left), len(block.right))
+    assert (to == want[0].reshape(shape)).all() and (back == want[1].reshape(shape)).all() and to.sum() + back.sum() > 50
+    assert sum(looked) < 0.1 * to.size
