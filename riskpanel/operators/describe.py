@@ -95,51 +95,58 @@ def _scores(df: DataFrame, value: str) -> DataFrame:
     return ranked.withColumn("m", norm_inv((F.col("i") - 0.375) / (F.col("n") + 0.25)))
 
 
-def shapiro_francia(df: DataFrame, value: str) -> DataFrame:
-    s = _scores(df, value).groupBy("entity").agg(
-        F.first("n").alias("n"), F.sum(F.col("m") * F.col("x")).alias("mx"), F.sum(F.col("m") * F.col("m")).alias("mm"),
-        (F.var_pop("x") * F.count("x")).alias("xx"))
+def _sums(df: DataFrame, value: str) -> DataFrame:
+    """One row per series: what both forms of the test read, and whether its kurtosis is above 3."""
+    n, i, m, x = F.col("n"), F.col("i"), F.col("m"), F.col("x")
+    edge = (i <= 2) | (i >= n - 1)
+    return _scores(df, value).groupBy("entity").agg(
+        F.first("n").alias("n"), F.sum(m * m).alias("mm"), (F.var_pop("x") * F.count("x")).alias("xx"), F.sum(m * x).alias("mx"),
+        F.sum(F.when(~edge, m * x).otherwise(0.0)).alias("inner"), F.max("m").alias("ml"), F.max(F.when(i == n - 1, m)).alias("ms"),
+        (F.max("x") - F.min("x")).alias("dl"), (F.max(F.when(i == n - 1, x)) - F.max(F.when(i == 2, x))).alias("ds"),
+        (F.kurtosis("x") > 0).alias("heavy"))
+
+
+def _francia() -> Column:
     k = F.col("mx") * F.col("mx") / (F.col("mm") * F.col("xx"))
     nu = F.ln("n")
     mean = FRANCIA_MEAN[0] + FRANCIA_MEAN[1] * (F.ln(nu) - nu)
     sigma = FRANCIA_SIGMA[0] + FRANCIA_SIGMA[1] * (F.ln(nu) + 2.0 / nu)
-    out = s.withColumn("stat", (F.ln(1.0 - k) - mean) / sigma)
-    return out.select("entity", "n", "stat", (1.0 - norm_cdf(F.col("stat"))).alias("p_value"))
+    return (F.ln(1.0 - k) - mean) / sigma
 
 
-def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
-    """Series of at least 5 values; shorter ones give no row. With 5 only the outermost weights are corrected."""
-    n, i = F.col("n"), F.col("i")
-    edge = (i <= 2) | (i >= n - 1)
-    s = _scores(df, value).filter("n >= 5").groupBy("entity").agg(
-        F.first("n").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"),
-        F.max("m").alias("ml"), F.max(F.when(i == n - 1, F.col("m"))).alias("ms"),
-        F.sum(F.when(~edge, F.col("m") * F.col("x")).otherwise(0.0)).alias("mx"),
-        (F.max("x") - F.min("x")).alias("dl"),
-        (F.max(F.when(i == n - 1, F.col("x"))) - F.max(F.when(i == 2, F.col("x")))).alias("ds"),
-        (F.var_pop("x") * F.count("x")).alias("xx"))
+def _wilk() -> Column:
+    n, mm, ml, ms = F.col("n"), F.col("mm"), F.col("ml"), F.col("ms")
     u = 1.0 / F.sqrt("n")
     norm = F.sqrt("mm")
-    s = s.withColumns({"wl": horner(u, WEIGHT_LAST) * u + F.col("ml") / norm,
-                       "ws": horner(u, WEIGHT_SECOND) * u + F.col("ms") / norm})
-    phi = (F.col("mm") - 2 * F.col("ml") ** 2 - 2 * F.col("ms") ** 2) / (1 - 2 * F.col("wl") ** 2 - 2 * F.col("ws") ** 2)
-    outer = (F.col("mm") - 2 * F.col("ml") ** 2) / (1 - 2 * F.col("wl") ** 2)
-    both = F.col("ws") * F.col("ds") + F.col("mx") / F.sqrt(phi)
-    total = F.col("wl") * F.col("dl") + F.when(n > 5, both).otherwise((F.col("ms") * F.col("ds") + F.col("mx")) / F.sqrt(outer))
-    s = s.withColumn("k", total * total / F.col("xx"))
+    wl, ws = horner(u, WEIGHT_LAST) * u + ml / norm, horner(u, WEIGHT_SECOND) * u + ms / norm
+    phi = (mm - 2 * ml ** 2 - 2 * ms ** 2) / (1 - 2 * wl ** 2 - 2 * ws ** 2)
+    outer = (mm - 2 * ml ** 2) / (1 - 2 * wl ** 2)
+    both = ws * F.col("ds") + F.col("inner") / F.sqrt(phi)
+    total = wl * F.col("dl") + F.when(n > 5, both).otherwise((ms * F.col("ds") + F.col("inner")) / F.sqrt(outer))
+    k = total * total / F.col("xx")
     ln = F.ln("n")
-    small = (-F.ln(horner(n, SMALL_GAMMA) - F.ln(1.0 - F.col("k"))) - horner(n, SMALL_MEAN)) / F.exp(horner(n, SMALL_SIGMA))
-    large = (F.ln(1.0 - F.col("k")) - horner(ln, LARGE_MEAN)) / F.exp(horner(ln, LARGE_SIGMA))
-    out = s.withColumn("stat", F.when(n <= 11, small).otherwise(large))
+    small = (-F.ln(horner(n, SMALL_GAMMA) - F.ln(1.0 - k)) - horner(n, SMALL_MEAN)) / F.exp(horner(n, SMALL_SIGMA))
+    large = (F.ln(1.0 - k) - horner(ln, LARGE_MEAN)) / F.exp(horner(ln, LARGE_SIGMA))
+    return F.when(n <= 11, small).otherwise(large)
+
+
+def shapiro_francia(df: DataFrame, value: str) -> DataFrame:
+    out = _sums(df, value).withColumn("stat", _francia())
+    return out.select("entity", "n", "stat", (1.0 - norm_cdf(F.col("stat"))).alias("p_value"))
+
+
+def shapiro_wilk(df: DataFrame, value: str) -> DataFrame:
+    """Series of at least 5 values; shorter ones give no row. With 5 only the outermost weights are corrected."""
+    out = _sums(df, value).filter("n >= 5").withColumn("stat", _wilk())
     return out.select("entity", "n", "stat", (1.0 - norm_cdf(F.col("stat"))).alias("p_value"))
 
 
 def shapiro_test(df: DataFrame, value: str, a: float = 0.05) -> DataFrame:
-    """Francia form for series with kurtosis above 3, Wilk form for the others."""
-    heavy = df.groupBy("entity").agg((F.kurtosis(value) > 0).alias("heavy"))
-    f = shapiro_francia(df, value).withColumn("heavy", F.lit(True))
-    s = shapiro_wilk(df, value).withColumn("heavy", F.lit(False))
-    return f.unionByName(s).join(heavy, ["entity", "heavy"]).withColumn("rejected", F.col("p_value") <= a)
+    """Francia form for series with kurtosis above 3, Wilk form for the others; both from one pass over the ranked values."""
+    s = _sums(df, value).filter("entity is not null and (heavy or (not heavy and n >= 5))")
+    out = s.withColumn("stat", F.when(F.col("heavy"), _francia()).otherwise(_wilk()))
+    out = out.select("entity", "heavy", "n", "stat", (1.0 - norm_cdf(F.col("stat"))).alias("p_value"))
+    return out.withColumn("rejected", F.col("p_value") <= a)
 
 
 def ljung_box(df: DataFrame, value: str, lags: int = 20) -> DataFrame:

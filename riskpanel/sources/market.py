@@ -6,6 +6,8 @@ ordered or windowed, so a key that holds a third of the raw rows still becomes o
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from riskpanel.operators.transforms import log_returns
 from riskpanel.session import cut_lineage, ship_package
 
 
+#: Rows of a dense panel in one task, about: its windows sort them several times.
+TASK_ROWS = 250_000
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -21,13 +27,16 @@ def period_start(ts: Column, unit: str) -> Column:
     return F.to_date(F.date_trunc(unit, ts))
 
 
-def densify(obs: DataFrame, calendar: DataFrame, step_days: int, held: list[str], flows: list[str]) -> DataFrame:
+def densify(obs: DataFrame, calendar: DataFrame, step_days: int, held: list[str], flows: list[str],
+            parts: int | None = None) -> DataFrame:
     """Complete the calendar of every entity.
 
     Each observation covers the periods up to the next one of its entity (the first also covers those
     before it): held values are carried, flows are zero in the covered gaps. One shuffle by entity, no
-    grid join. `calendar` is a one-row frame with `lo` and `hi`.
+    grid join. `calendar` is a one-row frame with `lo` and `hi`. The rows that travel are those before the gaps are filled,
+    so their size says little about the panel's: `parts` is the number of tasks to deal the entities to.
     """
+    obs = obs.repartition(parts, "entity") if parts else obs
     w = Window.partitionBy("entity").orderBy("date")
     lo, hi = calendar.select("lo").scalar(), calendar.select("hi").scalar()
     step = F.expr(f"interval {step_days} days")
@@ -56,6 +65,7 @@ class Market:
         self.spark, self.folder = spark, folder
         ship_package(spark)
         self._observations: dict[tuple[str, str], DataFrame] = {}
+        self._dealt: dict[tuple[str, str], int | None] = {}
 
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, self.folder, name)
@@ -91,11 +101,19 @@ class Market:
         return self._aggregate(by, unit).filter("entity is not null").select(
             "entity", "date", (F.col("volume") / F.col("quantity")).alias("price"), "volume", "cap", "cds")
 
+    def _parts(self, by: str, unit: str, days: int) -> int | None:
+        """Tasks for the dense panel, from its entities and periods; None where one is enough, and Spark may choose."""
+        if (by, unit) not in self._dealt:
+            n, span = self._aggregate(by, unit).agg(F.approx_count_distinct("entity"), F.datediff(F.max("date"), F.min("date"))).first()
+            parts = math.ceil(n * ((span or 0) / days + 1) / TASK_ROWS)
+            self._dealt[by, unit] = max(parts, int(self.spark.conf.get("spark.sql.shuffle.partitions"))) if parts > 1 else None
+        return self._dealt[by, unit]
+
     def panel(self, by: str = "brand", unit: str = "week") -> DataFrame:
         """Dense panel: entity, date, idx, price, cap, cds, volume."""
         days = {"week": 7, "day": 1}[unit]
         obs = self.observations(by, unit)
-        return densify(obs, self.calendar(unit), days, ["price", "cap", "cds"], ["volume"])
+        return densify(obs, self.calendar(unit), days, ["price", "cap", "cds"], ["volume"], self._parts(by, unit, days))
 
     def returns(self, by: str = "brand", unit: str = "week") -> DataFrame:
         return log_returns(self.panel(by, unit))

@@ -250,3 +250,18 @@ def test_causal_links_of_all_pairs_at_once(monkeypatch, same):
     shape = (len(block.left), len(block.right))
     assert (to == want[0].reshape(shape)).all() and (back == want[1].reshape(shape)).all() and to.sum() + back.sum() > 50
     assert sum(looked) < 0.1 * to.size
+
+
+def test_shapiro_ranks_once_and_panels_are_dealt_by_their_dense_rows(spark, monkeypatch):
+    from riskpanel.operators import describe
+    from riskpanel.sources import market
+    small = "/root/testdata/sf0.001"
+    one = market.Market(spark, small)
+    out = describe.shapiro_test(one.returns("supplier"), "r")
+    assert _plan(out).count("row_number") <= _plan(describe.shapiro_francia(one.returns("supplier"), "r")).count("row_number")
+    monkeypatch.setattr(market, "TASK_ROWS", 200)
+    many = market.Market(spark, small)
+    assert "REPARTITION_BY_NUM" in _plan(many.panel("supplier")) and "REPARTITION_BY_NUM" not in _plan(one.panel("supplier"))
+    rows = many.panel("supplier").count()
+    assert many._parts("supplier", "week", 7) >= rows // 200 and rows == one.panel("supplier").count()
+    assert sorted(describe.shapiro_test(many.returns("supplier"), "r").collect()) == sorted(out.collect())
