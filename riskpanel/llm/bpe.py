@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.llm.common import Memo, map_rows, table, text_rows, texts
+from riskpanel.llm.common import Memo, kept_for, map_rows, table, text_rows, texts
 
 LEAF_BYTES = 64
 LEAF_CHARS = 1 << 15
@@ -150,7 +150,8 @@ class Codec:
         return self.decode(packed[:half]) + self.decode(packed[half:])
 
 
-_CODECS: dict[str, Codec] = {}
+#: Name of the work that codecs are kept for.
+CODECS = "byte_bpe"
 
 
 class _Shared:
@@ -163,11 +164,12 @@ class _Shared:
 
 
 def _codec(shared: _Shared) -> Codec:
-    """One codec per worker process, kept while the ranks, the pattern and the width are the same."""
-    if shared.key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[shared.key] = Codec(*shared.broadcast.value)
-    return _CODECS[shared.key]
+    """One codec per worker process, kept while its tasks encode or decode with the same ranks, pattern and width."""
+    codecs = kept_for(CODECS)
+    if shared.key not in codecs:
+        codecs.clear()
+        codecs[shared.key] = Codec(*shared.broadcast.value)
+    return codecs[shared.key]
 
 
 def share_codec(spark: SparkSession, ranks_path: str, pattern: str, width: str = "I") -> _Shared:
@@ -189,7 +191,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             ids = pa.array((codec.encode(t) for t in texts(batch)), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
 
-    return map_rows(text_rows(docs), work, "doc_id long, ids binary")
+    return map_rows(text_rows(docs), work, "doc_id long, ids binary", CODECS)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -202,7 +204,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             out = pa.array((codec.decode(v.as_py() or b"") for v in batch.column("ids")), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), out], ["doc_id", "ids", "decoded"])
 
-    return map_rows(encoded.select("doc_id", "ids"), work, "doc_id long, ids binary, decoded binary")
+    return map_rows(encoded.select("doc_id", "ids"), work, "doc_id long, ids binary, decoded binary", CODECS)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -220,7 +222,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             decoded = pa.array((codec.decode(v) for v in ids), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), decoded], ["doc_id", "ids", "decoded"])
 
-    return map_rows(text_rows(docs), work, "doc_id long, ids binary, decoded binary")
+    return map_rows(text_rows(docs), work, "doc_id long, ids binary, decoded binary", CODECS)
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskpanel.llm.bpe import _codec, share_codec
+from riskpanel.llm.bpe import CODECS, _codec, share_codec
 from riskpanel.llm.common import map_rows, shared_folder, table, text_rows, texts, written
 from riskpanel.llm.windows import mixed
 
@@ -60,7 +60,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, stride: int) -> Data
                 [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(first, pa.int64()), pa.array([part] * len(ids), pa.int64())],
                 ["doc_id", "ids", "n_tokens", "first", "part"])
 
-    return map_rows(text_rows(docs), work, "doc_id long, ids binary, n_tokens long, first long, part long")
+    return map_rows(text_rows(docs), work, "doc_id long, ids binary, n_tokens long, first long, part long", CODECS)
 
 
 def training_order(docs: DataFrame, ranks_path: str, pattern: str, path: str, stride: int = STRIDE, shard_sequences: int = SHARD_SEQUENCES,

@@ -7,11 +7,12 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 import tiktoken
 
-from riskpanel.llm import bpe, langid, ordering, pii, quality, weak
+from riskpanel.llm import bpe, common, langid, ordering, pii, quality, weak
 from riskpanel.llm.common import shared_folder
 from tests.llm.conftest import sentence
 
@@ -242,3 +243,15 @@ def test_span_sample_is_bounded(make, monkeypatch):
 def test_signs_that_are_no_letters():
     known = langid.Languages({"en": (b"the river was calm", 3), "de": (b"der fluss war still", 2)})
     assert known.predict("12 \u00bd \u00b2 \u2460")[0] == "und" and known.predict("12 \u00bd river")[0] != "und"
+
+
+def test_workers_forget_codecs_when_other_work_begins(spark):
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(8)], "doc_id long, text string").repartition(4)
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(common.KEPT)], pa.int64())], ["kept"])
+
+    bpe.token_digests(docs, RANKS, PATTERN).collect()
+    assert {r.kept for r in common.map_rows(docs, count, "kept long", bpe.CODECS).collect()} == {1}
+    assert {r.kept for r in common.map_rows(docs, count, "kept long").collect()} == {0}
