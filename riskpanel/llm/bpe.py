@@ -6,10 +6,15 @@ import base64
 import hashlib
 import re
 import struct
+import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, partial
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +26,7 @@ LEAF_BYTES = 64
 LEAF_CHARS = 1 << 15
 DECODE_LEAF = 1 << 16
 KNOWN_PIECES = 500_000
+BLOCK_CHARS = 1 << 22
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -54,11 +60,48 @@ def ascii_form(pattern: str) -> re.Pattern | None:
         return None
 
 
+#: The pattern whose matches follow from classes of characters, by `run_starts`.
+RUNS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LETTER, NUMBER, SIGN, WHITE, END = range(5)
+
+
+def character_classes() -> np.ndarray:
+    """LETTER, NUMBER, SIGN or WHITE for each code point, as the regex library has them."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    out = np.full(len(every), SIGN, np.uint8)
+    for kind, name in ((LETTER, "L"), (NUMBER, "N"), (WHITE, "White_Space")):
+        for found in regex.finditer(rf"\p{{{name}}}+", every):
+            out[found.start():found.end()] = kind
+    return out
+
+
+def run_starts(points: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Whether a match of RUNS begins at each character of texts that end in a line break of class END, a match of its own.
+
+    A match begins where the class changes, but not behind a space that a run takes along, and at the last of several
+    white characters before a run. An apostrophe at a match's beginning that s, t, re, ve, m, ll or d follow ends with them.
+    """
+    white, run = kinds == WHITE, kinds < WHITE
+    out = np.ones(len(kinds), bool)
+    out[1:] = (kinds[1:] != kinds[:-1]) & ~((points[:-1] == ord(" ")) & run[1:])
+    out[1:-1] |= white[:-2] & white[1:-1] & run[2:]
+    out[kinds == END] = True
+    quotes = np.flatnonzero((points == ord("'")) & out)
+    one, two = points[quotes + 1], points[np.minimum(quotes + 2, len(points) - 1)]
+    r, v, l, e = map(ord, "rvle")
+    by_one = np.isin(one, list(map(ord, "stmd")))
+    by_two = ((one == r) | (one == v)) & (two == e) | (one == l) & (two == l)
+    out[quotes[by_one | by_two] + 1] = False
+    out[quotes[by_one] + 2] = True
+    out[quotes[by_two] + 3] = True
+    return out
+
+
 class Codec:
     """Encoder and decoder for one table of ranks and one pattern. Ids are unsigned, of 32 bits, or 16 with the width H."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, width: str = "I"):
-        self.ranks, self.width = ranks, width
+        self.ranks, self.pattern, self.width = ranks, pattern, width
         self.bytes_of = {i: b for b, i in ranks.items()}
         # \s of the regex library also differs between versions in the control separators; the Unicode property does not
         spaced = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
@@ -141,6 +184,84 @@ class Codec:
         """Ids as little-endian unsigned integers of the codec's width."""
         return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
+    # many texts
+
+    @cached_property
+    def classes(self) -> np.ndarray:
+        return character_classes()
+
+    @cached_property
+    def merge_apart(self) -> Callable[[str], np.ndarray]:
+        """Ids of short matches that zero characters set apart, by one call of the library's merge loop."""
+        apart = tiktoken.Encoding("apart", pat_str=r"[^\x00]+", mergeable_ranks=self.ranks, special_tokens={})
+        return partial(apart.encode_to_numpy, disallowed_special=())
+
+    @cached_property
+    def bytes_in(self) -> np.ndarray:
+        """Number of bytes by id."""
+        out = np.zeros(max(self.bytes_of) + 1, np.int64)
+        out[list(self.bytes_of)] = list(map(len, self.bytes_of.values()))
+        return out
+
+    def matches(self, block: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """Matches of the pattern in all texts of a block one after the other, and how many of them each text has."""
+        if self.pattern != RUNS:
+            found = [self.pieces(text) for text in block]
+            return pa.array(chain.from_iterable(found), pa.large_string()), np.array([len(f) for f in found], np.int64)
+        whole, data = "\n".join([*block, ""]), "".join(block).encode()
+        ascii_only = len(data) + len(block) == len(whole)
+        points = np.frombuffer(whole.encode(), np.uint8) if ascii_only else np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        kinds, ends = self.classes[points], np.cumsum([len(text) + 1 for text in block]) - 1
+        kinds[ends] = END
+        begin = np.flatnonzero(run_starts(points, kinds))
+        last = np.searchsorted(begin, ends)
+        counts = np.diff(last, prepend=-1) - 1
+        begin = np.delete(begin, last) - np.repeat(np.arange(len(block)), counts)  # without the line breaks
+        if not ascii_only:
+            begin = np.flatnonzero(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)[begin]
+        offsets = np.append(begin, len(data)).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(data)), counts
+
+    def pack_all(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """`pack` of each match. Short ones are merged together and told apart again by their bytes; the others by the tree."""
+        sizes = pc.binary_length(pieces).to_numpy()
+        alone = (sizes > LEAF_BYTES) | pc.match_substring(pieces, "\0").to_numpy(zero_copy_only=False)
+        bounds = np.cumsum(sizes[~alone])
+        zero, none = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
+        apart = pc.binary_join_element_wise(pieces.filter(pa.array(~alone)), none, zero)  # a zero character after each
+        ids = self.merge_apart(str(apart.buffers()[2][:bounds[-1] + len(bounds)], "utf-8") if len(bounds) else "")
+        if len(ids) and ids.max() > np.iinfo(self.width).max:
+            raise ValueError(f"id {ids.max()} does not fit the codec's width")
+        ids = ids.astype(self.width)
+        offsets = np.append(0, (np.searchsorted(np.cumsum(self.bytes_in[ids]), bounds) + 1) * ids.itemsize)
+        merged = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+        if not alone.any():
+            return merged
+        others = pa.array(map(self.pack, pieces.filter(pa.array(alone)).to_pylist()), pa.large_binary())
+        place = np.where(alone, len(merged) + np.cumsum(alone) - 1, np.cumsum(~alone) - 1)
+        return pa.concat_arrays([merged, others]).take(pa.array(place))
+
+    def encode_block(self, block: list[str]) -> list[bytes]:
+        """`encode` of each text; every distinct match is looked up and merged once a block, however often it occurs."""
+        pieces, counts = self.matches(block)
+        coded = pieces.dictionary_encode()
+        packed = self.pack_all(coded.dictionary).take(coded.indices)
+        cuts = np.frombuffer(packed.buffers()[1], np.int64)[np.append(0, np.cumsum(counts))].tolist() if len(packed) else [0] * (len(block) + 1)
+        data = memoryview(packed.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def encode_all(self, values: Iterable[str]) -> Iterator[bytes]:
+        """`encode` of each text in blocks of at least BLOCK_CHARS characters, or what is left; an id that is too wide raises."""
+        block, size = [], 0
+        for text in values:
+            block.append(text)
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                yield from self.encode_block(block)
+                block, size = [], 0
+        if block:
+            yield from self.encode_block(block)
+
     def decode(self, packed: bytes) -> bytes:
         """Bytes of packed 32-bit ids: concatenation is the whole of it, so halves are decoded and joined up the tree."""
         n = len(packed) // 4

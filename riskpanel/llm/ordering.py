@@ -51,9 +51,9 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, stride: int) -> Data
         codec, part, at = _codec(shared), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, counts, first = [], [], []
-            for text in texts(batch):
-                ids.append(codec.encode(text))
-                counts.append(len(ids[-1]) // 2)
+            for packed in codec.encode_all(texts(batch)):
+                ids.append(packed)
+                counts.append(len(packed) // 2)
                 first.append(at)
                 at += -(-counts[-1] // stride)
             yield pa.RecordBatch.from_arrays(

@@ -224,6 +224,47 @@ def test_ids_beyond_16_bits_raise():
         codec.encode("ab")
 
 
+def test_run_starts_equal_the_pattern():
+    assert bpe.RUNS == PATTERN
+    codec, rnd = bpe.Codec(bpe.load_ranks(RANKS), PATTERN), random.Random(6)
+    for alphabet in ("a'sre vld\n", "éß漢 1!'s\t\n  ", "\x00a '\x85\xa0\u3000\x1cs", "ab \U0001d4b3٣²'ll\n "):
+        for _ in range(500):
+            block = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(25))) for _ in range(rnd.randrange(1, 5))]
+            found, counts = codec.matches(block)
+            want = [codec.find_any(text) for text in block]
+            assert found.to_pylist() == [x for w in want for x in w] and counts.tolist() == list(map(len, want))
+
+
+@pytest.mark.parametrize("pattern", [PATTERN, r"\S+|\s+"])
+@pytest.mark.parametrize("leaf,width", [(64, "I"), (2, "H")])
+def test_blocks_equal_the_library(pattern, leaf, width, monkeypatch):
+    monkeypatch.setattr(bpe, "LEAF_BYTES", leaf)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 50)
+    ranks, rnd = bpe.load_ranks(RANKS), random.Random(7)
+    codec, own = bpe.Codec(ranks, pattern, width), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    block = ["".join(rnd.choice(rnd.choice(["ab 'll", "éß漢 1!", "\x00a\n", "the in"])) for _ in range(rnd.choice((0, 1, 9, 40, 200)))) for _ in range(300)]
+    for some in (block, [], [""], ["", "", "a", ""], ["\0"], ["x" * 100_000, "x"]):
+        got = list(codec.encode_all(iter(some)))
+        assert got == [codec.encode(text) for text in some]
+        assert [np.frombuffer(x, codec.width).tolist() for x in got] == [own.encode_ordinary(text) for text in some]
+
+
+def test_a_match_is_merged_once_a_block():
+    codec, merged = bpe.Codec(bpe.load_ranks(RANKS), PATTERN, "H"), []
+    plain = codec.merge_apart
+    codec.merge_apart = lambda text: merged.extend(text.split("\0")[:-1]) or plain(text)
+    codec.known.work = codec.find_any = codec.find_ascii = None  # neither by themselves nor by the regular expression
+    out = list(codec.encode_all(["qwxz vbnk 1é"] * 1000))
+    assert sorted(merged) == sorted(["qwxz", " vbnk", " 1", "é"]) and len(out) == 1000 and len(set(out)) == 1
+
+
+def test_blocks_raise_beyond_16_bits():
+    codec = bpe.Codec({**{bytes([b]): b for b in range(256)}, b"ab": 70_000}, PATTERN, "H")
+    assert list(codec.encode_all(["a b"])) == [np.array([97, 32, 98], "<u2").tobytes()]
+    with pytest.raises(ValueError):
+        list(codec.encode_all(["a", "ab"]))
+
+
 def test_long_spelt_address():
     name = "n" * 200
     text = f"ask {name}[at]host.example.com or b (at) c.org"
