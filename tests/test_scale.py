@@ -2,6 +2,8 @@
 
 import datetime
 import math
+import os
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from riskpanel.operators import blocks, network, quality, quantilogram, tail, transforms
 from riskpanel.operators.ranks import positions, running_sums
+from riskpanel.session import cut_lineage
 from riskpanel.sources import panels, results
 
 
@@ -252,6 +255,120 @@ def test_causal_links_of_all_pairs_at_once(monkeypatch, same):
     assert sum(looked) < 0.1 * to.size
 
 
+def _odd_columns(rng, x):
+    x[1:, 1] = x[:-1, 0]
+    x[:, 2], x[:, 3], x[:, 4], x[:, 5] = x[:, 0], -x[:, 0], x[:, 0] + 1e-9 * x[:, 5], x[:, 0] + 0.05 * x[:, 5]
+    x[:, 6], x[3, 7], x[:, 8], x[:, 9] = 0.0, np.nan, 0.9 ** np.arange(len(x)), 0.0
+    x[5, 9] = 1.0
+    return x
+
+
+def _brute_degrees(x, cut, group):
+    """By regressions of all ordered pairs of columns: edges out, in, those with a counterpart, those into other groups."""
+    n = x.shape[1]
+    src, dst = (a.ravel() for a in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
+    with np.errstate(all="ignore"):
+        edge = network._tested(x, src, dst, cut, False).reshape(n, n) & ~np.eye(n, dtype=bool)
+    return np.array([edge.sum(1), edge.sum(0), (edge & edge.T).sum(1), (edge & (group[:, None] != group[None])).sum(1)])
+
+
+def _block_of(x, same):
+    block = blocks.Block.__new__(blocks.Block)
+    n = x.shape[1]
+    block.x, block.names, block.same = x, np.array([f"n{i:03}" for i in range(n)]), same
+    block.left, block.right = (np.arange(n), np.arange(n)) if same else (np.arange(0, n, 3), np.setdiff1d(np.arange(n), np.arange(0, n, 3)))
+    block.labels = np.array([("=x", "=y", "")[i % 3] if i % 2 else "=x" for i in range(n)], dtype=object)
+    return block
+
+
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("alike", [0.0, 0.999999])
+def test_counts_of_a_block_by_its_sides(monkeypatch, same, alike):
+    """Sides of 16 entities; with nearly collinear series single precision leaves most pairs open and double precision judges."""
+    rng = np.random.default_rng(3)
+    x = alike * rng.normal(size=(52, 1)) + (1 - alike) * rng.normal(size=(52, 75))
+    x = _odd_columns(rng, x) if not alike else x
+    block, cut, judged = _block_of(x, same), 1.6448536269514722, []
+    monkeypatch.setattr(network, "SIDE", 16)
+    whole = network._Window._judged
+    monkeypatch.setattr(network._Window, "_judged", lambda self, *a: judged.append(a[3].dtype) or whole(self, *a))
+    got = network._counts(block, 0, 52, cut, False, True)
+    group = block.groups
+    want = _brute_degrees(x, cut, group)
+    if not same:  # pairs within a side are not of this block
+        for side in (block.left, block.right):
+            want[:, side] -= _brute_degrees(x[:, side], cut, group[side])
+    assert (got == want).all() and got[0].sum() > 50
+    assert (judged.count(np.float64) > judged.count(np.float32) / 2) == bool(alike)
+
+
+def test_single_precision_leaves_few_pairs_open_and_errs_in_none():
+    x = np.random.default_rng(8).normal(size=(52, 1500))
+    window = network._Window(_block_of(x, True), 0, 52, 1.6448536269514722, False)
+    left, right, open_ = np.arange(700), np.arange(700, 1500), []
+    unlike = window._unlike
+    window._unlike = lambda pairs, *sides: open_.append(np.count_nonzero(pairs)) or unlike(pairs, *sides)
+    rough = window._judged(left, right, False, *window.rough, network.FLAT, window.rough_close, network.OPEN)
+    assert 0 < sum(open_) < 0.0005 * rough[0].size
+    exact = window._judged(left, right, False, window.past, window.rest, network.VAGUE ** 2, network.CLOSE, 1.0)
+    assert all((a == b).all() for a, b in zip(rough, exact)) and rough[0].sum() > 10_000
+
+
+def test_sums_of_pairs_travel_packed(spark, monkeypatch):
+    """Buckets of several tiles: a task sends a few arrays and no row an entity and window; gaps, nulls and a late series."""
+    t, n, bw, group = 25, 120, 15, np.arange(120) % 3
+    x = _odd_columns(None, np.random.default_rng(4).normal(size=(t, n)))
+    x[:19, 11], x[10:13, 12] = np.nan, np.nan
+    rows = [(f"n{j:03}", i + 1, None if np.isnan(x[i, j]) else float(x[i, j])) for j in range(n) for i in range(t) if j not in (11, 12) or not np.isnan(x[i, j])]
+    returns = spark.createDataFrame(rows, "entity string, idx long, r double")
+    groups = spark.createDataFrame([(f"n{j:03}", f"g{group[j]}") for j in range(n)], "entity string, short_name string")
+    monkeypatch.setattr(blocks, "TILE", 10)
+    monkeypatch.setattr(network, "WIDE", 50)
+    monkeypatch.setattr(network, "RUN", 8)
+    whole, sent = blocks.pair_blocks, []
+    monkeypatch.setattr(blocks, "pair_blocks", lambda *a, **b: sent.append(whole(*a, **b)) or sent[-1])
+    degrees = network.causal_degrees(returns, bw, 0.2, False, groups)
+    got = {(r.idx, r.entity): (r.deg_out, r.deg_in, r.mutual, r.cross_out) for r in degrees.collect()}
+    want, k = {}, transforms.head_rows(bw)
+    for w in range(1, t + 1):
+        found = _brute_degrees(x[max(0, w - bw):max(w, k)], 0.8416212335729143, group)
+        want |= {(w, f"n{j:03}"): tuple(int(v) for v in found[:, j]) for j in range(n) if found[:, j].any()}
+    assert got == want and len(want) > 2000
+    assert degrees.dtypes == [("idx", "bigint"), ("entity", "string"), ("deg_out", "bigint"), ("deg_in", "bigint"), ("mutual", "bigint"), ("cross_out", "bigint")]
+    assert sent[0].count() < 400
+
+
+def test_sums_of_numbers_that_are_none(spark, monkeypatch):
+    """A sum leaves out what is not a number, is null where nothing is left, and has no row where every part is zero."""
+    returns = spark.createDataFrame([(f"e{j}", i, 1.0) for j in range(6) for i in range(1, 9)], "entity string, idx long, r double")
+
+    def kernel(block, w, lo, hi):
+        other = len(block.names) if block.same else 10 * len(block.names)
+        total = np.where(block.names == "e1", np.nan, np.where(block.names == "e2", 0.0, 0.5))
+        total = np.where((block.names == "e3") & (not block.same), np.nan, total)
+        return [np.where(block.names == "e4", -70_000, 0) + 0 * other, total * (w > 2)]
+
+    got = {(r.idx, r.entity): (r.a, r.b) for r in blocks.pair_sums(returns, "r", 6, kernel, {"a": "long", "b": "double"}, block=2).collect()}
+    assert {e for w, e in got if w > 2} == {"e0", "e1", "e3", "e4", "e5"} and all(got[w, "e1"] == (0, None) for w in range(3, 9))
+    assert all(got[w, "e4"][0] % 70_000 == 0 and got[w, "e4"][0] < 0 and got[w, "e0"][1] > 0 for w in range(3, 9))
+
+
+def test_lean_tables_leave_no_shuffles_behind(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffles():
+        return {f for folder in folders for _, _, files in os.walk(folder) for f in files if f.startswith("shuffle_")}
+
+    before, key = shuffles(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    out = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), lean=True)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:  # they are removed in the background
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(key) == was
+    assert {tuple(r) for r in out.collect()} == {(k, len(range(k, 1000, 7))) for k in range(7)}
+
+
 def test_shapiro_ranks_once_and_panels_are_dealt_by_their_dense_rows(spark, monkeypatch):
     from riskpanel.operators import describe
     from riskpanel.sources import market
